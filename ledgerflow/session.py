@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,10 +42,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A fresh path for an intermediate table under the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    Unlike a local checkpoint this survives the loss of executors.
+
+def durable(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Unlike a local checkpoint this survives the loss of executors, and the plan
+    that follows starts from plain files with known sizes. Like checkpoint data,
+    the table is left to the folder's own retention.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_table(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
