@@ -7,11 +7,12 @@ from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 VARIANT_MAP = "map<string,variant>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical_json(texts: pd.Series) -> pd.Series:
     """Last-key-wins rewrite of JSON texts; unparsable texts become NULL."""
 
@@ -129,14 +130,15 @@ def merge_metadata(base: Column, extra: Mapping[str, Column], optional: Mapping[
     merged = F.map_filter(F.coalesce(base, empty), lambda k, _: ~k.isin(*names) if names else F.lit(True))
     merged = F.map_concat(merged, always)
     for name, col in (optional or {}).items():
-        replaced = F.map_concat(
-            F.map_filter(merged, lambda k, _, name=name: k != name),
-            F.create_map(F.lit(name), to_variant(col)),
-        )
-        merged = F.when(F.coalesce(col, F.lit("")) != "", replaced).otherwise(merged)
+        merged = F.when(F.coalesce(col, F.lit("")) != "", _with_entry(merged, name, col)).otherwise(merged)
     return merged
 
 
+def _with_entry(base: Column, name: str, value: Column) -> Column:
+    others = F.map_filter(base, lambda k, _: k != name)
+    return F.map_concat(others, F.create_map(F.lit(name), to_variant(value)))
+
+
 def metadata_text(metadata: Column) -> Column:
     """Metadata map as compact JSON text, NULL for a NULL map."""
     return F.to_json(metadata)

@@ -98,20 +98,28 @@ def kept_stamps(stamps: DataFrame, key: str, ts: str, ttl: int, every: int = SPL
     return small.unionByName(large)
 
 
-def first_seen(rows: DataFrame, key: str, at: str, order: str, ttl_seconds: int = WEEK_SECONDS, every: int = SPLIT_EVERY) -> DataFrame:
-    """Marks ``(key, mark, order)`` set by rows processed in ``(at, order)`` sequence.
+def first_seen(rows: DataFrame, key: str, now: str, order: str, ttl_seconds: int = WEEK_SECONDS,
+               prior: DataFrame | None = None, every: int = SPLIT_EVERY) -> DataFrame:
+    """Marks ``(key, mark, order)`` set by rows processed in ``(now, order)`` sequence.
 
     A row sets a mark when no earlier mark of its key is at most ``ttl_seconds``
-    old; a suppressed row does not prolong the mark. ``mark`` is in microseconds.
+    old; a suppressed row does not prolong the mark. ``now`` and ``mark`` are
+    microseconds. ``prior`` holds ``(key, mark)`` set before: those come back
+    with a NULL ``order``.
     """
     ttl = ttl_seconds * 1_000_000
-    stamped = rows.select(F.col(key), F.unix_micros(at).alias("mark"), F.col(order))
-    firsts = stamped.groupBy(key, "mark").agg(F.min(order).alias(order))
+    stamped = rows.select(key, F.col(now).alias("mark"), order, F.lit(False).alias("_prior"))
+    if prior is not None:
+        nobody = F.lit(None).cast(rows.schema[order].dataType).alias(order)
+        stamped = stamped.unionByName(prior.select(key, "mark", nobody, F.lit(True).alias("_prior")))
+    firsts = stamped.groupBy(key, "mark").agg(
+        F.when(~F.max("_prior"), F.min(order)).alias(order)
+    )
     kept = kept_stamps(firsts.select(key, "mark"), key, "mark", ttl, every)
     return firsts.join(kept, [key, "mark"], "left_semi")
 
 
-def mark_repeats(rows: DataFrame, marks: DataFrame, key: str, at: str, order: str, ttl_seconds: int = WEEK_SECONDS) -> DataFrame:
+def mark_repeats(rows: DataFrame, marks: DataFrame, key: str, now: str, order: str, ttl_seconds: int = WEEK_SECONDS) -> DataFrame:
     """Add ``repeat``: an earlier live mark of the key covers the row.
 
     Marks of a key are more than a TTL apart, so a row meets at most one. Each
@@ -121,17 +129,39 @@ def mark_repeats(rows: DataFrame, marks: DataFrame, key: str, at: str, order: st
     ttl = ttl_seconds * 1_000_000
     width = ttl + 1
     listed = marks.select(
-        F.col(key), F.col("mark").alias("_mark"), F.col(order).alias("_by"),
+        key, F.col("mark").alias("_mark"), F.col(order).alias("_by"),
         F.explode(F.array(_cell(F.col("mark"), width), _cell(F.col("mark"), width) + width)).alias("_cell"),
     )
-    timed = rows.withColumn("_now", F.unix_micros(at)).withColumn("_cell", _cell(F.col("_now"), width))
+    timed = rows.withColumn("_cell", _cell(F.col(now), width))
+    at, mark, by, mine = F.col(f"r.{now}"), F.col("m._mark"), F.col("m._by"), F.col(f"r.{order}")
     covers = (
-        (F.col("r._cell") == F.col("m._cell"))
-        & (F.col(f"r.{key}") == F.col(f"m.{key}"))
-        & (F.col("r._now") >= F.col("m._mark"))
-        & (F.col("r._now") <= F.col("m._mark") + F.lit(ttl))
-        & (F.col("m._by").isNull() | (F.col(f"r.{order}") != F.col("m._by")))
-        & (F.col("m._by").isNull() | (F.col("r._now") > F.col("m._mark")) | (F.col(f"r.{order}") > F.col("m._by")))
+        (F.col(f"r.{key}") == F.col(f"m.{key}"))
+        & (F.col("r._cell") == F.col("m._cell"))
+        & (at >= mark)
+        & (at <= mark + F.lit(ttl))
+        & (by.isNull() | (at > mark) | (mine > by))
     )
     joined = timed.alias("r").join(listed.alias("m"), covers, "left")
     return joined.select(*[F.col(f"r.{c}") for c in rows.columns], F.col("m._mark").isNotNull().alias("repeat"))
+
+
+def settle(rows: DataFrame, ledger: DataFrame | None, ttl_seconds: int = WEEK_SECONDS, every: int = SPLIT_EVERY) -> DataFrame:
+    """Add ``repeat`` to a batch of rows, against the ledger and within the batch.
+
+    ``rows``: idempotency_key, arrived_at, ord, valid. Only valid rows set marks,
+    so a failing row never claims its key, but a failing row under a live mark is
+    a repeat. A row that arrived before the ledger's mark is handled after it.
+    """
+    key = "idempotency_key"
+    timed = rows.withColumn("_now", F.unix_micros("arrived_at"))
+    prior = None
+    if ledger is not None:
+        prior = ledger.groupBy(key).agg(F.unix_micros(F.max("marked_at")).alias("mark"))
+        late = prior.select(key, F.col("mark").alias("_prior_mark"))
+        timed = (
+            timed.join(late, key, "left")
+            .withColumn("_now", F.greatest("_now", "_prior_mark"))
+            .drop("_prior_mark")
+        )
+    marks = first_seen(timed.where("valid"), key, "_now", "ord", ttl_seconds, prior, every)
+    return mark_repeats(timed, marks, key, "_now", "ord", ttl_seconds).drop("_now")

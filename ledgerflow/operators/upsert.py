@@ -22,10 +22,11 @@ ORDER = "ord"
 
 
 class Merge(NamedTuple):
-    """Merged table rows and the incoming rows that a unique key refused."""
+    """Merged table rows, incoming rows a unique key refused, and all verdicts."""
 
     rows: DataFrame
     rejected: DataFrame
+    verdicts: DataFrame
 
 
 def empty(spark: SparkSession, table: schema.Table) -> DataFrame:
@@ -232,7 +233,7 @@ def _split(incoming: DataFrame, verdicts: DataFrame, key: str, what: str) -> tup
     return updates, refused.withColumn("error", error)
 
 
-def upsert_documents(existing: DataFrame | None, incoming: DataFrame, *, bound: bool = False, touched_only: bool = False,
+def upsert_documents(existing: DataFrame | None, incoming: DataFrame, *, bound: bool = False, settled: bool = False, touched_only: bool = False,
                      taken: DataFrame | None = None, claimed: DataFrame | None = None,
                      assign_ids: bool = True, every: int = SPLIT_EVERY) -> Merge:
     """Documents by ``document_key``, everything overwritten.
@@ -242,17 +243,21 @@ def upsert_documents(existing: DataFrame | None, incoming: DataFrame, *, bound:
     idempotency_key, metadata, ord, at. ``bound`` promises that content is fixed
     by the key and idempotency keys are NULL or derived from it, which settles
     all claims in one lazy aggregation; otherwise they are resolved in waves.
-    ``claimed`` may hold the current ``(document_key, content_hash,
-    idempotency_key)`` rows when ``existing`` is limited to touched keys.
+    ``settled`` promises that no row can be refused. ``claimed`` may hold the
+    current ``(document_key, content_hash, idempotency_key)`` rows when
+    ``existing`` is limited to touched keys.
     """
     table = schema.DOCUMENTS
     rows = incoming.withColumn("content_hash", K.content_hash(F.col("content")))
     stored = _stored(existing, incoming.sparkSession, table)
     holders = claimed if claimed is not None else (None if existing is None else stored)
-    verdicts = document_verdicts(holders, rows, bound)
+    if settled:
+        verdicts = rows.select("document_key", ORDER, F.lit(True).alias("accepted"))
+    else:
+        verdicts = document_verdicts(holders, rows, bound)
     updates, rejected = _split(rows, verdicts, "document_key", "document")
     merged = _merge(table, stored, updates, (), touched_only, taken, assign_ids, every)
-    return Merge(merged, rejected)
+    return Merge(merged, rejected, verdicts)
 
 
 def document_ids(incoming: DataFrame, documents: DataFrame) -> DataFrame:
@@ -284,7 +289,7 @@ def upsert_embeddings(existing: DataFrame | None, incoming: DataFrame, *, bound:
     )
     updates = updates.drop("document_id").join(first_document, "vector_id", "inner")
     merged = _merge(table, stored, updates, ("document_id",), touched_only, taken, assign_ids, every)
-    return Merge(merged, rejected)
+    return Merge(merged, rejected, verdicts)
 
 
 def upsert_vectors(existing: DataFrame | None, incoming: DataFrame, *, touched_only: bool = False) -> DataFrame:
