@@ -71,15 +71,13 @@ def variant_kind(value: Column) -> Column:
 
 def variant_truthy(value: Column) -> Column:
     """False for null, '', 0, false, [] and {}; true otherwise."""
-    kind = variant_kind(value)
-    text = F.try_variant_get(value, "$", "string")
-    return (
-        F.when(kind == "null", False)
-        .when(kind == "string", text != "")
-        .when(kind == "boolean", text == "true")
-        .when(kind.isin("integer", "decimal"), F.try_variant_get(value, "$", "double") != 0)
-        .otherwise(~text.isin("[]", "{}"))
+    schema, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    known = (
+        F.when(schema == "STRING", text != "")
+        .when(schema == "BOOLEAN", text == "true")
+        .otherwise(~text.isin("0", "0.0", "-0.0", "[]", "{}"))
     )
+    return F.coalesce(known, F.lit(False))
 
 
 def float_text(value: Column) -> Column:
@@ -97,18 +95,23 @@ def float_text(value: Column) -> Column:
 
 def variant_text(value: Column) -> Column:
     """A metadata value as text, NULL for null; booleans are ``True``/``False``."""
-    kind = variant_kind(value)
+    schema, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    fraction = schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT")
     return (
-        F.when(kind == "null", F.lit(None).cast("string"))
-        .when(kind == "boolean", F.initcap(F.try_variant_get(value, "$", "string")))
-        .when(kind == "decimal", float_text(F.try_variant_get(value, "$", "double")))
-        .otherwise(F.try_variant_get(value, "$", "string"))
+        F.when(schema == "BOOLEAN", F.initcap(text))
+        .when(fraction, float_text(F.try_variant_get(value, "$", "double")))
+        .otherwise(text)
     )
 
 
+def is_object(value: Column) -> Column:
+    """The value is a JSON object."""
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
 def as_variant_map(value: Column) -> Column:
     """The members of a JSON object; NULL when the value is not an object."""
-    return F.when(variant_kind(value) == "object", F.try_variant_get(value, "$", VARIANT_MAP))
+    return F.when(is_object(value), F.try_variant_get(value, "$", VARIANT_MAP))
 
 
 def to_variant(value: Column) -> Column:

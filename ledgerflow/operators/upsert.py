@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema
 from ..functions import keys as K
+from ..session import durable
 from .claims import first_claims, resolve_claims
 from .ranking import SPLIT_EVERY, grouped_rank, surrogate_ids
 
@@ -65,63 +66,54 @@ def next_sequence(existing_messages: DataFrame) -> DataFrame:
     )
 
 
-def attach_ids(df: DataFrame, key: str, order: str, taken: DataFrame | None, every: int = SPLIT_EVERY) -> DataFrame:
-    """Fill NULL ``id`` with new dense ids in ``order``; only narrow columns are ranked."""
-    fresh = surrogate_ids(df.where(F.col("id").isNull()).select(key, order), order, "_new_id", taken, every)
-    return df.join(fresh.select(key, "_new_id"), key, "left").withColumn(
-        "id", F.coalesce("id", "_new_id")
-    ).drop("_new_id")
+def _staged(df: DataFrame, staged: bool, name: str) -> DataFrame:
+    """The narrow columns a merge is planned on, written once unless they come from a table."""
+    return df if staged else durable(df, name)
 
 
-def _seconds(at: str) -> Column:
-    return F.date_trunc("SECOND", F.col(at))
+def _with_ids(updates: DataFrame, key: str, stored: DataFrame, taken: DataFrame | None, every: int) -> DataFrame:
+    """Add ``new_id``, dense in first-arrival order, to updates of keys not stored yet."""
+    fresh = updates.select(key, "first_ord").join(stored.select(key), key, "left_anti")
+    ids = surrogate_ids(fresh, "first_ord", "new_id", stored.select("id") if taken is None else taken, every)
+    return updates.join(ids.select(key, "new_id"), key, "left")
 
 
-def _merge(table: schema.Table, existing: DataFrame, updates: DataFrame, sticky: Sequence[str],
-           touched_only: bool, taken: DataFrame | None, assign_ids: bool, every: int) -> DataFrame:
+def _merge(table: schema.Table, existing: DataFrame, updates: DataFrame, sticky: Sequence[str], touched_only: bool) -> DataFrame:
     """Outer-join stored and updated rows on the natural key.
 
     ``updates`` has one row per key with the table's payload, the first arrival
-    (``first_ord``, ``first_at``) and the last (``at``). ``sticky`` columns keep
+    time ``first_at``, the last ``at`` and ``new_id``. ``sticky`` columns keep
     the stored value.
     """
     key = table.key
-    kept = {key, "id", "created_at", "updated_at", *sticky}
-    e = existing.select(F.col(key), F.struct(*[F.col(c) for c in table.struct.names if c != key]).alias("e"))
-    u = updates.select(F.col(key), F.struct(*[F.col(c) for c in updates.columns if c != key]).alias("u"))
+    kept = {"id", "created_at", *sticky}
+    names = table.struct.names
+    e = existing.select(F.col(key), F.struct(*[F.col(c) for c in names if c != key]).alias("e"))
+    u = updates.withColumnsRenamed({"new_id": "id", "first_at": "created_at", "at": "updated_at"})
+    u = u.select(F.col(key), F.struct(*[F.col(c) for c in names if c != key]).alias("u"))
     both = e.join(u, key, "right" if touched_only else "full")
-    names = [c for c in table.struct.names]
-    new = F.col("e").isNull()
-    touched = F.col("u").isNotNull()
-    columns = []
+    columns = [F.col(key)]
     for name in names:
         if name == key:
-            columns.append(F.col(key))
-        elif name == "id":
-            columns.append(F.col("e.id").alias("id"))
-        elif name == "created_at":
-            columns.append(F.when(new, F.date_trunc("SECOND", F.col("u.first_at"))).otherwise(F.col("e.created_at")).alias(name))
-        elif name == "updated_at":
-            columns.append(F.when(touched, F.date_trunc("SECOND", F.col("u.at"))).otherwise(F.col("e.updated_at")).alias(name))
-        elif name in kept:
-            columns.append(F.when(new, F.col(f"u.{name}")).otherwise(F.col(f"e.{name}")).alias(name))
-        else:
-            columns.append(F.when(touched, F.col(f"u.{name}")).otherwise(F.col(f"e.{name}")).alias(name))
-    merged = both.select(*columns, F.col("u.first_ord").alias("first_ord"))
-    if assign_ids:
-        merged = attach_ids(merged, key, "first_ord", existing.select("id") if taken is None else taken, every)
-    return merged.select(*[F.col(n).cast(t).alias(n) for n, t, _, _ in table.columns])
-
-
-def upsert_conversations(existing: DataFrame | None, incoming: DataFrame, *, touched_only: bool = False,
-                         taken: DataFrame | None = None, assign_ids: bool = True, every: int = SPLIT_EVERY) -> DataFrame:
+            continue
+        fresh = F.col(f"u.{name}")
+        if name in ("created_at", "updated_at"):
+            fresh = F.date_trunc("SECOND", fresh)
+        stays = F.col("e").isNotNull() if name in kept else F.col("u").isNull()
+        columns.append(F.when(stays, F.col(f"e.{name}")).otherwise(fresh).alias(name))
+    return both.select(*columns).select(*[F.col(n).cast(t).alias(n) for n, t, _, _ in table.columns])
+
+
+def upsert_conversations(existing: DataFrame | None, incoming: DataFrame, *, touched_only: bool = False, staged: bool = False,
+                         taken: DataFrame | None = None, every: int = SPLIT_EVERY) -> DataFrame:
     """Conversations by ``session_id``; a NULL user or title keeps the stored one.
 
     ``incoming``: session_id, user_id, title, ord, at.
     """
     table = schema.CONVERSATIONS
     stored = _stored(existing, incoming.sparkSession, table)
-    updates = incoming.groupBy("session_id").agg(
+    rows = _staged(incoming.select("session_id", "user_id", "title", ORDER, "at"), staged, "sessions")
+    updates = rows.groupBy("session_id").agg(
         last_non_null("user_id").alias("user_id"),
         last_non_null("title").alias("title"),
         F.min(ORDER).alias("first_ord"),
@@ -133,9 +125,8 @@ def upsert_conversations(existing: DataFrame | None, incoming: DataFrame, *, tou
         updates.join(old, "session_id", "left")
         .withColumn("user_id", F.coalesce("user_id", "_user"))
         .withColumn("title", F.coalesce("title", "_title"))
-        .drop("_user", "_title")
     )
-    return _merge(table, stored, updates, (), touched_only, taken, assign_ids, every)
+    return _merge(table, stored, _with_ids(updates, "session_id", stored, taken, every), (), touched_only)
 
 
 def conversation_ids(incoming: DataFrame, conversations: DataFrame) -> DataFrame:
@@ -167,9 +158,8 @@ def assign_sequences(existing: DataFrame, incoming: DataFrame, group: str = "con
     return numbered.select(*columns).unionByName(repeated.select(*columns))
 
 
-def upsert_messages(existing: DataFrame | None, incoming: DataFrame, *, touched_only: bool = False,
-                    taken: DataFrame | None = None, bases: DataFrame | None = None,
-                    assign_ids: bool = True, every: int = SPLIT_EVERY) -> DataFrame:
+def upsert_messages(existing: DataFrame | None, incoming: DataFrame, *, touched_only: bool = False, staged: bool = False,
+                    taken: DataFrame | None = None, bases: DataFrame | None = None, every: int = SPLIT_EVERY) -> DataFrame:
     """Messages by ``message_id``; conversation and sequence stay, the rest is overwritten.
 
     ``incoming``: conversation_id, message_id, role, text, trace_id,
@@ -180,10 +170,11 @@ def upsert_messages(existing: DataFrame | None, incoming: DataFrame, *, touched_
     table = schema.MESSAGES
     stored = _stored(existing, incoming.sparkSession, table)
     known = stored.select("message_id", "conversation_id", "seq") if bases is None else bases
-    bound = assign_sequences(known, incoming, every=every)
+    narrow = _staged(incoming.select("message_id", "conversation_id", ORDER, "at"), staged, "arrivals")
+    bound = _with_ids(assign_sequences(known, narrow, every=every), "message_id", stored, taken, every)
     payload = incoming.drop("conversation_id").withColumnRenamed(ORDER, "last_ord")
-    updates = bound.join(payload, ["message_id", "last_ord"], "inner").drop("last_ord")
-    return _merge(table, stored, updates, ("conversation_id", "seq"), touched_only, taken, assign_ids, every)
+    updates = payload.join(bound, ["message_id", "last_ord"], "inner")
+    return _merge(table, stored, updates, ("conversation_id", "seq"), touched_only)
 
 
 def record_turns(turns: DataFrame) -> DataFrame:
@@ -220,44 +211,49 @@ def document_verdicts(existing: DataFrame | None, incoming: DataFrame, bound: bo
     return resolve_claims(narrow, stored, "document_key", ["content_hash", "idempotency_key"], ORDER)
 
 
-def _split(incoming: DataFrame, verdicts: DataFrame, key: str, what: str) -> tuple[DataFrame, DataFrame]:
-    """Updates (last accepted row per key, with first arrival) and rejected rows."""
-    ok = verdicts.where("accepted").groupBy(key).agg(
-        F.min(ORDER).alias("first_ord"), F.max(ORDER).alias(ORDER)
+def _accepted(narrow: DataFrame, verdicts: DataFrame, key: str, first: Sequence[str] = ()) -> DataFrame:
+    """Per key: first and last accepted arrival, and ``first`` columns of the first."""
+    ok = verdicts.where("accepted").select(key, ORDER).join(narrow.select(key, ORDER, "at", *first), [key, ORDER], "inner")
+    return ok.groupBy(key).agg(
+        F.min(ORDER).alias("first_ord"), F.min_by("at", ORDER).alias("first_at"), F.max(ORDER).alias(ORDER),
+        *[F.min_by(c, ORDER).alias(c) for c in first],
     )
-    first = incoming.select(key, F.col(ORDER).alias("first_ord"), F.col("at").alias("first_at"))
-    ok = ok.join(first, [key, "first_ord"], "inner")
-    updates = incoming.join(ok, [key, ORDER], "inner").drop(ORDER)
+
+
+def _rejected(verdicts: DataFrame, key: str, what: str) -> DataFrame:
     refused = verdicts.where(~F.col("accepted")).select(key, ORDER)
-    error = F.concat(F.lit(f"Failed to persist {what} "), F.col(key))
-    return updates, refused.withColumn("error", error)
+    return refused.withColumn("error", F.concat(F.lit(f"Failed to persist {what} "), F.col(key)))
 
 
-def upsert_documents(existing: DataFrame | None, incoming: DataFrame, *, bound: bool = False, settled: bool = False, touched_only: bool = False,
-                     taken: DataFrame | None = None, claimed: DataFrame | None = None,
-                     assign_ids: bool = True, every: int = SPLIT_EVERY) -> Merge:
+def upsert_documents(existing: DataFrame | None, incoming: DataFrame, *, bound: bool = False, settled: bool = False,
+                     touched_only: bool = False, staged: bool = False, taken: DataFrame | None = None,
+                     claimed: DataFrame | None = None, every: int = SPLIT_EVERY) -> Merge:
     """Documents by ``document_key``, everything overwritten.
 
     A row whose content or idempotency key another document holds is rejected.
     ``incoming``: document_key, content, source, title_path, trace_id,
-    idempotency_key, metadata, ord, at. ``bound`` promises that content is fixed
-    by the key and idempotency keys are NULL or derived from it, which settles
-    all claims in one lazy aggregation; otherwise they are resolved in waves.
-    ``settled`` promises that no row can be refused. ``claimed`` may hold the
-    current ``(document_key, content_hash, idempotency_key)`` rows when
-    ``existing`` is limited to touched keys.
+    idempotency_key, metadata, ord, at. Claims and ids are worked out on the
+    narrow columns, which are written once; texts are joined to the outcome.
+
+    ``bound`` promises that content is fixed by the key and idempotency keys are
+    NULL or derived from it, which settles all claims in one aggregation;
+    otherwise they are resolved in waves. ``settled`` promises that no row can
+    be refused. ``claimed`` may hold the current ``(document_key, content_hash,
+    idempotency_key)`` rows when ``existing`` is limited to touched keys.
+    ``staged`` says that ``incoming`` is a table and cheap to read again.
     """
-    table = schema.DOCUMENTS
+    table, key = schema.DOCUMENTS, "document_key"
     rows = incoming.withColumn("content_hash", K.content_hash(F.col("content")))
+    narrow = _staged(rows.select(key, "content_hash", "idempotency_key", ORDER, "at"), staged, "keys")
     stored = _stored(existing, incoming.sparkSession, table)
     holders = claimed if claimed is not None else (None if existing is None else stored)
     if settled:
-        verdicts = rows.select("document_key", ORDER, F.lit(True).alias("accepted"))
+        verdicts = narrow.select(key, ORDER, F.lit(True).alias("accepted"))
     else:
-        verdicts = document_verdicts(holders, rows, bound)
-    updates, rejected = _split(rows, verdicts, "document_key", "document")
-    merged = _merge(table, stored, updates, (), touched_only, taken, assign_ids, every)
-    return Merge(merged, rejected, verdicts)
+        verdicts = document_verdicts(holders, narrow, bound)
+    plan = _with_ids(_accepted(narrow, verdicts, key), key, stored, taken, every)
+    updates = rows.join(plan, [key, ORDER], "inner")
+    return Merge(_merge(table, stored, updates, (), touched_only), _rejected(verdicts, key, "document"), verdicts)
 
 
 def document_ids(incoming: DataFrame, documents: DataFrame) -> DataFrame:
@@ -266,30 +262,25 @@ def document_ids(incoming: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def upsert_embeddings(existing: DataFrame | None, incoming: DataFrame, *, bound: bool = False, touched_only: bool = False,
-                      taken: DataFrame | None = None, claimed: DataFrame | None = None,
-                      assign_ids: bool = True, every: int = SPLIT_EVERY) -> Merge:
+                      staged: bool = False, taken: DataFrame | None = None, claimed: DataFrame | None = None,
+                      every: int = SPLIT_EVERY) -> Merge:
     """Embeddings by ``vector_id``; the document stays, the rest is overwritten.
 
     ``incoming``: document_id, vector_id, model, dimension, trace_id,
     idempotency_key, metadata, ord, at. ``bound`` promises that idempotency keys
     are NULL or derived from the vector, so that none can be refused.
     """
-    table = schema.EMBEDDINGS
+    table, key = schema.EMBEDDINGS, "vector_id"
+    narrow = _staged(incoming.select(key, "document_id", "idempotency_key", ORDER, "at"), staged, "keys")
     stored = _stored(existing, incoming.sparkSession, table)
-    narrow = incoming.select("vector_id", "idempotency_key", ORDER)
     if bound:
-        verdicts = narrow.withColumn("accepted", F.lit(True))
+        verdicts = narrow.select(key, ORDER, F.lit(True).alias("accepted"))
     else:
         holders = claimed if claimed is not None else (None if existing is None else stored)
-        verdicts = resolve_claims(narrow, holders, "vector_id", ["idempotency_key"], ORDER)
-    updates, rejected = _split(incoming, verdicts, "vector_id", "embedding")
-    first_document = (
-        incoming.join(verdicts.where("accepted").groupBy("vector_id").agg(F.min(ORDER).alias(ORDER)), ["vector_id", ORDER], "left_semi")
-        .select("vector_id", F.col("document_id"))
-    )
-    updates = updates.drop("document_id").join(first_document, "vector_id", "inner")
-    merged = _merge(table, stored, updates, ("document_id",), touched_only, taken, assign_ids, every)
-    return Merge(merged, rejected, verdicts)
+        verdicts = resolve_claims(narrow, holders, key, ["idempotency_key"], ORDER)
+    plan = _with_ids(_accepted(narrow, verdicts, key, ("document_id",)), key, stored, taken, every)
+    updates = incoming.drop("document_id").join(plan, [key, ORDER], "inner")
+    return Merge(_merge(table, stored, updates, ("document_id",), touched_only), _rejected(verdicts, key, "embedding"), verdicts)
 
 
 def upsert_vectors(existing: DataFrame | None, incoming: DataFrame, *, touched_only: bool = False) -> DataFrame:

@@ -6,10 +6,11 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.jsontext import as_variant_map, merge_metadata, metadata_text, variant_kind
+from ..functions.jsontext import as_variant_map, is_object, merge_metadata, metadata_text, variant_kind
 from ..operators import upsert as U
 from ..operators.ranking import SPLIT_EVERY
-from ..sources.events import chat_key, chat_screen, is_object
+from ..session import durable
+from ..sources.events import chat_key, chat_screen
 
 
 class Chat(NamedTuple):
@@ -68,6 +69,6 @@ def conversation_rows(turns: DataFrame) -> DataFrame:
 def record_chat_turns(turns: DataFrame, conversations: DataFrame | None = None, messages: DataFrame | None = None,
                       every: int = SPLIT_EVERY) -> Chat:
     """Conversation upsert, then both messages of each turn, as whole tables."""
-    merged = U.upsert_conversations(conversations, conversation_rows(turns), every=every)
+    merged = durable(U.upsert_conversations(conversations, conversation_rows(turns), every=every), "conversations")
     incoming = U.conversation_ids(U.record_turns(turns), merged.select("session_id", "id"))
     return Chat(merged, U.upsert_messages(messages, incoming.drop("session_id"), every=every))

@@ -10,6 +10,7 @@ from ..functions import keys as K
 from ..functions.jsontext import merge_metadata, metadata_text
 from ..operators import upsert as U
 from ..operators.ranking import SPLIT_EVERY
+from ..session import durable
 from ..sources.events import DEFAULT_BACKEND, metadata_text_field
 
 META_FIELDS = ("source", "title_path", "trace_id", "idempotency_key")
@@ -60,19 +61,22 @@ def persist_chunks(chunks: DataFrame, documents: DataFrame | None = None, embedd
     """Keys, document upsert, embedding upsert and per-chunk receipts.
 
     A chunk refused by a unique key is listed in ``rejected`` and the others go
-    on. ``bound`` promises that the chunks carry no explicit idempotency keys.
+    on. Keyed chunks and merged documents are written once, as the later steps
+    read them again. ``bound`` promises that the chunks carry no explicit idempotency keys.
     """
-    keyed = keyed_chunks(chunks, collection, backend, persist_directory)
-    merged = U.upsert_documents(documents, keyed, bound=bound, every=every)
+    keyed = durable(keyed_chunks(chunks, collection, backend, persist_directory), "keyed")
+    merged = U.upsert_documents(documents, keyed, bound=bound, staged=True, every=every)
+    rows = durable(merged.rows, "documents")
     accepted = merged.verdicts.where("accepted").select("document_key", "ord")
     incoming = keyed.drop("content", "source", "title_path", "metadata").join(accepted, ["document_key", "ord"], "left_semi")
-    incoming = U.document_ids(incoming, merged.rows.select("document_key", "id")).select(
+    incoming = U.document_ids(incoming, rows.select("document_key", "id")).select(
         "document_id", "document_key", "vector_id", "trace_id", "idempotency_key", "ord", "at",
         K.embedding_model(F.lit(model).cast("string")).alias("model"),
         F.lit(dimension or 0).cast("int").alias("dimension"),
         embedding_metadata(collection, backend, persist_directory).alias("metadata"),
     )
-    vectors = U.upsert_embeddings(embeddings, incoming, bound=bound, every=every)
+    incoming = durable(incoming, "vectors")
+    vectors = U.upsert_embeddings(embeddings, incoming, bound=bound, staged=True, every=every)
     written = incoming if bound else incoming.join(
         vectors.verdicts.where("accepted").select("vector_id", "ord"), ["vector_id", "ord"], "left_semi"
     )
@@ -83,6 +87,6 @@ def persist_chunks(chunks: DataFrame, documents: DataFrame | None = None, embedd
     if not bound:
         rejected = rejected.unionByName(vectors.rejected.withColumnRenamed("vector_id", "key"))
     return Ingest(
-        merged.rows, vectors.rows, rejected,
+        rows, vectors.rows, rejected,
         receipts.select("document_key", "vector_id", "document_id", "embedding_id"),
     )

@@ -12,6 +12,7 @@ from ..functions.jsontext import VARIANT_MAP, as_variant_map, merge_metadata, so
 from ..operators import audit, dedup, history, ranking, retry
 from ..operators import upsert as U
 from ..operators.claims import first_claims
+from ..session import durable
 from ..sources import events as E
 from . import chat, ingest
 
@@ -126,7 +127,7 @@ def document_claims(spark, folder):
 def stored_claims(spark, folder):
     """UPS3 against stored rows: every text is held already, whatever the new key."""
     rows = keyed(spark, folder).withColumn("content_hash", K.content_hash(F.col("content")))
-    stored = U.upsert_documents(None, keyed(spark, folder), bound=True, assign_ids=False).rows
+    stored = U.upsert_documents(None, keyed(spark, folder), bound=True).rows
     again = rows.select(F.concat(F.lit("again-"), "document_key").alias("document_key"), "content_hash", "ord")
     verdicts = first_claims(again, stored, "document_key", "content_hash", "ord")
     return verdicts.where(~F.col("accepted")).select("document_key", F.col("ord").alias("doc_id"), "holder")
@@ -161,7 +162,7 @@ def embedding_upsert(spark, folder):
         K.embedding_dimension(F.lit(None).cast("int"), F.col("embedding")).alias("dimension"),
         *[F.lit(None).cast("string").alias(c) for c in ("trace_id", "idempotency_key", "metadata")],
     )
-    merged = U.upsert_embeddings(None, rows, bound=True, assign_ids=False).rows
+    merged = U.upsert_embeddings(None, rows, bound=True).rows
     return merged.join(docs.withColumnRenamed("id", "document_id"), "document_id").select(
         "vector_id", "document_key", "model", "dimension"
     )
@@ -188,7 +189,7 @@ def vector_upsert(spark, folder):
 def vector_orphans(spark, folder):
     """JN9: the vector of a refused chunk has no embedding row."""
     rows = keyed(spark, folder)
-    stored = U.upsert_documents(None, rows, bound=True, assign_ids=False).rows
+    stored = U.upsert_documents(None, rows, bound=True).rows
     listed = stored.select(K.vector_id(F.col("document_key")).alias("vector_id"))
     return audit.unlisted_vectors(rows.select("vector_id", F.col("ord").alias("doc_id")), listed)
 
@@ -261,12 +262,12 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
 
 def conversation_table(rows: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
-    return U.upsert_conversations(None, rows.select("session_id", none.alias("user_id"), none.alias("title"), "ord", "at"))
+    return durable(U.upsert_conversations(None, rows.select("session_id", none.alias("user_id"), none.alias("title"), "ord", "at")))
 
 
 def message_table(rows: DataFrame, conversations: DataFrame) -> DataFrame:
     incoming = U.conversation_ids(rows, conversations).drop("session_id", "turn")
-    return U.upsert_messages(None, incoming, assign_ids=False)
+    return U.upsert_messages(None, incoming)
 
 
 @report(f"""WITH {TURNS} SELECT session_id, row_number() OVER (ORDER BY min(ord)) AS id,
@@ -292,9 +293,10 @@ def conversation_upsert(spark, folder):
 def conversation_remerge(spark, folder):
     """UPS1, JN5, SET1: assistant rows merged into conversations stored from system rows."""
     rows = turns(spark, folder).select("session_id", F.lit(None).cast("string").alias("user_id"), F.col("text").alias("title"), "role", "ord", "at")
-    stored = U.upsert_conversations(None, rows.where(F.col("role") == "system").drop("role"))
-    merged = U.upsert_conversations(stored, rows.where(F.col("role") == "assistant").drop("role"), assign_ids=False)
-    return merged.select("session_id", "title", F.col("id").isNotNull().alias("stored"))
+    stored = durable(U.upsert_conversations(None, rows.where(F.col("role") == "system").drop("role")))
+    before = stored.select("session_id", F.lit(True).alias("stored"))
+    merged = U.upsert_conversations(stored, rows.where(F.col("role") == "assistant").drop("role"))
+    return merged.join(before, "session_id", "left").select("session_id", "title", F.col("stored").isNotNull().alias("stored"))
 
 
 @report(f"""WITH {TURNS}, {CONVS} SELECT c.id AS conversation_id, t.message_id, t.role, t.text,
@@ -315,9 +317,9 @@ def message_continuation(spark, folder):
     """WIN1, AGG2: other rows numbered after stored user messages; user rows come again and burn no number."""
     rows = turns(spark, folder)
     conversations = conversation_table(rows)
-    stored = message_table(rows.where(F.col("role") == "user"), conversations).withColumn("id", F.lit(0).cast("long"))
+    stored = durable(message_table(rows.where(F.col("role") == "user"), conversations))
     incoming = U.conversation_ids(rows, conversations).drop("session_id", "turn")
-    return U.upsert_messages(stored, incoming, assign_ids=False).select("message_id", "text", "seq")
+    return U.upsert_messages(stored, incoming).select("message_id", "text", "seq")
 
 
 @report(f"""WITH {TURNS}, f AS (SELECT role || '-' || turn AS message_id, min_by(session_id, ord) AS session_id, min(ord) AS first_ord,

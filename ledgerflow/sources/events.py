@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import keys as K
-from ..functions.jsontext import as_variant_map, json_or_default, variant_kind, variant_text, variant_truthy
+from ..functions.jsontext import as_variant_map, json_or_default, variant_text, variant_truthy
 from ..functions.text import blank_to_null, field_text
 from ..schema import EVENT
 
@@ -118,6 +118,3 @@ def chat_key() -> Column:
         F.col(n) for n in ("idempotency_key", "session_id", "user_message_id", "assistant_message_id", "question", "answer")
     ])
 
-
-def is_object(value: Column) -> Column:
-    return variant_kind(value) == "object"

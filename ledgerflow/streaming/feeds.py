@@ -170,7 +170,7 @@ class ChatFeed(Feed):
         sessions = turns.select("session_id")
         conversations = durable(U.upsert_conversations(
             self.conversations.current(batch_id, only=sessions), chat.conversation_rows(turns),
-            touched_only=True, taken=self.conversations.versions(batch_id).select("id"),
+            touched_only=True, staged=True, taken=self.conversations.versions(batch_id).select("id"),
         ), "conversations")
         incoming = durable(
             U.conversation_ids(U.record_turns(turns), conversations.select("session_id", "id")).drop("session_id"), "incoming"
@@ -180,7 +180,7 @@ class ChatFeed(Feed):
         by_conversation = known.join(incoming.select("conversation_id").distinct(), "conversation_id", "left_semi")
         by_message = known.join(incoming.select("message_id").distinct(), "message_id", "left_semi")
         merged = U.upsert_messages(
-            self.messages.current(batch_id, only=incoming), incoming, touched_only=True,
+            self.messages.current(batch_id, only=incoming), incoming, touched_only=True, staged=True,
             taken=self.messages.versions(batch_id).select("id"), bases=by_conversation.unionByName(by_message),
         )
         self.conversations.append(conversations, batch_id)
@@ -276,7 +276,7 @@ class ChunkFeed(Feed):
         # Claims are settled already; all of these rows are accepted.
         merged = U.upsert_documents(
             self.documents.current(batch_id, only=accepted.select("document_key")), incoming, settled=True,
-            touched_only=True, taken=self.documents.versions(batch_id).select("id"),
+            touched_only=True, staged=True, taken=self.documents.versions(batch_id).select("id"),
         )
         documents = durable(merged.rows, "documents")
         rows = U.document_ids(accepted, documents.select("document_key", "id")).select(
@@ -285,11 +285,12 @@ class ChunkFeed(Feed):
             F.lit(self.dimension or 0).cast("int").alias("dimension"),
             F.col("embedding_metadata").alias("metadata"), "ord", F.col("arrived_at").alias("at"),
         )
+        rows = durable(rows, "vectors")
         # A vector and its document carry the same idempotency keys, so what the
         # documents accepted the embeddings accept.
         vectors = U.upsert_embeddings(
             self.embeddings.current(batch_id, only=accepted.select("vector_id")), rows, bound=True,
-            touched_only=True, taken=self.embeddings.versions(batch_id).select("id"),
+            touched_only=True, staged=True, taken=self.embeddings.versions(batch_id).select("id"),
         )
         self.documents.append(documents, batch_id)
         self.embeddings.append(vectors.rows, batch_id)
