@@ -12,19 +12,21 @@ from pyspark.sql.types import StringType
 VARIANT_MAP = "map<string,variant>"
 
 
-@F.pandas_udf(StringType())
-def _canonical_json(texts: pd.Series) -> pd.Series:
+def _canonical_json(text: Column) -> Column:
     """Last-key-wins rewrite of JSON texts; unparsable texts become NULL."""
 
-    def rewrite(text):
-        if text is None:
-            return None
-        try:
-            return json.dumps(json.loads(text), ensure_ascii=False, allow_nan=False)
-        except ValueError:
-            return None
+    # Defined here so that workers get it by value and need no package installed.
+    @F.pandas_udf(StringType())
+    def rewrite_all(texts: pd.Series) -> pd.Series:
+        def rewrite(one):
+            try:
+                return json.dumps(json.loads(one), ensure_ascii=False, allow_nan=False)
+            except ValueError:
+                return None
 
-    return texts.map(rewrite, na_action="ignore")
+        return texts.map(rewrite, na_action="ignore")
+
+    return rewrite_all(text)
 
 
 def strict_json(text: Column, exact: bool = False) -> Column:

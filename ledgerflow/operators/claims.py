@@ -3,7 +3,7 @@
 Rows arrive in ``order``. A row for ``key`` is accepted when none of its claim
 values is held by *another* key at that moment; accepting it makes the key hold
 exactly the row's values, releasing the ones it held before. A rejected row
-changes nothing.
+changes nothing. Order values must be unique among the incoming rows.
 """
 
 from __future__ import annotations
@@ -155,7 +155,7 @@ def resolve_claims(incoming: DataFrame, existing: DataFrame | None, key: str, cl
         pending = wave.where(F.col("accepted").isNull()).drop("accepted")
         before, left = left, pending.count()
         if left >= before:
-            raise RuntimeError(f"claims on {claims} made no progress with {left} rows left; is {order} unique?")
+            raise RuntimeError(f"claims on {claims} made no progress with {left} rows left")
         # Rows decided so far, from every wave's files in one scan.
         settled = spark.read.schema(wave.schema).parquet(*waves).where(F.col("accepted").isNotNull())
         now = stored.unionByName(settled.where("accepted").drop("accepted").withColumn("_gen", F.lit(1)))

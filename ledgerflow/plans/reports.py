@@ -540,7 +540,7 @@ def chat_dispositions(spark, folder):
     )
     prepared = chat.prepared_turns(E.chat_turns(raw))
     wanted = prepared.where(F.col("screen").isNull()).select("event_id", "idempotency_key", "arrived_at", "ord", "valid")
-    judged = dedup.settle(wanted, None)
+    judged = dedup.settle(durable(wanted), None)
     outcome = F.when(F.col("repeat"), "duplicate").when(F.col("valid"), "processed").otherwise("failed")
     skipped = prepared.where(F.col("screen").isNotNull()).select("event_id", F.col("screen").alias("disposition"))
     return judged.select("event_id", outcome.alias("disposition")).unionByName(skipped)
