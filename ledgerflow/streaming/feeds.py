@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -83,7 +83,13 @@ class Feed:
         return projected.withColumn("ord", F.col("ord").withField("at", first.cast("long"))).drop("redelivered")
 
     def _live_ledger(self, rows: DataFrame, batch_id: int) -> DataFrame:
-        return self.ledger.versions(batch_id).join(rows.select("idempotency_key").distinct(), "idempotency_key", "left_semi")
+        """Marks of the batch's keys that may still be in force at its earliest row."""
+        marks = self.ledger.versions(batch_id)
+        earliest = rows.agg(F.min("arrived_at")).first()[0]
+        if earliest is not None:
+            # A plain literal, so that old files are skipped by their statistics.
+            marks = marks.where(F.col("marked_at") >= F.lit(earliest - timedelta(seconds=self.ttl_seconds)))
+        return marks.join(rows.select("idempotency_key").distinct(), "idempotency_key", "left_semi")
 
     def _finish(self, taken: DataFrame, outcome: DataFrame, failed: DataFrame, batch_id: int, payload, raw: tuple[str, ...]) -> None:
         """Route failures and write attempts, dead letters, ledger and dispositions.

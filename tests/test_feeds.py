@@ -168,3 +168,24 @@ def test_table_log_versions(spark, root):
     log.compact(1)
     log.append(make([row(2, "b", "3")]), 2)
     assert {r.session_id: r.title for r in log.current().collect()} == {"a": "2", "b": "3"} and log.generation() == 1
+
+
+def test_first_within_watermark(spark, root):
+    from ledgerflow.streaming.watermark import first_within
+
+    def arrive(rows):
+        data = [(k, DAY0 + timedelta(seconds=s), n) for k, s, n in rows]
+        spark.createDataFrame(data, "idempotency_key string, arrived_at timestamp, n int").coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+    def run():
+        stream = spark.readStream.schema("idempotency_key string, arrived_at timestamp, n int").parquet(f"{root}/in")
+        query = first_within(stream, delay="10 seconds").writeStream.format("parquet").option("path", f"{root}/out")
+        query.option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.n for r in spark.read.parquet(f"{root}/out").collect())
+
+    arrive([("a", 0, 1), ("b", 5, 2)])
+    assert run() == [1, 2]
+    arrive([("a", 8, 3), ("c", 60, 4)])
+    assert run() == [1, 2, 4]
+    arrive([("a", 70, 5)])
+    assert run() == [1, 2, 4, 5]
