@@ -97,6 +97,11 @@ def retry_count_key(stream: Column, event_id: Column) -> Column:
     return F.concat_ws(":", F.lit(RETRY_PREFIX), stream, event_id)
 
 
+def folded_key(key: Column) -> Column:
+    """Optional: compare a key without regard to case, accents and trailing spaces."""
+    return F.collate(key, "UNICODE_CI_AI_RTRIM")
+
+
 def event_id_text(raw: Column) -> Column:
     """Event id as text: bytes are decoded, anything else is cast."""
     return decode_text(raw)
@@ -111,9 +116,9 @@ def dead_letter_stream(stream: Column, names: Mapping[str, str] = DEAD_LETTER_ST
     return fallback if out is None else out.otherwise(fallback)
 
 
-def generated_message_id(session_id: Column, idem_key: Column, role: str) -> Column:
+def generated_message_id(*parts: Column) -> Column:
     """Id for a message that came without one: stable, so a replay repeats it."""
-    return F.substring(F.sha2(F.concat_ws("|", session_id, idem_key, F.lit(role)), 256), 1, 32)
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)
 
 
 def embedding_model(given: Column, configured: str | None = None) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ranking import SPLIT_EVERY, bounded, points_below, split_points
+from .ranking import bounded, points_below, split_points
 
 WEEK_SECONDS = 7 * 24 * 3600
+# Distinct stamps folded in one array before a key is cut.
+STAMPS_PER_RANGE = 1_000_000
 
 
 def live_marks(ledger: DataFrame, now: Column, ttl_seconds: int = WEEK_SECONDS) -> DataFrame:
@@ -45,7 +47,7 @@ def _walk(stamps: Column, start: Column, ttl: int) -> Column:
     return F.aggregate(F.filter(stamps, lambda t: t > start), F.array(start), step)
 
 
-def kept_stamps(stamps: DataFrame, key: str, ts: str, ttl: int, every: int = SPLIT_EVERY) -> DataFrame:
+def kept_stamps(stamps: DataFrame, key: str, ts: str, ttl: int, every: int = STAMPS_PER_RANGE) -> DataFrame:
     """``(key, ts)`` of the instants that survive the TTL rule.
 
     ``stamps`` holds distinct ``(key, ts)`` with ``ts`` a LONG. A small key is one
@@ -99,7 +101,7 @@ def kept_stamps(stamps: DataFrame, key: str, ts: str, ttl: int, every: int = SPL
 
 
 def first_seen(rows: DataFrame, key: str, now: str, order: str, ttl_seconds: int = WEEK_SECONDS,
-               prior: DataFrame | None = None, every: int = SPLIT_EVERY) -> DataFrame:
+               prior: DataFrame | None = None, every: int = STAMPS_PER_RANGE) -> DataFrame:
     """Marks ``(key, mark, order)`` set by rows processed in ``(now, order)`` sequence.
 
     A row sets a mark when no earlier mark of its key is at most ``ttl_seconds``
@@ -145,7 +147,7 @@ def mark_repeats(rows: DataFrame, marks: DataFrame, key: str, now: str, order: s
     return joined.select(*[F.col(f"r.{c}") for c in rows.columns], F.col("m._mark").isNotNull().alias("repeat"))
 
 
-def settle(rows: DataFrame, ledger: DataFrame | None, ttl_seconds: int = WEEK_SECONDS, every: int = SPLIT_EVERY) -> DataFrame:
+def settle(rows: DataFrame, ledger: DataFrame | None, ttl_seconds: int = WEEK_SECONDS, every: int = STAMPS_PER_RANGE) -> DataFrame:
     """Add ``repeat`` to a batch of rows, against the ledger and within the batch.
 
     ``rows``: idempotency_key, arrived_at, ord, valid. Only valid rows set marks,

@@ -26,27 +26,29 @@ def bounded(points: DataFrame, every: int) -> DataFrame:
 
 
 def split_points(df: DataFrame, keys: Sequence[str], order: str, every: int = SPLIT_EVERY) -> DataFrame:
-    """``(keys, _points)``: the sorted split points of each group that has any."""
+    """``(keys, _points)``: the sorted split points of each group that has any.
+
+    ``_points`` holds them as ``values``, next to the halving ``steps`` of a
+    search over them.
+    """
     picked = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.col(order)), F.lit(every)) == 0
-    return (
-        df.where(picked & F.col(order).isNotNull())
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set(order)).alias("_points"))
+    values = df.where(picked & F.col(order).isNotNull()).groupBy(*keys).agg(
+        F.array_sort(F.collect_set(order)).alias("values")
+    )
+    top = F.floor(F.log2(F.greatest(F.size("values"), F.lit(1)))).cast("int")
+    steps = F.transform(F.sequence(top, F.lit(0), F.lit(-1)), lambda e: F.pow(F.lit(2), e).cast("int"))
+    return values.select(*keys, F.struct("values", steps.alias("steps")).alias("_points"))
+
+
+def points_below(points: Column, value: Column) -> Column:
+    """How many of the sorted point values are <= ``value``, by halving steps."""
+    values = points["values"]
+    return F.aggregate(
+        points["steps"],
+        F.lit(0),
+        # Beyond the end ``get`` is NULL and the position stays.
+        lambda at, step: F.when(F.get(values, at + step - 1) <= value, at + step).otherwise(at),
     )
-
-
-def points_below(points: Column, value: Column, depth: int = 40) -> Column:
-    """How many of the sorted ``points`` are <= ``value`` (binary search)."""
-    start = F.struct(F.lit(0).alias("lo"), F.size(points).alias("hi"))
-
-    def step(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        left = F.struct(acc["lo"].alias("lo"), mid.alias("hi"))
-        right = F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))
-        return F.when(acc["lo"] >= acc["hi"], acc).when(F.get(points, mid) <= value, right).otherwise(left)
-
-    steps = F.sequence(F.lit(1), F.least(F.lit(depth), F.ceil(F.log2(F.size(points) + 1)).cast("int") + 1))
-    return F.aggregate(steps, start, step, lambda acc: acc["lo"])
 
 
 def with_bucket(df: DataFrame, keys: Sequence[str], order: str, every: int = SPLIT_EVERY) -> DataFrame:
@@ -56,7 +58,7 @@ def with_bucket(df: DataFrame, keys: Sequence[str], order: str, every: int = SPL
         joined = df.join(bounded(points, every), list(keys), "left")
     else:
         joined = df.withColumn("_points", points.select("_points").scalar())
-    cut = F.size(F.coalesce(F.col("_points"), F.array().cast(points.schema["_points"].dataType))) > 0
+    cut = F.coalesce(F.size(F.col("_points.values")) > 0, F.lit(False))
     number = F.when(cut, points_below(F.col("_points"), F.col(order))).otherwise(0)
     return joined.select(*[F.col(c) for c in df.columns], number.alias("_bucket"), cut.alias("_cut"))
 

@@ -182,12 +182,15 @@ def record_turns(turns: DataFrame) -> DataFrame:
 
     ``turns``: session_id, user_text, assistant_text, user_message_id,
     assistant_message_id, trace_id, idempotency_key, user_metadata,
-    assistant_metadata, ord, at. A missing message id gets a stable one.
+    assistant_metadata, ord, at, and optionally event_id. A missing message id
+    gets one made from the session, key, event and role: the same event gives the
+    same messages again, another event gives new ones.
     """
+    event = [F.col("event_id")] if "event_id" in turns.columns else []
 
     def side(role: str, place: int) -> Column:
         given = F.nullif(F.col(f"{role}_message_id"), F.lit(""))
-        made = K.generated_message_id(F.col("session_id"), F.coalesce("idempotency_key", F.lit("")), role)
+        made = K.generated_message_id(F.col("session_id"), F.coalesce("idempotency_key", F.lit("")), *event, F.lit(role))
         return F.struct(
             F.lit(role).alias("role"), F.coalesce(given, made).alias("message_id"),
             F.col(f"{role}_text").alias("text"), F.col(f"{role}_metadata").alias("metadata"),

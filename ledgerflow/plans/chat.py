@@ -57,7 +57,7 @@ def turn_rows(prepared: DataFrame) -> DataFrame:
     return prepared.select(
         "session_id", F.col("question").alias("user_text"), F.col("answer").alias("assistant_text"),
         "conversation_title", "user_message_id", "assistant_message_id", "trace_id", "idempotency_key",
-        "user_metadata", "assistant_metadata", "ord", F.col("arrived_at").alias("at"),
+        "user_metadata", "assistant_metadata", "event_id", "ord", F.col("arrived_at").alias("at"),
     )
 
 

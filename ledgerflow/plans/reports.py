@@ -12,8 +12,9 @@ from ..functions.jsontext import VARIANT_MAP, as_variant_map, merge_metadata, so
 from ..operators import audit, dedup, history, ranking, retry
 from ..operators import upsert as U
 from ..operators.claims import first_claims
-from ..session import durable
+from ..session import durable, scratch_table
 from ..sources import events as E
+from ..streaming.feeds import ChatFeed, ChunkFeed, prepared_chunks
 from . import chat, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -521,10 +522,25 @@ def ttl_marks(spark, folder):
     return dedup.first_seen(rows, "key", "now", "event_id").select("key", "event_id")
 
 
-@report(f"""WITH RECURSIVE rows AS (SELECT event_id, user_id::VARCHAR AS key, epoch_us(ts) AS t, event_type <> 'error' AS valid, event_type
-    FROM events WHERE event_type NOT IN ('signup', 'view')),
-  {NEXT_MARKS},
-  marks AS (SELECT k.key, k.t, min(r.event_id) AS event_id FROM kept k JOIN rows r ON r.key = k.key AND r.t = k.t AND r.valid GROUP BY 1, 2)
+TURN_MARKS = f"""
+rows AS (SELECT event_id, user_id::VARCHAR AS key, epoch_us(ts) AS t, event_type <> 'error' AS valid, event_type
+  FROM events WHERE event_type NOT IN ('signup', 'view')),
+{NEXT_MARKS},
+marks AS (SELECT k.key, k.t, min(r.event_id) AS event_id FROM kept k JOIN rows r ON r.key = k.key AND r.t = k.t AND r.valid GROUP BY 1, 2)
+"""
+
+
+def repeated_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """A feed in which a user repeats one turn; error events carry unusable metadata."""
+    kind = F.col("event_type")
+    return feed(
+        spark, folder, event_type=F.when(kind == "signup", "other").otherwise("qa_turn"),
+        session_id=F.when(kind == "view", "").otherwise(F.col("user_id").cast("string")), question=F.lit("q"),
+        user_metadata=F.when(kind == "error", "[1]").otherwise(F.col("props")),
+    )
+
+
+@report(f"""WITH RECURSIVE {TURN_MARKS}
   SELECT r.event_id || '-0' AS event_id, CASE WHEN EXISTS (SELECT 1 FROM marks m WHERE m.key = r.key AND r.t BETWEEN m.t AND m.t + 604800000000
       AND (r.t > m.t OR r.event_id > m.event_id)) THEN 'duplicate' WHEN r.valid THEN 'processed' ELSE 'failed' END AS disposition
   FROM rows r
@@ -532,13 +548,7 @@ def ttl_marks(spark, folder):
   FROM events WHERE event_type IN ('signup', 'view')""")
 def chat_dispositions(spark, folder):
     """STR1, STR7: each event's outcome; failing events set no mark and leave their key free."""
-    kind = F.col("event_type")
-    raw = feed(
-        spark, folder, event_type=F.when(kind == "signup", "other").otherwise("qa_turn"),
-        session_id=F.when(kind == "view", "").otherwise(F.col("user_id").cast("string")), question=F.lit("q"),
-        user_metadata=F.when(kind == "error", "[1]").otherwise(F.col("props")),
-    )
-    prepared = chat.prepared_turns(E.chat_turns(raw))
+    prepared = chat.prepared_turns(E.chat_turns(repeated_turns(spark, folder)))
     wanted = prepared.where(F.col("screen").isNull()).select("event_id", "idempotency_key", "arrived_at", "ord", "valid")
     judged = dedup.settle(durable(wanted), None)
     outcome = F.when(F.col("repeat"), "duplicate").when(F.col("valid"), "processed").otherwise("failed")
@@ -546,6 +556,19 @@ def chat_dispositions(spark, folder):
     return judged.select("event_id", outcome.alias("disposition")).unionByName(skipped)
 
 
+@report(f"""WITH RECURSIVE {TURN_MARKS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, event_id) AS n FROM marks)
+  SELECT key AS session_id, 'user' AS role, 'q' AS text, (2 * n - 1)::INTEGER AS seq, event_id || '-0' AS redis_event_id FROM numbered
+  UNION ALL SELECT key, 'assistant', '', (2 * n)::INTEGER, event_id || '-0' FROM numbered""")
+def chat_feed_messages(spark, folder):
+    """STR7, SNK1-2: the whole feed as one batch, down to the stored messages."""
+    chat_rows = ChatFeed(spark, scratch_table(spark, "feed"))
+    chat_rows.process(repeated_turns(spark, folder), 0)
+    sessions = chat_rows.conversations.current().select(F.col("id").alias("conversation_id"), "session_id")
+    return chat_rows.messages.current().join(sessions, "conversation_id").select(
+        "session_id", "role", "text", "seq", F.get_json_object("metadata", "$.redis_event_id").alias("redis_event_id")
+    )
+
+
 @report("""WITH mark AS (SELECT user_id, max(ts) AS marked_at FROM events WHERE event_type = 'purchase' GROUP BY 1),
   now AS (SELECT max(ts) AS t FROM events)
   SELECT e.event_id, e.user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM mark m, now
@@ -670,8 +693,6 @@ def chunk_feed(spark: SparkSession, folder: str) -> DataFrame:
   || '", "vector_id": "' || vector_id || '"}}|' || vector_id) AS idempotency_key, NULL::VARCHAR AS screen, 7 AS entries FROM v""")
 def chunk_event_fields(spark, folder):
     """PRJ6-PRJ8, FLT3, FLT4, KEY7, MAP5: typed, keyed and enriched chunk events."""
-    from ..streaming.feeds import prepared_chunks
-
     prepared = prepared_chunks(E.chunk_events(chunk_feed(spark, folder), "library"))
     return prepared.select(
         "event_id", "collection_name", "backend", "persist_directory", F.col("event_trace").alias("trace_id"), "source",
@@ -683,14 +704,26 @@ def chunk_event_fields(spark, folder):
   SELECT event_id, CASE WHEN holder = event_id THEN 'processed' ELSE 'retry' END AS disposition FROM o""")
 def chunk_dispositions(spark, folder):
     """STR8: chunks whose text another document holds fail and are retried."""
-    from ..streaming.feeds import prepared_chunks
-
     prepared = prepared_chunks(E.chunk_events(chunk_feed(spark, folder), "library"))
     rows = prepared.select("event_id", "document_key", K.content_hash(F.col("chunk_text")).alias("content_hash"), "ord")
     verdicts = first_claims(rows, None, "document_key", "content_hash", "ord")
     return verdicts.select("event_id", F.when(F.col("accepted"), "processed").otherwise("retry").alias("disposition"))
 
 
+@report(f"""WITH {CHUNK_EVENTS}, o AS (SELECT *, first_value(event_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS holder FROM v)
+  SELECT document_key, vector_id, source, lang AS trace_id, sha256(text) AS content_hash, 'mini' AS model, 64::INTEGER AS dimension, event_id
+  FROM o WHERE holder = event_id""")
+def chunk_feed_documents(spark, folder):
+    """STR8, SNK3-5: the whole feed as one batch, down to stored documents and embeddings."""
+    chunk_rows = ChunkFeed(spark, scratch_table(spark, "feed"), collection="library", model="mini", dimension=64)
+    chunk_rows.process(chunk_feed(spark, folder), 0)
+    embeddings = chunk_rows.embeddings.current().select(F.col("document_id").alias("id"), "vector_id", "model", "dimension", "idempotency_key")
+    done = chunk_rows.ledger.versions().select("idempotency_key", "event_id")
+    return chunk_rows.documents.current().drop("idempotency_key").join(embeddings, "id").join(done, "idempotency_key").select(
+        "document_key", "vector_id", "source", "trace_id", "content_hash", "model", "dimension", "event_id"
+    )
+
+
 @report("""SELECT doc_id, lang AS source, 'library' AS collection_name, 'chroma' AS backend, '/data' AS persist_directory, NULL::VARCHAR AS no_directory FROM documents""")
 def merged_metadata(spark, folder):
     """MAP3, MAP4, JS2: right-biased merge with an optional entry."""

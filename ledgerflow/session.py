@@ -30,13 +30,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder lineage cuts go to.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; a temporary
-    one is made only where that setting is absent (local runs and tests).
+    one is made only in local runs and tests, where that setting is absent.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="ledgerflow-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()

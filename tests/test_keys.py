@@ -78,6 +78,11 @@ def test_embedding_defaults(one):
     assert one(K.embedding_dimension(none.cast("int"), vec), K.embedding_dimension(F.lit(9), vec)) == (2, 9)
 
 
+def test_folded_key(spark):
+    rows = spark.createDataFrame([("Ab",), ("ab ",), ("áb",), ("c",)], "k string")
+    assert rows.select(K.folded_key(F.col("k")).alias("k")).distinct().count() == 2
+
+
 def test_iso_timestamp(spark):
     rows = [(datetime(2024, 1, 2, 3, 4, 5),), (datetime(2024, 1, 2, 3, 4, 5, 60),)]
     got = [r[0] for r in spark.createDataFrame(rows, "t timestamp").select(K.iso_timestamp(F.col("t"))).collect()]
