@@ -31,7 +31,8 @@ class Merge(NamedTuple):
 
 
 def empty(spark: SparkSession, table: schema.Table) -> DataFrame:
-    return spark.createDataFrame([], table.struct)
+    """No rows; the constant filter lets the optimizer drop joins with it."""
+    return spark.createDataFrame([], table.struct).where(F.lit(False))
 
 
 def _stored(existing: DataFrame | None, spark: SparkSession, table: schema.Table) -> DataFrame:
