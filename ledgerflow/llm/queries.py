@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import held_out, table
+from .language import identify
+from .sharding import shard_documents
 from .tokens import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +30,14 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op8_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_documents(table(spark, folder, "documents"))
+
+
+@query
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    told = identify(table(spark, folder, "documents"), ~held_out())
+    return told.select("doc_id", (~told["train"]).alias("held_out"), "lang_pred", "score")
