@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import held_out, table
 from .language import identify
+from .pii import pii_report
 from .sharding import shard_documents
 from .tokens import count_tokens
 
@@ -25,6 +26,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii_report(table(spark, folder, "documents"))
+
+
 @query
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
