@@ -11,6 +11,7 @@ from .language import identify
 from .pii import pii_report
 from .sharding import shard_documents
 from .tokens import count_tokens
+from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +32,13 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii_report(table(spark, folder, "documents"))
 
 
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, folder, "labels"), ~held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 @query
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
