@@ -17,7 +17,7 @@ from .common import share_of
 
 TRAIN_ROWS = 20_000  # expected number of labelled rows to learn from, at most
 STEMS = 400  # learned insult stems, at most
-STEM_LENGTHS = range(4, 8)
+STEM_LENGTHS = range(4, 9)
 
 # Words of the grammar's classes, fixed values. Insults and threats are stems.
 INSULTS = "idiot moron stupid trash scum loser clown pathetic worthless disgusting imbecil dumb fool jerk vermin garbage".split()
@@ -106,9 +106,10 @@ class Grammar:
         self.insults, self.threats = insults, set(threats)
         self.closed = {w: k for k, ws in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in ws}
         self.closed |= {q: "quote" for q in QUOTES}
-        self.lengths = sorted({len(s) for s in (*insults, *threats)})
+        plain = {s.rstrip("+") for s in (*insults, *threats)}
+        self.lengths = sorted({len(s) for s in plain})
         self.stems = ahocorasick.Automaton()
-        for stem in (*insults, *threats):
+        for stem in plain:
             self.stems.add_word(stem, len(stem))
         if insults or threats:
             self.stems.make_automaton()
@@ -117,8 +118,9 @@ class Grammar:
         if word in self.closed:
             return self.closed[word], 0.0
         for n in self.lengths:
-            if word[:n] in self.insults:
-                return "insult", self.insults[word[:n]]
+            for stem in (word[:n], word[:n] + "+" * (len(word) > n)):
+                if stem in self.insults:
+                    return "insult", self.insults[stem]
             if word[:n] in self.threats:
                 return "threat", 1.0
         return "other", 0.0
@@ -153,8 +155,8 @@ def stem_weights(sample: DataFrame, limit: int = STEMS) -> dict[str, float]:
     """Insult stems: the fixed list, and word beginnings that set toxic documents of the sample apart.
 
     A stem is taken if at least 5 toxic documents have it and it is ten times
-    likelier in those; its weight is the log-odds. Stems that begin with a taken
-    one are left out.
+    likelier in those; its weight is the log-odds. One that ends in + asks for
+    more letters. Stems that begin with a taken one are left out.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +165,7 @@ def stem_weights(sample: DataFrame, limit: int = STEMS) -> dict[str, float]:
             for label, text in zip(batch.column("toxic").to_pylist(), texts):
                 words = set(_TOKEN.findall(text.lower()))
                 found[label].update({w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n})
+                found[label].update({w[:n] + "+" for w in words for n in STEM_LENGTHS if len(w) > n})
                 found[label][""] += 1
             for label, counts in found.items():
                 yield pa.RecordBatch.from_arrays(
@@ -182,8 +185,10 @@ def stem_weights(sample: DataFrame, limit: int = STEMS) -> dict[str, float]:
     apart = each.where("stem <> '' AND toxic >= 5").withColumn("odds", odds).where(F.col("odds") > math.log(10))
     # What each stem explains: its odds for all the toxic documents that have it.
     best = apart.orderBy((F.col("odds") * F.col("toxic")).desc(), F.length("stem"), "stem").limit(limit).collect()
-    for row in sorted(best, key=lambda r: (len(r.stem), r.stem)):
-        if not any(row.stem[:n] in weights for n in range(1, len(row.stem))):
+    for row in sorted(best, key=lambda r: (len(r.stem.rstrip("+")), r.stem)):
+        plain = row.stem.rstrip("+")
+        shorter = (plain[:n] + mark for n in range(1, len(plain)) for mark in ("", "+"))
+        if plain not in weights and not any(s in weights for s in shorter):
             weights[row.stem] = round(row.odds, 4)
     return weights
 
