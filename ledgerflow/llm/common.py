@@ -112,3 +112,32 @@ def shingle_hashes(hashes: np.ndarray, owner: np.ndarray, count: int, width: int
         new = np.concatenate([[True], (total[1:] != total[:-1]) | (texts[1:] != texts[:-1])])
         total, texts = total[new], texts[new]
     return total, texts
+
+
+class Sieve:
+    """A bit for each residue of a set of 64-bit numbers: lets all of the set pass and drops most others.
+
+    Its size is fixed, whatever the set's, so it may be sent to every task; what
+    passes must still be joined with the set. A set far larger than the sieve
+    makes it let more through, nothing else.
+    """
+
+    BITS = 1 << 24
+    _CELL = 8 * 4096  # bits in one of the engine's bitmaps
+
+    def __init__(self, numbers: DataFrame, column: str):
+        place = F.pmod(F.col(column), F.lit(self.BITS)) + 1  # the engine counts bits from 1
+        # At most BITS / _CELL rows of 4 KiB.
+        cells = (
+            numbers.select(place.alias("b"))
+            .groupBy(F.bitmap_bucket_number("b").alias("cell"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+            .collect()
+        )
+        self.bits = np.zeros((self.BITS // self._CELL, 4096), np.uint8)
+        for row in cells:
+            self.bits[row.cell - 1] = np.frombuffer(row.bits, np.uint8)
+
+    def passes(self, numbers: np.ndarray) -> np.ndarray:
+        at = np.mod(numbers.view(np.int64), self.BITS)
+        return (self.bits.ravel()[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import held_out, table
 from .language import identify
+from .nearcopies import near_copies
 from .pii import pii_report
 from .sharding import shard_documents
 from .tokens import count_tokens
@@ -51,6 +52,11 @@ def op8_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"))
 
 
+@query
+def op9_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies(table(spark, folder, "documents"), width=2, percent=80)
+
+
 @query
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     told = identify(table(spark, folder, "documents"), ~held_out())
