@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import held_out, table
 from .language import identify
 from .nearcopies import near_copies
 from .pii import pii_report
 from .sharding import shard_documents
+from .suffixes import remove_repeats
 from .tokens import count_tokens
 from .toxicity import score_toxicity
 
@@ -33,6 +34,12 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii_report(table(spark, folder, "documents"))
 
 
+@query
+def op3_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    done = remove_repeats(table(spark, folder, "documents"), 400)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
