@@ -14,6 +14,7 @@ from .sharding import shard_documents
 from .suffixes import remove_repeats
 from .tokens import count_tokens
 from .toxicity import score_toxicity
+from .vectors import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +35,11 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii_report(table(spark, folder, "documents"))
 
 
+@query
+def op2_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 @query
 def op3_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     done = remove_repeats(table(spark, folder, "documents"), 400)
