@@ -141,3 +141,33 @@ class Sieve:
     def passes(self, numbers: np.ndarray) -> np.ndarray:
         at = np.mod(numbers.view(np.int64), self.BITS)
         return (self.bits.ravel()[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def sieved(docs: DataFrame, sieve: Sieve, passing: bool) -> DataFrame:
+    """Rows whose ``doc`` (a number, not NULL) passes the sieve, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sieve.passes(batch.column("doc").to_numpy()) == passing))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``doc`` and ``part``, which tell rows apart: the id, -1 for NULL, and a hash of the text.
+
+    Rows with equal keys have equal ids and texts, so what is found for one
+    holds for the other.
+    """
+    return docs.withColumns({
+        "doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)),
+        "part": F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))),
+    })
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``(doc, part)`` is not listed in ``gone``; texts are shuffled only where they may be."""
+    known = keyed(docs)
+    sieve = Sieve(gone, "doc")
+    rest = sieved(known, sieve, True).join(gone.select("doc", "part").distinct(), ["doc", "part"], "left_anti")
+    return sieved(known, sieve, False).unionByName(rest).select(*docs.columns)

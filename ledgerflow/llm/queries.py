@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import held_out, table
 from .language import identify
 from .nearcopies import near_copies
+from .packing import pack_documents
 from .pii import pii_report
 from .sharding import shard_documents
 from .suffixes import remove_repeats
+from .templates import contamination
 from .tokens import count_tokens
 from .toxicity import score_toxicity
 from .vectors import near_vectors
@@ -46,6 +48,16 @@ def op3_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"))
+
+
+@query
+def op5_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
-from .common import Sieve, mixed, pieces, powers
+from .common import Sieve, keyed, mixed, pieces, powers, sieved
 
 LENGTH = 400  # bytes of a string that must not repeat
 HEAD = 200  # leading bytes that make a suffix's leading token
@@ -340,12 +340,8 @@ class RepeatedStrings:
     def removed(self, docs: DataFrame) -> DataFrame:
         """See :func:`remove_repeats`."""
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-        keyed = docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
-            # Ids may repeat or be missing; equal rows may share a key.
-            F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.hash(text).alias("part"),
-        )
-        ranges = self.covered(keyed)
+        known = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
+        ranges = self.covered(known)
         schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,8 +362,8 @@ class RepeatedStrings:
 
         # Only texts that may lose bytes are shuffled.
         sieve = Sieve(ranges, "doc")
-        cut = sieved(keyed, sieve, True).join(ranges, ["doc", "part"], "left").select("doc_id", "text", "lo", "hi")
-        whole = sieved(keyed, sieve, False).select("doc_id", "text")
+        cut = sieved(known, sieve, True).join(ranges, ["doc", "part"], "left").select("doc_id", "text", "lo", "hi")
+        whole = sieved(known, sieve, False).select("doc_id", "text")
         return cut.mapInArrow(run, schema).union(whole.mapInArrow(run, schema))
 
 
@@ -381,16 +377,6 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[np.append(np.flatnonzero(new)[1:] - 1, len(lo) - 1)]
 
 
-def sieved(docs: DataFrame, sieve: Sieve, passing: bool) -> DataFrame:
-    """Rows whose ``doc`` passes the sieve, or the others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(sieve.passes(batch.column("doc").to_numpy()) == passing))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
 def suffix_rows(found: list[tuple]) -> pa.RecordBatch:
     words = np.frombuffer(b"".join(f[1] for f in found), np.int64).reshape(-1, 2)
     columns = [
