@@ -16,7 +16,7 @@ from .components import components
 BANDS, ROWS = 28, 4  # a pair at similarity 0.8 misses all bands once in 2.6 million
 BATCH = 16  # signature values that are compared at a time
 MISS = 1e-6  # posterior probability of a link below which a pair is given up
-BLOCK = 1024  # members of a bucket that one task compares with as many others
+BLOCK = 512  # members of a cluster that one task compares with others
 
 
 def signatures(shingles: np.ndarray, owner: np.ndarray, count: int, size: int) -> np.ndarray:
@@ -63,6 +63,17 @@ def surviving(left: np.ndarray, right: np.ndarray, batch: int, limits: list[int]
     return alive
 
 
+def alike(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach ``percent`` of their union."""
+    if len(left) > len(right):
+        left, right = right, left
+    if not len(left) or 100 * len(left) < percent * len(right):
+        return False
+    at = np.minimum(np.searchsorted(right, left), len(right) - 1)
+    both = int((right[at] == left).sum())
+    return 100 * both >= percent * (len(left) + len(right) - both)
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -177,49 +188,70 @@ class NearCopies:
             for batch in batches:
                 hits = []
                 for at, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
-                    left, right = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                    if 100 * min(len(left), len(right)) >= percent * max(len(left), len(right)):
-                        both = len(np.intersect1d(left, right, assume_unique=True))
-                        if 100 * both >= percent * (len(left) + len(right) - both):
-                            hits.append(at)
+                    if alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent):
+                        hits.append(at)
                 yield batch.select(["a", "b"]).take(pa.array(hits, pa.int64()))
 
         with_sets = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
         return with_sets.mapInArrow(run, "a long, b long")
 
-    def across(self, members: DataFrame, signed: DataFrame) -> DataFrame:
-        """Likely pairs of bucket members ``(bucket, id, component)`` in different components.
+    def across(self, members: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links ``(a, b)`` that join different components among the members ``(bucket, id, component)``.
 
-        A bucket is cut into blocks by a hash of the id; each pair of blocks is
-        one group, so its size is bounded, and no pair of the bucket is left
-        out. Pairs are compared where they lie; only likely ones come out.
+        Members that share buckets, directly or through others, are a cluster.
+        Its largest component is set apart; the rest is compared with it and
+        with itself in pairs of blocks, so a group's size is bounded and no pair
+        of different components is left out. Pairs are pruned and confirmed
+        where they lie; once two components are joined there, no more of their
+        pairs are looked at.
         """
-        limits, block = self.limits, self.block
-        counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        cut = members.join(counts, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "bucket", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+        limits, percent, block = self.limits, self.percent, self.block
+        heads = members.groupBy("bucket").agg(F.min("id").alias("head"))
+        shared = members.join(heads, "bucket").select(F.col("head").alias("a"), F.col("id").alias("b"))
+        cluster = components(shared).withColumnRenamed("component", "cluster")
+        each = durable(members.select("id", "component").distinct().join(cluster, "id"), "clusters")
+        sizes = each.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+        most = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("n"))
+        parts = most.select(
+            "cluster", "main", F.ceil((F.col("n") - F.col("main_n")) / block).cast("int").alias("rests"),
+            F.ceil(F.col("main_n") / (4 * block)).cast("int").alias("mains"),
+        )
+        cut = each.join(parts, "cluster").withColumn("rest", F.col("component") != F.col("main"))
+        own = F.when(F.col("rest"), F.pmod(F.xxhash64("id"), F.col("rests"))).otherwise(F.col("rests") + F.pmod(F.xxhash64("id"), F.col("mains")))
+        others = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("rests") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("rests") - 1))
+        spread = cut.withColumn("own", own.cast("int")).withColumn("other", F.explode(others)).select(
+            "cluster", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
         )
-        rows = spread.join(signed.select("id", "sig"), "id")
+        rows = spread.join(signed.select("id", "sig"), "id").join(sets, "id")
 
         def run(table: pa.Table) -> pa.Table:
             ids, part = table.column("id").to_numpy(), table.column("component").to_numpy()
-            own, i = table.column("own").to_numpy(), table.column("i").to_numpy()
-            j = table.column("j").to_numpy()
+            own, i, j = table.column("own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
             sig = np.stack(unpack(table.column("sig"), np.uint32))
-            left = np.flatnonzero(own == i)
-            right = np.flatnonzero(own == j)
+            full = unpack(table.column("shingles"), np.uint64)
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            root = {}
+
+            def find(x):
+                while root.setdefault(x, x) != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
             found = []
             for at in left:
                 mates = right[part[right] != part[at]]
-                if i[0] == j[0]:
-                    mates = mates[ids[mates] > ids[at]]
                 alive = surviving(np.broadcast_to(sig[at], (len(mates), sig.shape[1])), sig[mates], BATCH, limits)
-                found += [(min(ids[at], x), max(ids[at], x)) for x in ids[mates[alive]]]
+                mates = mates[alive]
+                # The likeliest first.
+                for mate in mates[np.argsort(-(sig[mates] == sig[at]).sum(axis=1), kind="stable")]:
+                    if find(part[at]) != find(part[mate]) and alike(full[at], full[mate], percent):
+                        root[find(part[at])] = find(part[mate])
+                        found.append((ids[at], ids[mate]))
             pairs = np.array(found, np.int64).reshape(-1, 2)
             return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-        return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
     def grouped(self, docs: DataFrame) -> DataFrame:
         """``(doc_id, n_shingles, component_id, kept)``: see :func:`near_copies`."""
@@ -245,7 +277,7 @@ class NearCopies:
             more = rest.join(heads, "bucket").where("component <> of").select("a", F.col("id").alias("b"))
             links = durable(links.union(self.linked(more, sets)), "links")
         rest = self.apart(members, components(links))
-        links = links.union(durable(self.verified(self.across(rest, sets[0]), sets[1]), "links"))
+        links = links.union(durable(self.across(rest, *sets), "links"))
         part = durable(components(links), "components")
         # Documents follow their set's vertex.
         of_set = named.join(part, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
@@ -277,8 +309,8 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, **options) -
     least. Other columns are ignored.
 
     Equal sets are collapsed before anything else. Buckets of bands are first
-    linked in stars; then all their members of different components are
-    compared, so a bucket yields no pairs within a component and none is
+    linked in stars, a few times; then all members of different components are
+    compared, so no pairs within a component are looked at and none besides is
     skipped. Candidates are pruned by their signatures, batch by batch, and
     confirmed on the full sets.
     """
