@@ -154,20 +154,25 @@ def sieved(docs: DataFrame, sieve: Sieve, passing: bool) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``doc`` and ``part``, which tell rows apart: the id, -1 for NULL, and a hash of the text.
+    """``docs`` with ``doc`` and ``part``, which tell rows apart: the id, the least number for NULL, and a hash of the text.
 
     Rows with equal keys have equal ids and texts, so what is found for one
     holds for the other.
     """
     return docs.withColumns({
-        "doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)),
+        "doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
         "part": F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))),
     })
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``(doc, part)`` is not listed in ``gone``; texts are shuffled only where they may be."""
-    known = keyed(docs)
+    """Rows of ``docs`` whose ``doc``, or ``(doc, part)``, is not listed in ``gone``.
+
+    A sieve of fixed size lets most rows by, so few texts are shuffled.
+    """
+    keys = [c for c in ("doc", "part") if c in gone.columns]
+    names = docs.columns
+    known = keyed(docs.select(F.struct(*names).alias("row"), "doc_id", "text")).select("row", "doc", "part")
     sieve = Sieve(gone, "doc")
-    rest = sieved(known, sieve, True).join(gone.select("doc", "part").distinct(), ["doc", "part"], "left_anti")
-    return sieved(known, sieve, False).unionByName(rest).select(*docs.columns)
+    rest = sieved(known, sieve, True).join(gone.select(*keys).distinct(), keys, "left_anti")
+    return sieved(known, sieve, False).unionByName(rest).select("row.*")
