@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # White space of the word rule: space and the control characters 0x09 to 0x0D.
@@ -45,6 +46,17 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         yield first, part
 
 
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about ``limit`` bytes of text."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy())
+    first = 0
+    while first < batch.num_rows:
+        base = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, base + limit, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all bits (a bijection)."""
     z = values ^ (values >> np.uint64(30))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
-from .common import Sieve, keyed, mixed, pieces, powers, sieved
+from .common import Sieve, keyed, mixed, pieces, powers, sieved, slices
 
 LENGTH = 400  # bytes of a string that must not repeat
 HEAD = 200  # leading bytes that make a suffix's leading token
@@ -231,7 +231,7 @@ class RepeatedStrings:
         each = wanted.groupBy("doc", "part").agg(entry.alias("all"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, "text")):
                 docs_, parts = batch.column("doc").to_pylist(), batch.column("part").to_pylist()
                 found = []
                 for row, (text, value) in enumerate(zip(batch.column("text").cast(pa.binary()), batch.column("all"))):
@@ -345,7 +345,7 @@ class RepeatedStrings:
         schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, "text")):
                 rows = []
                 ranged = "lo" in batch.schema.names
                 for row, value in enumerate(batch.column("text").cast(pa.binary())):
