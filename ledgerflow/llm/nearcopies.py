@@ -282,7 +282,7 @@ class NearCopies:
         # Documents follow their set's vertex.
         of_set = named.join(part, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
         out = described.select("doc_id", "n_shingles", "same").join(of_set, "same", "left")
-        component = F.coalesce("component", "doc_id")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
         return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
     def linked(self, pairs: DataFrame, sets: tuple[DataFrame, DataFrame]) -> DataFrame:
