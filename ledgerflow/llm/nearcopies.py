@@ -16,6 +16,7 @@ from .components import components
 BANDS, ROWS = 28, 4  # a pair at similarity 0.8 misses all bands once in 2.6 million
 BATCH = 16  # signature values that are compared at a time
 MISS = 1e-6  # posterior probability of a link below which a pair is given up
+HEADS = 3  # members of each bucket that all its others are compared with first
 BLOCK = 512  # members of a cluster that one task compares with others
 
 
@@ -262,20 +263,14 @@ class NearCopies:
         first = described.select("doc_id", "same", "sig").join(named.withColumnRenamed("id", "doc_id"), ["doc_id", "same"])
         signed = durable(first.dropDuplicates(["doc_id", "same"]).withColumnRenamed("doc_id", "id"), "vertices")
         buckets = self.banded(signed)
-        shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1")
-        members = durable(buckets.join(shared.select("bucket", "head"), "bucket"), "buckets")
+        heads = [F.min("id").alias("h0"), *[F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in range(1, HEADS)]]
+        shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), *heads).where("n > 1")
+        members = durable(buckets.join(shared.drop("n"), "bucket"), "buckets")
         wanted = signed.select("id", "same").join(members.select("id").distinct(), "id")
         sets = signed, durable(self.full_sets(docs, wanted), "sets")
-        links = self.linked(members.select(F.col("head").alias("a"), F.col("id").alias("b")), sets)
-        for turn in range(2):
-            # Members not yet joined get a head of another component each turn.
-            part = components(links)
-            rest = self.apart(members, part)
-            heads = rest.groupBy("bucket").agg(
-                F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("a"), F.min_by("component", F.xxhash64("id", F.lit(turn))).alias("of")
-            )
-            more = rest.join(heads, "bucket").where("component <> of").select("a", F.col("id").alias("b"))
-            links = durable(links.union(self.linked(more, sets)), "links")
+        # In every bucket each member is compared with a few heads, the least id and some by a hash.
+        stars = members.select(F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(HEADS)]))).alias("a"), F.col("id").alias("b"))
+        links = self.linked(stars, sets)
         rest = self.apart(members, components(links))
         links = links.union(durable(self.across(rest, *sets), "links"))
         part = durable(components(links), "components")
@@ -309,7 +304,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, **options) -
     least. Other columns are ignored.
 
     Equal sets are collapsed before anything else. Buckets of bands are first
-    linked in stars, a few times; then all members of different components are
+    linked in stars around a few members; then all members of different components are
     compared, so no pairs within a component are looked at and none besides is
     skipped. Candidates are pruned by their signatures, batch by batch, and
     confirmed on the full sets.
