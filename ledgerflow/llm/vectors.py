@@ -90,14 +90,32 @@ def graph(vectors: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np
     return edges
 
 
+def both_ways(edges: np.ndarray) -> list[np.ndarray]:
+    """Each row's edges and those that lead to it, so that no row is left without a way in."""
+    n, degree = edges.shape
+    of, to = np.repeat(np.arange(n), degree), edges.ravel()
+    of, to = of[to >= 0], to[to >= 0]
+    pair = np.unique(np.concatenate([of * n + to, to * n + of]))
+    return np.split(pair % n, np.searchsorted(pair // n, np.arange(1, n)))
+
+
 class Cell:
     """The graph over one cell's vectors, searched for blocks of queries at once."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, edges: np.ndarray):
-        self.ids, self.vectors, self.edges = ids, vectors, edges
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lists: list[np.ndarray]):
+        self.ids, self.vectors = ids, vectors
+        self.sizes = np.array([len(x) for x in lists], np.int64)
+        self.heads = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate(lists).astype(np.int64)
         center = vectors.mean(axis=0)
         self.medoid = int((vectors @ center).argmax())
 
+    def expand(self, queries: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The neighbours of (query, node) pairs."""
+        number = self.sizes[nodes]
+        place = np.repeat(self.heads[nodes] - (np.cumsum(number) - number), number) + np.arange(number.sum())
+        return np.repeat(queries, number), self.flat[place]
+
     def seen_new(self, seen: np.ndarray, queries: np.ndarray, nodes: np.ndarray, vectors: np.ndarray):
         """Of the (query, node) pairs those not seen before, once each, with their similarity; they are seen from now on."""
         fresh = (nodes >= 0) & ~seen[queries, np.maximum(nodes, 0)]
@@ -162,8 +180,7 @@ class Cell:
             nodes = beam[some, pick[some]]
             open_[some, pick[some]] = False
             expanded[some, nodes] = True
-            after = self.edges[nodes]
-            add(np.repeat(some, after.shape[1]), after.ravel())
+            add(*self.expand(some, nodes))
         while near_range:
             queries, nodes = (np.concatenate(x) for x in zip(*near_range))
             near_range.clear()
@@ -172,9 +189,7 @@ class Cell:
             expanded[queries, nodes] = True
             for at in range(0, len(queries), 1 << 14):
                 part = slice(at, at + (1 << 14))
-                after = self.edges[nodes[part]]
-                asked = np.repeat(queries[part], after.shape[1])
-                asked, reached, near = self.seen_new(seen, asked, after.ravel(), vectors)
+                asked, reached, near = self.seen_new(seen, *self.expand(queries[part], nodes[part]), vectors)
                 hit, close = near >= threshold, near >= slack
                 found.append((asked[hit], reached[hit]))
                 if close.any():
@@ -233,11 +248,11 @@ class NearVectors:
             ids = table.column("id").to_numpy()
             order = np.argsort(ids)
             ids = ids[order]
-            edges = graph(unit_rows(table.column("v").combine_chunks().take(pa.array(order)), width))
-            return pa.table([pa.array(ids), pa.array([ids[e[e >= 0]].tolist() for e in edges], pa.list_(pa.int64()))], ["id", "edges"])
+            lists = both_ways(graph(unit_rows(table.column("v").combine_chunks().take(pa.array(order)), width)))
+            return pa.table([pa.array(ids), pa.array([ids[e].tolist() for e in lists], pa.list_(pa.int64()))], ["id", "edges"])
 
         built = spread.select("shard", "part", "id", "v").groupBy("shard", "part").applyInArrow(build, "id long, edges array<long>")
-        # The union of a node's lists: at most DEGREE for each shard it lies in.
+        # The union of a node's lists: some 2 * DEGREE for each shard it lies in.
         union = durable(built.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")), "graph")
         full = spread.join(union, "id")
         numbers = F.sequence(F.lit(0), F.col("parts") - 1)
@@ -254,11 +269,10 @@ class NearVectors:
             vectors = unit_rows(table.column("v").combine_chunks(), width)
             homes = np.array(table.column("shards").to_pylist())
             lists = table.column("edges").slice(0, size).to_pylist()
-            edges = np.full((size, max(1, max(map(len, lists), default=1))), -1)
-            for row, wide in enumerate(lists):
+            near = []
+            for wide in lists:
                 at = np.searchsorted(ids[:size], wide)
-                at = at[(at < size) & (ids[np.minimum(at, size - 1)] == wide)] if size else at
-                edges[row, : len(at)] = at
+                near.append(at[ids[np.minimum(at, size - 1)] == wide])
             root = {}
 
             def find(x):
@@ -269,7 +283,7 @@ class NearVectors:
 
             links = {}
             asked = np.arange(size, len(ids))
-            cell = Cell(ids[:size], vectors[:size], edges) if size else None
+            cell = Cell(ids[:size], vectors[:size], near) if size else None
             for start in range(0, len(asked) if size else 0, 256):
                 rows = asked[start : start + 256]
                 own = np.searchsorted(ids[:size], ids[rows])
