@@ -11,6 +11,8 @@ from pyspark.sql.types import ArrayType, FloatType
 
 
 class Embedder(Protocol):
+    """One text at a time; a client that also has ``embed_documents(texts)`` is asked once for each Arrow batch."""
+
     def embed_query(self, text: str) -> Sequence[float]: ...
 
 
@@ -20,8 +22,9 @@ def embed_column(factory: Callable[[], Embedder], text: Column) -> Column:
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         client = factory()
+        many = getattr(client, "embed_documents", None) or (lambda texts: [client.embed_query(t) for t in texts])
         for texts in batches:
-            yield texts.map(lambda t: [float(x) for x in client.embed_query(t)])
+            yield pd.Series([[float(x) for x in v] for v in many(texts.tolist())], index=texts.index, dtype=object)
 
     return embed(text)
 
@@ -32,8 +35,3 @@ def probe_dimension(factory: Callable[[], Embedder], probe: str = "embedding-dim
         return len(factory().embed_query(probe))
     except Exception:
         return 0
-
-
-def join_vectors(rows: DataFrame, vectors: DataFrame, key: str, column: str = "embedding") -> DataFrame:
-    """Precomputed vectors by key; rows without one get NULL."""
-    return rows.join(vectors.select(key, column), key, "left")

@@ -29,14 +29,15 @@ def _canonical_json(text: Column) -> Column:
     return rewrite_all(text)
 
 
-def strict_json(text: Column, exact: bool = False) -> Column:
+def strict_json(text: Column, exact: bool = True) -> Column:
     """Parse JSON strictly to VARIANT; NULL for anything that is not one value.
 
     ``try_parse_json`` stops after the first value and ignores what follows, so
     the text is parsed inside an array and inside an object: only a single
     complete value fits both. Repeated keys in one object are refused by
-    VARIANT; ``exact=True`` sends just the refused texts through an Arrow UDF
-    that keeps the last value of a repeated key.
+    VARIANT: just the refused texts go through an Arrow UDF that keeps the last
+    value of a repeated key. ``exact=False`` leaves that out; such texts then
+    count as unparsable.
     """
 
     def parse(t: Column) -> Column:
@@ -52,7 +53,7 @@ def strict_json(text: Column, exact: bool = False) -> Column:
     return F.coalesce(parsed, parse(_canonical_json(refused)))
 
 
-def json_or_default(text: Column, default: str, exact: bool = False) -> Column:
+def json_or_default(text: Column, default: str, exact: bool = True) -> Column:
     """Empty or unparsable text falls back to the JSON text ``default``."""
     return F.coalesce(strict_json(text, exact), F.parse_json(F.lit(default)))
 

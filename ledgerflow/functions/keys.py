@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, functions as F
 
 from .jsontext import sorted_json, variant_text, variant_truthy
-from .text import decode_text, strip_blank
+from .text import strip_blank
 
 # Key prefixes and names that stored keys must carry.
 DOCUMENT_PREFIX = "doc_"
@@ -30,11 +30,6 @@ def key_part(text: Column) -> Column:
     return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit(UNKNOWN))
 
 
-def number_key_part(number: Column) -> Column:
-    """Key part of a whole number; zero counts as absent."""
-    return F.when(number != 0, number.cast("string")).otherwise(F.lit(UNKNOWN))
-
-
 def variant_key_part(value: Column) -> Column:
     """Key part of a metadata value: the number 0 is absent, the text "0" is not."""
     return key_part(F.when(variant_truthy(value), variant_text(value)))
@@ -97,16 +92,6 @@ def retry_count_key(stream: Column, event_id: Column) -> Column:
     return F.concat_ws(":", F.lit(RETRY_PREFIX), stream, event_id)
 
 
-def folded_key(key: Column) -> Column:
-    """Optional: compare a key without regard to case, accents and trailing spaces."""
-    return F.collate(key, "UNICODE_CI_AI_RTRIM")
-
-
-def event_id_text(raw: Column) -> Column:
-    """Event id as text: bytes are decoded, anything else is cast."""
-    return decode_text(raw)
-
-
 def dead_letter_stream(stream: Column, names: Mapping[str, str] = DEAD_LETTER_STREAMS) -> Column:
     out = None
     for source, target in names.items():
@@ -126,9 +111,9 @@ def embedding_model(given: Column, configured: str | None = None) -> Column:
     return F.coalesce(F.nullif(strip_blank(given), F.lit("")), F.lit(configured or UNKNOWN))
 
 
-def embedding_dimension(given: Column, vector: Column) -> Column:
-    """Explicit dimension, else the vector's length, else 0."""
-    return F.coalesce(given, F.array_size(vector), F.lit(0)).cast("int")
+def embedding_dimension(given: Column, vector: Column, probed: int = 0) -> Column:
+    """Explicit dimension, else the vector's length, else that of a probe vector (0 if there was none)."""
+    return F.coalesce(given, F.array_size(vector), F.lit(probed)).cast("int")
 
 
 def backoff_seconds(attempt: Column, base: float = 1.0, cap: float = 60.0) -> Column:

@@ -33,9 +33,13 @@ def decode_text(raw: Column) -> Column:
 
 
 def decode_keys(fields: Column) -> Column:
-    """Decode the keys of a MAP<BINARY, BINARY> feed to text; NULL becomes an empty map."""
-    decoded = F.transform_keys(fields, lambda k, _: decode_text(k))
-    return F.coalesce(decoded, F.create_map().cast("map<string,binary>"))
+    """Decode the field names of a feed to text; NULL becomes an empty map.
+
+    Names that become equal without their invalid bytes are one field, the last.
+    """
+    entries = F.transform(F.map_entries(fields), lambda e: F.struct(decode_text(e["key"]).alias("key"), e["value"].alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
+    return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,binary>"))
 
 
 def field_text(fields: Column, name: str, default: str = "") -> Column:

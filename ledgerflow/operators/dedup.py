@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ranking import bounded, points_below, split_points
+from .ranking import points_below, split_points
 
 WEEK_SECONDS = 7 * 24 * 3600
 # Distinct stamps folded in one array before a key is cut.
@@ -63,7 +63,7 @@ def kept_stamps(stamps: DataFrame, key: str, ts: str, ttl: int, every: int = STA
         key, F.col(ts).alias("_t"), F.pmod(F.col(ts), F.lit(ttl)).alias("_offset")
     )
     points = split_points(offsets, [key], "_offset", every)
-    ranged = offsets.join(bounded(points, every), key, "left").select(
+    ranged = offsets.join(points, key, "left").select(
         key, "_t",
         F.when(F.col("_points").isNotNull(), points_below(F.col("_points"), F.col("_offset"))).alias("_range"),
     )

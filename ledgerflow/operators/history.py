@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 PAGE = 50
 HISTORY_COLUMNS = ["message_id", "role", "text", "seq", "metadata", "created_at"]
-MESSAGE_COLUMNS = ["id", "conversation_id", "message_id", "trace_id", "idempotency_key", "role", "text", "seq", "metadata", "created_at", "updated_at"]
-DOCUMENT_COLUMNS = ["id", "document_key", "trace_id", "idempotency_key", "source", "title_path", "content", "content_hash", "metadata", "created_at", "updated_at"]
-EMBEDDING_COLUMNS = ["id", "document_id", "vector_id", "trace_id", "idempotency_key", "model", "dimension", "metadata", "created_at", "updated_at"]
 
 
 def session_messages(conversations: DataFrame, messages: DataFrame, session_id: str, limit: int = PAGE) -> DataFrame:

@@ -5,7 +5,9 @@ hash of the row itself, and the order values of those rows cut the group into
 buckets. The choice depends on the data only, so a recomputed task makes the
 same cut, and it follows the data's own distribution, so clumped order values
 are cut as finely as even ones. There are about ``rows / every`` split points in
-the whole input, which bounds what is broadcast.
+the whole input; whether they are broadcast is left to the engine's size checks.
+A global numbering (no keys) gathers all of them in one array, one entry for
+each two million rows.
 """
 
 from __future__ import annotations
@@ -15,14 +17,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SPLIT_EVERY = 2_000_000
-# At one point in a million rows or fewer, 10^12 rows give a million points at
-# most, so the points are broadcast outright; denser cuts leave it to AQE.
-BROADCAST_FROM = 1_000_000
-
-
-def bounded(points: DataFrame, every: int) -> DataFrame:
-    """Broadcast hint for data of about ``rows / every`` entries, when that is surely small."""
-    return F.broadcast(points) if every >= BROADCAST_FROM else points
 
 
 def split_points(df: DataFrame, keys: Sequence[str], order: str, every: int = SPLIT_EVERY) -> DataFrame:
@@ -55,7 +49,7 @@ def with_bucket(df: DataFrame, keys: Sequence[str], order: str, every: int = SPL
     """Add ``_bucket`` and ``_cut``; a group without split points is one bucket, not cut."""
     points = split_points(df, keys, order, every)
     if keys:
-        joined = df.join(bounded(points, every), list(keys), "left")
+        joined = df.join(points, list(keys), "left")
     else:
         joined = df.withColumn("_points", points.select("_points").scalar())
     cut = F.coalesce(F.size(F.col("_points.values")) > 0, F.lit(False))
@@ -81,7 +75,7 @@ def grouped_rank(df: DataFrame, keys: Sequence[str], order: str, name: str, ever
         .select(*part, "_bucket", "_offset")
     )
     within = F.row_number().over(Window.partitionBy(*part, "_bucket").orderBy(order))
-    ranked = bucketed.withColumn("_within", within).join(bounded(offsets, every), [*part, "_bucket"], "left")
+    ranked = bucketed.withColumn("_within", within).join(offsets, [*part, "_bucket"], "left")
     position = F.col("_within").cast("long") + F.coalesce(F.col("_offset"), F.lit(0))
     return ranked.select(*[F.col(c) for c in df.columns], position.alias(name))
 

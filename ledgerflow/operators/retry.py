@@ -14,13 +14,6 @@ MAX_RETRIES = 5
 IDLE_SECONDS = 60.0
 
 
-def prior_attempts(attempts: DataFrame, now: Column, ttl_seconds: int = RETRY_TTL_SECONDS) -> DataFrame:
-    """Counters still in force at ``now``: each failure restarts the TTL."""
-    return attempts.where(
-        F.unix_micros("last_failed_at") + ttl_seconds * 1_000_000 >= F.unix_micros(now)
-    )
-
-
 def count_failures(failed: DataFrame, attempts: DataFrame | None = None, now: Column | None = None,
                    ttl_seconds: int = RETRY_TTL_SECONDS) -> DataFrame:
     """``(stream, event_id, attempts, last_failed_at)`` after the failures in ``failed``.
@@ -61,8 +54,8 @@ def route_failures(counted: DataFrame, max_retries: int = MAX_RETRIES, base: flo
     )
 
 
-def due_retries(attempts: DataFrame, now: Column, limit: int | None = None, order: str = "event_id") -> DataFrame:
-    """Retries whose time has come, oldest first, at most ``limit`` of them."""
+def due_retries(attempts: DataFrame, now: Column, limit: int | None = None, order: Column | str = "event_id") -> DataFrame:
+    """Retries whose time has come, first in ``order`` first (feeds give the order of arrival), at most ``limit`` of them."""
     due = attempts.where(F.col("next_attempt_at") <= now)
     return due if limit is None else due.orderBy(order).limit(limit)
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import keys as K
+from ..functions.embedding import Embedder, probe_dimension
 from ..functions.jsontext import merge_metadata, metadata_text
 from ..operators import upsert as U
 from ..operators.ranking import SPLIT_EVERY
 from ..session import durable
 from ..sources.events import DEFAULT_BACKEND, metadata_text_field
 
+# The metadata members that stored rows carry as columns.
 META_FIELDS = ("source", "title_path", "trace_id", "idempotency_key")
 
 
@@ -57,9 +60,14 @@ def embedding_metadata(collection: str, backend: str, persist_directory: str | N
 def persist_chunks(chunks: DataFrame, documents: DataFrame | None = None, embeddings: DataFrame | None = None, *,
                    collection: str, backend: str = DEFAULT_BACKEND, persist_directory: str | None = None,
                    model: str | None = None, dimension: int | None = None, bound: bool = False,
+                   embed: Callable[[DataFrame], DataFrame] | None = None, embedder: Callable[[], Embedder] | None = None,
                    every: int = SPLIT_EVERY) -> Ingest:
     """Keys, document upsert, embedding upsert and per-chunk receipts.
 
+    The stored dimension is the one given, else the length of the vector that
+    ``embed`` adds as ``embedding`` to rows with ``vector_id`` and
+    ``page_content``, else that of a probe vector of ``embedder``, else 0.
+
     A chunk refused by a unique key is listed in ``rejected`` and the others go
     on. Keyed chunks and merged documents are written once, as the later steps
     read them again. ``bound`` promises that the chunks carry no explicit idempotency keys.
@@ -69,10 +77,18 @@ def persist_chunks(chunks: DataFrame, documents: DataFrame | None = None, embedd
     rows = durable(merged.rows, "documents")
     accepted = merged.verdicts.where("accepted").select("document_key", "ord")
     incoming = keyed.drop("content", "source", "title_path", "metadata").join(accepted, ["document_key", "ord"], "left_semi")
+    probed = 0
+    if dimension is not None or embed is None:
+        incoming = incoming.withColumn("embedding", F.lit(None).cast("array<float>"))
+        if dimension is None and embedder is not None:
+            probed = probe_dimension(embedder)
+    else:
+        texts = keyed.select("vector_id", F.col("content").alias("page_content")).dropDuplicates(["vector_id"])
+        incoming = incoming.join(durable(embed(texts).select("vector_id", "embedding"), "embedded"), "vector_id", "left")
     incoming = U.document_ids(incoming, rows.select("document_key", "id")).select(
         "document_id", "document_key", "vector_id", "trace_id", "idempotency_key", "ord", "at",
         K.embedding_model(F.lit(model).cast("string")).alias("model"),
-        F.lit(dimension or 0).cast("int").alias("dimension"),
+        K.embedding_dimension(F.lit(dimension).cast("int"), F.col("embedding"), probed).alias("dimension"),
         embedding_metadata(collection, backend, persist_directory).alias("metadata"),
     )
     incoming = durable(incoming, "vectors")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema
 from ..functions import keys as K
+from ..functions.embedding import embed_column
 from ..functions.jsontext import VARIANT_MAP, as_variant_map, merge_metadata, sorted_json, strict_json, to_variant, variant_text
 from ..operators import audit, dedup, history, ranking, retry
 from ..operators import upsert as U
@@ -226,8 +228,8 @@ def column_audit(spark, folder):
 
 @report(f"WITH {DOCS} SELECT document_key, row_number() OVER (ORDER BY document_key) AS id FROM docs")
 def surrogate_ids(spark, folder):
-    """WIN3 without a single-partition window."""
-    return ranking.surrogate_ids(keyed(spark, folder).select("document_key"), "document_key")
+    """WIN3 without a single-partition window; keys are computed once."""
+    return ranking.surrogate_ids(durable(keyed(spark, folder).select("document_key"), "keys"), "document_key")
 
 
 @report("""SELECT lang, source, count(*) AS stored, count(e.vec_id) AS matched FROM documents d
@@ -266,9 +268,9 @@ def conversation_table(rows: DataFrame) -> DataFrame:
     return durable(U.upsert_conversations(None, rows.select("session_id", none.alias("user_id"), none.alias("title"), "ord", "at")))
 
 
-def message_table(rows: DataFrame, conversations: DataFrame) -> DataFrame:
+def message_table(rows: DataFrame, conversations: DataFrame, every: int = ranking.SPLIT_EVERY) -> DataFrame:
     incoming = U.conversation_ids(rows, conversations).drop("session_id", "turn")
-    return U.upsert_messages(None, incoming)
+    return U.upsert_messages(None, incoming, every=every)
 
 
 @report(f"""WITH {TURNS} SELECT session_id, row_number() OVER (ORDER BY min(ord)) AS id,
@@ -407,7 +409,7 @@ def pair_turns(spark: SparkSession, folder: str) -> DataFrame:
     none = F.lit(None).cast("string")
     return pairs(spark, folder).select(
         "session_id", F.col("question").alias("user_text"), F.col("answer").alias("assistant_text"),
-        F.substring("question", 1, 20).alias("conversation_title"), "user_message_id", none.alias("assistant_message_id"),
+        F.col("question").alias("conversation_title"), "user_message_id", none.alias("assistant_message_id"),
         none.alias("trace_id"), F.concat_ws("/", "session_id", "user_seq").alias("idempotency_key"),
         none.alias("user_metadata"), none.alias("assistant_metadata"), "ord", at_seconds(F.col("ord")).alias("at"),
     )
@@ -417,7 +419,7 @@ def pair_turns(spark: SparkSession, folder: str) -> DataFrame:
     SELECT session_id, user_message_id AS message_id, 'user' AS role, question AS text, ord * 2 AS o FROM pairs
     UNION ALL SELECT session_id, substr(sha256(session_id || '|' || session_id || '/' || user_seq || '|assistant'), 1, 32),
       'assistant', answer, ord * 2 + 1 FROM pairs),
-  t AS (SELECT session_id, max_by(substr(question, 1, 20), ord) AS title FROM pairs GROUP BY 1)
+  t AS (SELECT session_id, max_by(question, ord) AS title FROM pairs GROUP BY 1)
   SELECT session_id, title, message_id, role, text, row_number() OVER (PARTITION BY session_id ORDER BY o)::INTEGER AS seq
   FROM m JOIN t USING (session_id)""")
 def recorded_turns(spark, folder):
@@ -485,14 +487,14 @@ def disposition_counts(spark, folder):
     return projected.groupBy(F.coalesce(E.chat_screen(), F.lit("taken")).alias("disposition")).agg(F.count(F.lit(1)).alias("events"))
 
 
-@report(f"""SELECT event_id || '-0' AS event_id, (props->>'k')::INTEGER AS k, event_id || '-0' AS redis_event_id,
+@report(f"""SELECT event_id || '-0' AS event_id, CASE WHEN event_type <> 'error' THEN (props->>'k')::INTEGER END AS k, event_id || '-0' AS redis_event_id,
   CASE WHEN event_type = 'click' THEN NULL ELSE event_type END AS trace_id,
-  {content_key("('u' || user_id)", "'q'", "event_type")} AS idempotency_key, 4::INTEGER AS user_entries, 4::INTEGER AS assistant_entries
-  FROM events WHERE event_type NOT IN ('signup', 'view', 'error')""")
+  {content_key("('u' || user_id)", "'q'", "event_type")} AS idempotency_key, CASE WHEN event_type = 'error' THEN 3 ELSE 4 END::INTEGER AS user_entries,
+  4::INTEGER AS assistant_entries FROM events WHERE event_type NOT IN ('signup', 'view')""")
 def chat_metadata(spark, folder):
-    """MAP1, MAP2, JS2, KEY5-6: metadata stored with both messages."""
+    """MAP1, MAP2, JS2, KEY5-6: metadata stored with both messages; unparsable ones fall back to the default."""
     prepared = chat.prepared_turns(E.chat_turns(chat_feed(spark, folder)))
-    rows = prepared.where(F.col("screen").isNull() & (F.col("answer") != "error"))
+    rows = prepared.where(F.col("screen").isNull())
     get = lambda n: F.get_json_object("user_metadata", f"$.{n}")
     return rows.select(
         "event_id", get("k").cast("int").alias("k"), get("redis_event_id").alias("redis_event_id"), get("trace_id").alias("trace_id"),
@@ -764,3 +766,188 @@ def embedding_defaults(spark, folder):
         K.embedding_dimension(F.lit(None).cast("int"), F.col("embedding")).alias("dimension"),
         K.embedding_dimension(F.lit(None).cast("int"), F.lit(None).cast("array<float>")).alias("missing"),
     )
+
+
+# ---- the same operators with their groups cut, feeds over several batches ----
+
+@report(SQL["surrogate_ids"])
+def surrogate_ids_cut(spark, folder):
+    """WIN3 with a split point for every 50 rows or so."""
+    return ranking.surrogate_ids(durable(keyed(spark, folder).select("document_key"), "keys"), "document_key", every=50)
+
+
+@report(SQL["message_upsert"])
+def message_upsert_cut(spark, folder):
+    """UPS2 and WIN1 with conversations cut at every other message or so."""
+    rows = turns(spark, folder)
+    merged = message_table(rows, conversation_table(rows), every=2)
+    return merged.select("conversation_id", "message_id", "role", "text", "seq")
+
+
+@report(SQL["ttl_marks"])
+def ttl_marks_cut(spark, folder):
+    """STR2 with every key cut into ranges of a few stamps."""
+    rows = table(spark, folder, "events").select(
+        F.concat_ws("/", "user_id", "event_type").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("now"), "event_id"
+    )
+    return dedup.first_seen(rows, "key", "now", "event_id", every=3).select("key", "event_id")
+
+
+def thirds(events: DataFrame) -> list[DataFrame]:
+    """A feed in three parts by time; together they are all of it."""
+    lo, hi = events.agg(F.min("arrived_at"), F.max("arrived_at")).first()
+    a, b = lo + (hi - lo) / 3, lo + (hi - lo) * 2 / 3
+    at = F.col("arrived_at")
+    return [events.where(at < F.lit(a)), events.where((at >= F.lit(a)) & (at < F.lit(b))), events.where(at >= F.lit(b))]
+
+
+@report(SQL["chat_feed_messages"])
+def chat_feed_batches(spark, folder):
+    """STR6, STR7, SNK1-2, SRC4: three batches, the first folded and the second replayed in between, equal one batch."""
+    chat_rows = ChatFeed(spark, scratch_table(spark, "feed"))
+    parts = thirds(repeated_turns(spark, folder))
+    chat_rows.process(parts[0], 0)
+    chat_rows.process(parts[1], 1)
+    chat_rows.compact(0)
+    chat_rows.process(parts[1], 1)
+    chat_rows.process(parts[2], 2)
+    chat_rows.compact(1)
+    sessions = chat_rows.conversations.current().select(F.col("id").alias("conversation_id"), "session_id")
+    return chat_rows.messages.current().join(sessions, "conversation_id").select(
+        "session_id", "role", "text", "seq", F.get_json_object("metadata", "$.redis_event_id").alias("redis_event_id")
+    )
+
+
+@report("""WITH e AS (SELECT event_id, ts FROM events WHERE event_type = 'error'), m AS (SELECT max(ts) AS t FROM e)
+  SELECT event_id || '-0' AS original_event_id, '5' AS attempts, '''list'' object is not a mapping' AS error,
+    CASE WHEN epoch_us(ts) + 172800000000 >= epoch_us(t) + 100000000 THEN 4 ELSE 5 END AS run FROM e, m""")
+def redelivered_letters(spark, folder):
+    """SRC4, STR3-5, SNK6: failing events reach the dead letters over runs without new input.
+
+    A counter whose last failure is more than two days old starts anew.
+    """
+    rows = table(spark, folder, "events").where(F.col("event_type") == "error").withColumn("ts", F.col("ts").cast("timestamp"))
+    texts = {"event_type": F.lit("qa_turn"), "session_id": F.lit("s"), "question": F.col("event_id").cast("string"), "user_metadata": F.lit("[1]")}
+    entries = [c for name, col in texts.items() for c in (F.lit(name), col.cast("binary"))]
+    events = rows.select(
+        F.concat(F.col("event_id").cast("string"), F.lit("-0")).alias("event_id"), F.col("ts").alias("arrived_at"), F.create_map(*entries).alias("fields")
+    )
+    failing = ChatFeed(spark, scratch_table(spark, "feed"))
+    failing.process(events, 0)
+    last = events.agg(F.max("arrived_at")).first()[0]
+    for run in range(1, 6):
+        failing.redeliver(last + timedelta(seconds=100 * run))
+    run = (F.unix_micros(F.col("failed_at").cast("timestamp")) - F.unix_micros(F.lit(last))) / 100_000_000
+    return failing.letters.current().select("original_event_id", "attempts", "error", run.cast("int").alias("run"))
+
+
+def ragged_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """Clicks of a user share an event id, views have none; a stray byte in each session, a repeated JSON key."""
+    kind, own = F.col("event_type"), F.col("event_id").cast("string")
+    session = F.concat(F.concat(F.lit("u"), F.col("user_id")).cast("binary"), F.unhex(F.lit("FF")))
+    texts = {
+        "event_type": F.lit("qa_turn").cast("binary"), "session_id": session, "question": own.cast("binary"),
+        "user_metadata": F.concat(F.lit('{"k": 0, "k": '), F.get_json_object("props", "$.k"), F.lit("}")).cast("binary"),
+    }
+    given = F.when(kind == "click", F.concat(F.lit("c"), F.col("user_id"))).when(kind != "view", F.concat(own, F.lit("-0")))
+    return table(spark, folder, "events").select(
+        given.alias("event_id"), F.col("ts").cast("timestamp").alias("arrived_at"),
+        F.create_map(*[c for name, col in texts.items() for c in (F.lit(name), col)]).alias("fields"),
+    )
+
+
+@report("""WITH c AS (SELECT count(*) - count(DISTINCT user_id) AS again FROM events WHERE event_type = 'click')
+  SELECT 'repeated_id' AS disposition, again AS events FROM c UNION ALL SELECT 'processed', (SELECT count(*) FROM events) - again FROM c""")
+def ragged_dispositions(spark, folder):
+    """AGG1, SRC1: every row of a feed gets an outcome, also with repeated and missing ids."""
+    feed_rows = ChatFeed(spark, scratch_table(spark, "feed"))
+    feed_rows.process(ragged_feed(spark, folder), 0)
+    return feed_rows.dispositions.versions().groupBy("disposition").agg(F.count(F.lit(1)).alias("events"))
+
+
+@report("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'click'),
+  e AS (SELECT event_id, user_id, props FROM f WHERE n = 1 UNION ALL SELECT event_id, user_id, props FROM events WHERE event_type <> 'click')
+  SELECT event_id::VARCHAR AS question, 'u' || user_id AS session_id, (props->>'k')::INTEGER AS k FROM e""")
+def ragged_messages(spark, folder):
+    """PRJ2, PRJ4, JS1: invalid bytes go, the last of repeated JSON keys stays, the first of equal ids is stored."""
+    feed_rows = ChatFeed(spark, scratch_table(spark, "feed"))
+    feed_rows.process(ragged_feed(spark, folder), 0)
+    sessions = feed_rows.conversations.current().select(F.col("id").alias("conversation_id"), "session_id")
+    return feed_rows.messages.current().where("role = 'user'").join(sessions, "conversation_id").select(
+        F.col("text").alias("question"), "session_id", F.get_json_object("metadata", "$.k").cast("int").alias("k")
+    )
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """A deterministic embedder: the text's length, and one."""
+
+    # Defined here so that workers get it by value.
+    class Lengths:
+        def embed_query(self, text: str) -> list[float]:
+            return [float(len(text)), 1.0]
+
+    return rows.withColumn("embedding", embed_column(Lengths, F.col("page_content")))
+
+
+@report(f"""WITH {CHUNK_EVENTS}, o AS (SELECT *, first_value(event_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS holder FROM v)
+  SELECT document_key, 2::INTEGER AS dimension, 2::INTEGER AS size, length(text)::DOUBLE AS first, collection_name, lang AS trace_id FROM o WHERE holder = event_id""")
+def embedded_chunks(spark, folder):
+    """UDF1, EMB2, MAP6: the stored dimension is the length of the vector that the embedder made."""
+    chunk_rows = ChunkFeed(spark, scratch_table(spark, "feed"), collection="library", embed=sized)
+    chunk_rows.process(chunk_feed(spark, folder), 0)
+    vectors = chunk_rows.vectors.current().select("vector_id", "embedding")
+    get = lambda n: F.get_json_object("metadata", f"$.{n}").alias(n)
+    return chunk_rows.embeddings.current().join(vectors, "vector_id").select(
+        get("document_key"), "dimension", F.size("embedding").alias("size"), F.get("embedding", F.lit(0)).cast("double").alias("first"),
+        get("collection_name"), get("trace_id"),
+    )
+
+
+@report(f"""WITH {DOCS} SELECT document_key, 2::INTEGER AS dimension, 'library' AS collection_name, 'chroma' AS backend, NULL::VARCHAR AS persist_directory,
+  4::INTEGER AS entries FROM accepted""")
+def ingested_embeddings(spark, folder):
+    """UPS6, MAP4, EMB2: batch ingest with an embedder."""
+    done = ingest.persist_chunks(chunks(spark, folder), collection="library", bound=True, embed=sized)
+    get = lambda n: F.get_json_object("metadata", f"$.{n}").alias(n)
+    return done.embeddings.select(
+        get("document_key"), "dimension", get("collection_name"), get("backend"), get("persist_directory"),
+        F.size(F.json_object_keys("metadata")).alias("entries"),
+    )
+
+
+@report("""SELECT doc_id || '-0' AS event_id, CASE WHEN lang <> 'en' THEN 'skipped_type' WHEN source = 'src0' THEN 'skipped_empty' END AS screen FROM documents""")
+def chunk_screens(spark, folder):
+    """FLT3, FLT4, FLT5: the type is checked before the text; no fields at all are no chunk."""
+    docs = table(spark, folder, "documents")
+    fields = F.create_map(
+        F.lit("event_type"), F.when(F.col("lang") == "en", "index_chunk").otherwise("other").cast("binary"),
+        F.lit("chunk_text"), F.when(F.col("source") == "src0", "").otherwise(F.col("text")).cast("binary"),
+    )
+    events = docs.select(
+        F.concat(F.col("doc_id").cast("string"), F.lit("-0")).alias("event_id"), at_seconds(F.col("doc_id")).alias("arrived_at"),
+        F.when(F.col("lang") != "de", fields).alias("fields"),
+    )
+    return E.chunk_events(events).select("event_id", E.chunk_screen().alias("screen"))
+
+
+@report(f"WITH {DOCS} SELECT 'vec_' || sha256(document_key) AS vector_id, id AS document_id, 'twice' AS model FROM accepted")
+def vectors_again(spark, folder):
+    """UPS4: a vector that comes a second time is overwritten and its document stays."""
+    docs = U.upsert_documents(None, keyed(spark, folder), bound=True).rows.select("id", "document_key")
+    rows = durable(U.document_ids(keyed(spark, folder).select("document_key", "vector_id", "ord", "at"), docs), "vectors")
+    none = [F.lit(None).cast("string").alias(c) for c in ("trace_id", "idempotency_key", "metadata")]
+    once = rows.select("document_id", "vector_id", "ord", "at", F.lit("once").alias("model"), F.lit(1).alias("dimension"), *none)
+    again = once.withColumns({"model": F.lit("twice"), "document_id": F.lit(-1).cast("long"), "ord": F.col("ord") + 10_000_000})
+    return U.upsert_embeddings(None, once.unionByName(again), bound=True).rows.select("vector_id", "document_id", "model")
+
+
+@report(f"""WITH {TURNS}, {CONVS} SELECT t.message_id, t.session_id FROM turns t WHERE t.role = 'system'""")
+def message_orphans(spark, folder):
+    """JN7 on a declared reference: messages of conversations that are not stored."""
+    rows = turns(spark, folder)
+    conversations = conversation_table(rows)
+    merged = message_table(rows, conversations)
+    lost = merged.withColumn("conversation_id", F.when(F.col("role") == "system", -F.col("conversation_id")).otherwise(F.col("conversation_id")))
+    back = conversations.select(F.col("id").alias("conversation_id"), "session_id")
+    orphaned = audit.orphans(lost, conversations, "conversation_id", "id")
+    return orphaned.withColumn("conversation_id", -F.col("conversation_id")).join(back, "conversation_id").select("message_id", "session_id")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,9 +47,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_run = threading.local()
+
+
 def scratch_table(spark: SparkSession, name: str) -> str:
-    """A fresh path for an intermediate table under the checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for an intermediate table under the checkpoint folder, inside the running step's own if there is one."""
+    base = getattr(_run, "folder", None) or ensure_checkpoint_dir(spark)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for all intermediate tables of a step that writes its results itself; it goes at the end of the step."""
+    outer = getattr(_run, "folder", None)
+    _run.folder = scratch_table(spark, "run")
+    try:
+        yield _run.folder
+    finally:
+        path, _run.folder = _run.folder, outer
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def durable(df: DataFrame, name: str = "cut") -> DataFrame:

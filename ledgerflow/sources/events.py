@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import keys as K
 from ..functions.jsontext import as_variant_map, json_or_default, variant_text, variant_truthy
-from ..functions.text import blank_to_null, field_text
+from ..functions.text import blank_to_null, decode_keys, field_text
 from ..schema import EVENT
 
 CHAT = "qa_turn"
@@ -16,8 +16,8 @@ DEFAULT_COLLECTION = "default"
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """All events of a parquet feed, as a batch."""
-    return spark.read.schema(EVENT).parquet(path)
+    """All events of a parquet feed, as a batch; field names may be bytes."""
+    return spark.read.schema(EVENT).parquet(path).withColumn("fields", decode_keys(F.col("fields")))
 
 
 def stream_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -25,7 +25,30 @@ def stream_events(spark: SparkSession, path: str, max_files: int | None = None)
     reader = spark.readStream.schema(EVENT)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return reader.parquet(path).withColumn("fields", decode_keys(F.col("fields")))
+
+
+def distinct_events(events: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
+    """One row per event id, and the dispositions of the rows left out.
+
+    Of rows with equal ids the first to arrive stays (equal times: by a hash of
+    the fields), the others become ``repeated_id``. Rows without an id are
+    events of their own, under ids made from the batch, their content and a
+    count. Repeats are counted before the shuffle, so a hot id stays small.
+    """
+    rows = events.withColumn("_hash", F.xxhash64("arrived_at", F.map_entries("fields")))
+    first = F.min_by(F.struct("arrived_at", "fields"), F.struct("arrived_at", "_hash")).alias("e")
+    named = rows.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(first, F.count(F.lit(1)).alias("_n"))
+    nameless = rows.where(F.col("event_id").isNull()).groupBy("_hash").agg(first, F.count(F.lit(1)).alias("_n")).select(
+        F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k"), "_hash", "e"
+    )
+    made = F.concat_ws("-", F.lit("none"), F.lit(batch_id), F.hex("_hash"), "_k")
+    kept = named.select("event_id", "e.*").unionByName(nameless.select(made.alias("event_id"), "e.*"))
+    repeats = named.where("_n > 1").select(
+        "event_id", F.lit(None).cast("string").alias("idempotency_key"), F.lit("repeated_id").alias("disposition"),
+        F.explode(F.sequence(F.lit(2), F.col("_n"))).alias("_k"),
+    )
+    return kept, repeats.drop("_k")
 
 
 def arrival_order(event_id: Column, arrived_at: Column) -> Column:
@@ -47,7 +70,7 @@ def _passed_on(events: DataFrame) -> list[str]:
     return [c for c in events.columns if c not in EVENT.names]
 
 
-def chat_turns(events: DataFrame, exact_json: bool = False) -> DataFrame:
+def chat_turns(events: DataFrame, exact_json: bool = True) -> DataFrame:
     """Typed projection of chat-turn events; a NULL field map gives empty text.
 
     The three JSON fields are VARIANT; text fields that may be absent are NULL
@@ -70,7 +93,7 @@ def chat_turns(events: DataFrame, exact_json: bool = False) -> DataFrame:
 
 
 def chunk_events(events: DataFrame, collection: str = DEFAULT_COLLECTION, persist_directory: str | None = None,
-                 exact_json: bool = False) -> DataFrame:
+                 exact_json: bool = True) -> DataFrame:
     """Typed projection of chunk events; absent fields take the given defaults."""
     f = _fields()
     return events.select(

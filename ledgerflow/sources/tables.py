@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.upsert import last_rows
 
@@ -16,37 +16,50 @@ class TableLog:
     A batch writes only the rows it changes, under its own ``batch_id`` folder:
     writing the same batch again replaces that folder, and readers inside batch
     N look at earlier batches only, so a replay gives the same tables.
-    ``compact`` rewrites the current rows into a new generation folder, which
-    becomes visible when its number is recorded.
+
+    ``compact`` writes the current rows up to some batch into a ``fold`` folder
+    that no batch owns. Readers then take the largest fold below the batch they
+    look from and the batches behind it. Batch folders are never changed by it,
+    so later batches carry on and an earlier one may still be replayed.
     """
 
     def __init__(self, spark: SparkSession, root: str, name: str, struct: StructType, key: str | None):
         self.spark, self.key, self.name = spark, key, name
-        self.path, self._generations = f"{root}/{name}", f"{root}/_generations/{name}"
+        self.path = f"{root}/{name}"
+        self._batches, self._folds, self._done = (f"{self.path}/{part}" for part in ("batches", "folds", "folded"))
         # Files may always miss a value, whatever the table declares.
         self.struct = StructType([StructField(f.name, f.dataType) for f in struct])
-        numbers = StructType([StructField("generation", IntegerType())])
-        spark.createDataFrame([(0,)], numbers).write.mode("ignore").parquet(f"{self._generations}/g=0")
         empty = spark.createDataFrame([], self.struct)
-        empty.write.mode("ignore").parquet(f"{self._folder(0)}/{_VERSION}=-1")
-
-    def _folder(self, generation: int) -> str:
-        return f"{self.path}/generation={generation}"
+        empty.write.mode("ignore").parquet(f"{self._batches}/{_VERSION}=-1")
 
-    def generation(self) -> int:
-        numbers = self.spark.read.schema("generation int").option("recursiveFileLookup", "true").parquet(self._generations)
-        return numbers.agg(F.max("generation")).first()[0]
+    def folds(self) -> list[int]:
+        """Batches up to which complete folds exist: a few numbers."""
+        numbers = StructType([StructField("upto", LongType())])
+        self.spark.createDataFrame([], numbers).write.mode("ignore").parquet(f"{self._done}/upto_of=none")
+        rows = self.spark.read.schema(numbers).option("recursiveFileLookup", "true").parquet(self._done)
+        return sorted(r.upto for r in rows.distinct().collect())
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
-        rows.select(*self.struct.names).write.mode("overwrite").parquet(
-            f"{self._folder(self.generation())}/{_VERSION}={batch_id}"
-        )
+        rows.select(*self.struct.names).write.mode("overwrite").parquet(f"{self._batches}/{_VERSION}={batch_id}")
 
     def versions(self, before: int | None = None) -> DataFrame:
-        """All row versions with their ``batch_id``, up to but excluding ``before``."""
+        """Row versions with their ``batch_id``, up to but excluding ``before``; folded ones carry the fold's number."""
         schema = StructType([*self.struct.fields, StructField(_VERSION, LongType())])
-        rows = self.spark.read.schema(schema).parquet(self._folder(self.generation()))
-        return rows if before is None else rows.where(F.col(_VERSION) < before)
+        rows = self.spark.read.schema(schema).parquet(self._batches)
+        if before is not None:
+            rows = rows.where(F.col(_VERSION) < before)
+        usable = [n for n in self.folds() if before is None or n < before]
+        if not usable:
+            return rows
+        upto = usable[-1]
+        folded = self.spark.read.schema(self.struct).parquet(f"{self._folds}/fold={upto}")
+        return rows.where(F.col(_VERSION) > upto).unionByName(folded.withColumn(_VERSION, F.lit(upto).cast("long")))
+
+    def newest(self) -> int:
+        """The largest batch number, -1 for none."""
+        return self.spark.read.schema(StructType([*self.struct.fields, StructField(_VERSION, LongType())])).parquet(
+            self._batches
+        ).agg(F.coalesce(F.max(_VERSION), F.lit(-1))).first()[0]
 
     def current(self, before: int | None = None, only: DataFrame | None = None, on: str | None = None) -> DataFrame:
         """The current rows, optionally only those whose ``on`` column is listed in ``only``.
@@ -66,9 +79,45 @@ class TableLog:
         return last_rows(rows, self.key, _VERSION).select(*self.struct.names)
 
     def compact(self, upto: int) -> None:
-        """Fold all versions up to batch ``upto`` into a new generation."""
-        generation = self.generation() + 1
-        self.current(upto + 1).write.mode("overwrite").parquet(f"{self._folder(generation)}/{_VERSION}={upto}")
-        self.spark.createDataFrame([(generation,)], "generation int").coalesce(1).write.mode("overwrite").parquet(
-            f"{self._generations}/g={generation}"
-        )
+        """Fold all versions up to batch ``upto``; refused for the newest batch, which may yet be replayed."""
+        if upto >= self.newest():
+            raise ValueError(f"{self.name}: batch {upto} is the newest and may be replayed; fold up to an earlier one")
+        self.current(upto + 1).write.mode("overwrite").parquet(f"{self._folds}/fold={upto}")
+        number = self.spark.createDataFrame([(upto,)], "upto long").coalesce(1)
+        number.write.mode("overwrite").parquet(f"{self._done}/upto_of={upto}")
+
+
+class Positions:
+    """One order for the batches of all streams that write to a root.
+
+    A stream names itself by an id that lies beside its checkpoint. The first
+    time a batch of it is seen it gets the next free position, which is what
+    table logs know as its batch number; a replay finds the same one, and a
+    second stream's batch 0 never meets the first one's. One batch at a time may
+    be written to a root.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.path = spark, f"{root}/_positions"
+        self.struct = StructType([StructField("stream", StringType()), StructField("batch", LongType()), StructField("position", LongType())])
+        spark.createDataFrame([], self.struct).write.mode("ignore").parquet(f"{self.path}/first")
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.struct).option("recursiveFileLookup", "true").parquet(self.path)
+
+    def of(self, stream: str, batch: int) -> int:
+        mine = (F.col("stream") == stream) & (F.col("batch") == batch)
+        found = self.all().agg(F.max(F.when(mine, F.col("position"))).alias("mine"), F.max("position").alias("top")).first()
+        if found.mine is not None:
+            return found.mine
+        position = 0 if found.top is None else found.top + 1
+        row = self.spark.createDataFrame([(stream, batch, position)], self.struct).coalesce(1)
+        row.write.mode("overwrite").parquet(f"{self.path}/p={position}")
+        return position
+
+
+def stream_identity(spark: SparkSession, checkpoint: str, fresh: str) -> str:
+    """The id kept beside a checkpoint; ``fresh`` becomes it where there is none yet."""
+    path = f"{checkpoint.rstrip('/')}-stream"
+    spark.createDataFrame([(fresh,)], "id string").coalesce(1).write.mode("ignore").parquet(path)
+    return spark.read.schema("id string").parquet(path).first().id

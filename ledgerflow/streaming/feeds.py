@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema
 from ..functions import keys as K
+from ..functions.embedding import Embedder, probe_dimension
 from ..functions.jsontext import merge_metadata, metadata_text
 from ..operators import retry as R
 from ..operators import upsert as U
 from ..operators.claims import resolve_claims
 from ..operators.dedup import WEEK_SECONDS, settle
 from ..plans import chat
-from ..session import durable
+from ..session import durable, run_folder
 from ..sources import events as E
-from ..sources.tables import TableLog
+from ..sources.tables import Positions, TableLog, stream_identity
 
 DISPOSITIONS = T.StructType([T.StructField(n, T.StringType()) for n in ("event_id", "idempotency_key", "disposition")])
 # A pending retry keeps its raw event, so that a redelivery needs no source.
@@ -34,9 +36,14 @@ PENDING = T.StructType([
 class Feed:
     """Options and shared steps of both feeds.
 
-    ``process`` is a ``foreachBatch`` function. Everything a batch writes goes
-    to its own ``batch_id`` and reads look at earlier batches only, so a batch
-    that is replayed after a failure leaves the same tables.
+    ``process`` takes in one batch of a source. Everything it writes goes to the
+    batch's own position in the order of all batches, and it reads earlier ones
+    only, so a batch that is replayed after a failure leaves the same tables.
+    What it stages is removed when it ends.
+
+    The time of a batch decides which retries are due: the one given, else the
+    ``clock``'s, else the earliest arrival in the batch, so that a backfill in
+    one large batch redelivers nothing.
     """
 
     spark: SparkSession
@@ -49,10 +56,11 @@ class Feed:
     ttl_seconds: int = WEEK_SECONDS
     retry_limit: int | None = None
     dead_letter_names: dict[str, str] = field(default_factory=lambda: dict(K.DEAD_LETTER_STREAMS))
-    # Time of a batch; by default the earliest arrival in it.
+    # Time of the batch at a position; by default the earliest arrival in it.
     clock: Callable[[int], datetime] | None = None
 
     def __post_init__(self) -> None:
+        self.positions = Positions(self.spark, self.root)
         self.ledger = self._log("ledger", schema.LEDGER, "idempotency_key")
         self.attempts = self._log("attempts", PENDING, "event_id")
         letters = T.StructType([*schema.DEAD_LETTERS.fields, T.StructField("dlq_stream", T.StringType())])
@@ -62,17 +70,18 @@ class Feed:
     def _log(self, name: str, struct: T.StructType, key: str | None) -> TableLog:
         return TableLog(self.spark, self.root, name, struct, key)
 
-    def _taken_in(self, batch: DataFrame, batch_id: int) -> DataFrame:
+    def _taken_in(self, batch: DataFrame, batch_id: int, now: datetime | None) -> DataFrame:
         """New events with the due retries ahead of them, staged; one row per event id."""
-        fresh = durable(batch.select(*schema.EVENT.names).dropDuplicates(["event_id"]), "batch")
-        if self.clock is not None:
-            now = self.clock(batch_id)
-        else:
-            now = fresh.agg(F.min("arrived_at")).first()[0]
+        fresh, repeats = E.distinct_events(durable(batch.select(*schema.EVENT.names), "arrived"), batch_id)
+        fresh, self._repeats = durable(fresh, "batch"), repeats
+        if now is None:
+            now = self.clock(batch_id) if self.clock is not None else fresh.agg(F.min("arrived_at")).first()[0]
         fresh = fresh.withColumn("redelivered", F.lit(False))
         if now is None:
             return fresh
-        due = durable(R.due_retries(self.attempts.current(batch_id).where(F.col("attempts") > 0), F.lit(now), self.retry_limit), "due")
+        order = E.arrival_order(F.col("event_id"), F.col("arrived_at"))
+        waiting = self.attempts.current(batch_id).where(F.col("attempts") > 0)
+        due = durable(R.due_retries(waiting, F.lit(now), self.retry_limit, order), "due")
         again = due.select("event_id", F.lit(now).cast("timestamp").alias("arrived_at"), "fields", F.lit(True).alias("redelivered"))
         return fresh.join(due.select("event_id"), "event_id", "left_anti").unionByName(again)
 
@@ -124,15 +133,38 @@ class Feed:
         )
         processed = outcome.where(F.col("disposition") == "processed")
         self.ledger.append(processed.select("idempotency_key", "event_id", F.col("arrived_at").alias("marked_at")), batch_id)
-        self.dispositions.append(final, batch_id)
+        self.dispositions.append(final.select(*DISPOSITIONS.names).unionByName(self._repeats), batch_id)
 
-    def process(self, batch: DataFrame, batch_id: int) -> None:
+    def _process(self, batch: DataFrame, batch_id: int, now: datetime | None) -> None:
         raise NotImplementedError
 
-    def start(self, path: str, checkpoint: str, *, once: bool = True, interval: str = "1 second", max_files: int | None = None) -> StreamingQuery:
-        """Consume a parquet feed: all that is there (``once``), or for ever."""
+    def process(self, batch: DataFrame, batch_id: int, source: str = "direct", now: datetime | None = None) -> None:
+        """Take in batch ``batch_id`` of a source; the same batch again leaves the same tables."""
+        with run_folder(self.spark):
+            self._process(batch, self.positions.of(source, batch_id), now)
+
+    def redeliver(self, now: datetime) -> None:
+        """Handle the retries that are due at ``now``, without new events."""
+        nothing = self.spark.createDataFrame([], schema.EVENT)
+        micros = (now.replace(tzinfo=now.tzinfo or timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+        self.process(nothing, micros, "redelivery", now)
+
+    def compact(self, upto: int) -> None:
+        """Fold the batches up to position ``upto`` in every keyed table."""
+        for log in vars(self).values():
+            if isinstance(log, TableLog) and log.key is not None:
+                log.compact(upto)
+
+    def start(self, path: str, checkpoint: str, *, once: bool = True, interval: str = "1 second", max_files: int | None = None,
+              now: datetime | None = None) -> StreamingQuery:
+        """Consume a parquet feed: all that is there (``once``), or for ever; retries due at ``now`` (else by the wall clock) come first."""
+        if now is None:
+            now = datetime.now(timezone.utc).replace(tzinfo=None)
+        self.redeliver(now)
+        source = stream_identity(self.spark, checkpoint, uuid.uuid4().hex)
         writer = (
-            E.stream_events(self.spark, path, max_files).writeStream.foreachBatch(self.process)
+            E.stream_events(self.spark, path, max_files).writeStream
+            .foreachBatch(lambda batch, number: self.process(batch, number, source))
             .option("checkpointLocation", checkpoint)
         )
         writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
@@ -146,14 +178,14 @@ class Feed:
 class ChatFeed(Feed):
     """``qa_turn`` events into conversations and messages."""
 
-    def __init__(self, spark: SparkSession, root: str, stream: str = K.CHAT_STREAM, exact_json: bool = False, **options):
+    def __init__(self, spark: SparkSession, root: str, stream: str = K.CHAT_STREAM, exact_json: bool = True, **options):
         super().__init__(spark, root, stream, **options)
         self.exact_json = exact_json
         self.conversations = self._log("conversations", schema.CONVERSATIONS.struct, "session_id")
         self.messages = self._log("messages", schema.MESSAGES.struct, "message_id")
 
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        taken = self._taken_in(batch, batch_id)
+    def _process(self, batch: DataFrame, batch_id: int, now: datetime | None) -> None:
+        taken = self._taken_in(batch, batch_id, now)
         projected = self._ahead(E.chat_turns(taken, self.exact_json))
         staged = durable(chat.prepared_turns(projected), "turns")
         wanted = staged.where(F.col("screen").isNull())
@@ -197,21 +229,24 @@ class ChunkFeed(Feed):
     """``index_chunk`` events into the vector store, documents and embeddings.
 
     ``embed`` adds an ``embedding`` column to rows with ``page_content`` (see
-    ``functions.embedding``); without it vectors are written as NULL.
+    ``functions.embedding``); without it vectors are written as NULL. The stored
+    dimension is the one given, else the vector's length, else that of a probe
+    vector of ``embedder``, asked once, else 0.
     """
 
     def __init__(self, spark: SparkSession, root: str, stream: str = K.CHUNK_STREAM, collection: str = E.DEFAULT_COLLECTION,
                  persist_directory: str | None = None, model: str | None = None, dimension: int | None = None,
-                 embed: Callable[[DataFrame], DataFrame] | None = None, exact_json: bool = False, **options):
+                 embed: Callable[[DataFrame], DataFrame] | None = None, embedder: Callable[[], Embedder] | None = None, exact_json: bool = True, **options):
         super().__init__(spark, root, stream, **options)
         self.collection, self.persist_directory = collection, persist_directory
         self.model, self.dimension, self.embed, self.exact_json = model, dimension, embed, exact_json
+        self.probed = 0 if dimension is not None or embedder is None else probe_dimension(embedder)
         self.documents = self._log("documents", schema.DOCUMENTS.struct, "document_key")
         self.embeddings = self._log("embeddings", schema.EMBEDDINGS.struct, "vector_id")
         self.vectors = self._log("vectors", schema.VECTORS, "vector_id")
 
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        taken = self._taken_in(batch, batch_id)
+    def _process(self, batch: DataFrame, batch_id: int, now: datetime | None) -> None:
+        taken = self._taken_in(batch, batch_id, now)
         projected = E.chunk_events(taken, self.collection, self.persist_directory, self.exact_json)
         staged = durable(prepared_chunks(self._ahead(projected)), "chunks")
         wanted = staged.where(F.col("screen").isNull())
@@ -226,9 +261,11 @@ class ChunkFeed(Feed):
         vectors = U.upsert_vectors(None, vectors.withColumn("embedding", F.lit(None).cast("array<float>")))
         if self.embed is not None:
             vectors = self.embed(vectors.drop("embedding"))
+        # Embedders may be dear or random: every vector is computed once.
+        vectors = durable(vectors.select(*schema.VECTORS.names), "embedded")
         accepted = wanted.join(judged.where("valid and not repeat").select("event_id"), "event_id", "left_semi")
         self.vectors.append(vectors, batch_id)
-        self._write_tables(accepted, batch_id)
+        self._write_tables(accepted, vectors.select("vector_id", "embedding"), batch_id)
         columns = ("event_type", "trace_id", "collection_name", "backend", "persist_directory", "embedding_model",
                    "chunk_text", "chunk_metadata", "document_key", "vector_id", "idempotency_key")
         refused = F.concat(F.lit("Failed to persist document "), F.col("document_key"))
@@ -274,7 +311,7 @@ class ChunkFeed(Feed):
                 return judged
             refused = found
 
-    def _write_tables(self, accepted: DataFrame, batch_id: int) -> None:
+    def _write_tables(self, accepted: DataFrame, vectors: DataFrame, batch_id: int) -> None:
         incoming = accepted.select(
             "document_key", F.col("chunk_text").alias("content"), "source", "title_path", F.col("event_trace").alias("trace_id"),
             "idempotency_key", F.col("document_metadata").alias("metadata"), "ord", F.col("arrived_at").alias("at"),
@@ -285,10 +322,10 @@ class ChunkFeed(Feed):
             touched_only=True, staged=True, taken=self.documents.versions(batch_id).select("id"),
         )
         documents = durable(merged.rows, "documents")
-        rows = U.document_ids(accepted, documents.select("document_key", "id")).select(
+        rows = U.document_ids(accepted.join(vectors, "vector_id", "left"), documents.select("document_key", "id")).select(
             "document_id", "vector_id", F.col("event_trace").alias("trace_id"), "idempotency_key",
             K.embedding_model(F.col("embedding_model"), self.model).alias("model"),
-            F.lit(self.dimension or 0).cast("int").alias("dimension"),
+            K.embedding_dimension(F.lit(self.dimension).cast("int"), F.col("embedding"), self.probed).alias("dimension"),
             F.col("embedding_metadata").alias("metadata"), "ord", F.col("arrived_at").alias("at"),
         )
         rows = durable(rows, "vectors")

@@ -1,4 +1,5 @@
 import json
+import os
 import random
 import tempfile
 from datetime import datetime, timedelta
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow import schema
+from ledgerflow.session import ensure_checkpoint_dir
 from ledgerflow.sources import events as E
 from ledgerflow.sources.tables import TableLog
 from ledgerflow.streaming.feeds import ChatFeed, ChunkFeed
@@ -33,7 +35,7 @@ def turn(number, seconds, question, **fields):
 
 def outcomes(feed):
     rows = feed.dispositions.versions().orderBy("batch_id").collect()
-    return {(r.batch_id, r.event_id): r.disposition for r in rows}
+    return {(r.batch_id, r.event_id): r.disposition for r in rows if r.disposition != "repeated_id"}
 
 
 FIRST = [
@@ -77,8 +79,11 @@ def test_chat_feed_with_retries_and_replay(spark, root):
     assert meta == {"redis_event_id": "14-0", "trace_id": "t", "idempotency_key": messages[4].idempotency_key, "snapshot": [{"x": 2}]}
     assert json.loads(messages[3].metadata)["k"] == 1
     assert feed.conversations.current().first().title == "T"
-    feed.messages.compact(2)
-    assert sorted(map(str, feed.messages.current().collect())) == before[1]
+    with pytest.raises(ValueError):
+        feed.compact(2)
+    feed.compact(1)
+    feed.process(second, 2)
+    assert tables() == before
 
 
 def test_stream_restart(spark, root):
@@ -91,7 +96,8 @@ def test_stream_restart(spark, root):
     arrive([turn(2, 1, "a"), turn(3, 2, "b")])
     feed = ChatFeed(spark, f"{root}/out")
     feed.start(f"{root}/in", f"{root}/ck", max_files=1).awaitTermination()
-    assert outcomes(feed) == {(0, "1-0"): "processed", (1, "2-0"): "duplicate", (1, "3-0"): "processed"}
+    # Each start takes a position for its redelivery, then one for each batch.
+    assert outcomes(feed) == {(1, "1-0"): "processed", (3, "2-0"): "duplicate", (3, "3-0"): "processed"}
     assert sorted(r.seq for r in feed.messages.current().collect()) == [1, 2, 3, 4]
 
 
@@ -165,9 +171,63 @@ def test_table_log_versions(spark, root):
     assert {r.session_id: r.title for r in log.current(before=1).collect()} == {"a": "1", "b": "1"}
     only = spark.createDataFrame([("1",)], "title string")
     assert {r.session_id: r.title for r in log.current(only=only, on="title").collect()} == {"a": "2", "b": "1"}
-    log.compact(1)
     log.append(make([row(2, "b", "3")]), 2)
-    assert {r.session_id: r.title for r in log.current().collect()} == {"a": "2", "b": "3"} and log.generation() == 1
+    log.append(make([row(3, "c", "1")]), 3)
+    log.compact(1)
+    whole = {"a": "2", "b": "3", "c": "1"}
+    assert {r.session_id: r.title for r in log.current().collect()} == whole and log.folds() == [1]
+    # A folded batch may be replayed: it sees the rows before it, and nothing is lost after it.
+    assert {r.session_id: r.title for r in log.current(before=1).collect()} == {"a": "1", "b": "1"}
+    log.append(make([row(1, "a", "2")]), 1)
+    assert {r.session_id: r.title for r in log.current().collect()} == whole
+    with pytest.raises(ValueError):
+        log.compact(3)
+
+
+def test_second_checkpoint_loses_nothing(spark, root):
+    for n in (1, 2):
+        frame(spark, [turn(n, n, f"q{n}")]).coalesce(1).write.parquet(f"{root}/in{n}")
+        ChatFeed(spark, f"{root}/out").start(f"{root}/in{n}", f"{root}/ck{n}").awaitTermination()
+    assert sorted(r.text for r in ChatFeed(spark, f"{root}/out").messages.current().collect()) == ["Q1", "Q2", "q1", "q2"]
+
+
+def test_redelivery_without_new_events(spark, root):
+    feed = ChatFeed(spark, root, max_retries=2, retry_limit=1)
+    feed.process(frame(spark, [turn(10, 0, "a", user_metadata="[1]"), turn(9, 0, "b", user_metadata="[2]")]), 0)
+    for minutes in (2, 3):
+        feed.redeliver(DAY0 + timedelta(minutes=minutes))
+    # Oldest first, by number: 9-0 goes before 10-0.
+    assert [r.original_event_id for r in feed.letters.versions().orderBy("batch_id").collect()] == ["9-0", "10-0"]
+    assert not any(p.startswith("run-") for p in os.listdir(ensure_checkpoint_dir(spark).removeprefix("file:")))
+
+
+def test_repeated_and_missing_ids_are_told(spark, root):
+    feed = ChatFeed(spark, root)
+    rows = [turn(1, 5, "late"), turn(1, 0, "first"), turn(1, 5, "late"), (None, DAY0, None), (None, DAY0, None), (None, *turn(7, 1, "x")[1:])]
+    feed.process(frame(spark, rows), 0)
+    told = [r.disposition for r in feed.dispositions.current().collect()]
+    assert sorted(told) == ["processed", "processed", "repeated_id", "repeated_id", "skipped_type", "skipped_type"]
+    assert {r.text for r in feed.messages.current().where("role = 'user'").collect()} == {"first", "x"}
+
+
+def test_byte_field_names(spark, root):
+    rows = [("1-0", DAY0, [(b"event_type", b"qa_turn"), (b"session_\xffid", b"s"), (b"question", b"old"), (b"question\xff", b"new")])]
+    entries = spark.createDataFrame(rows, "event_id string, arrived_at timestamp, e array<struct<key binary, value binary>>")
+    entries.select("event_id", "arrived_at", F.map_from_entries("e").alias("fields")).write.parquet(f"{root}/in")
+    read = E.chat_turns(E.read_events(spark, f"{root}/in")).first()
+    assert (read.session_id, read.question) == ("s", "new")
+
+
+def test_dimension_order(spark, root):
+    class Three:
+        def embed_query(self, text):
+            return [0.0, 0.0, 0.0]
+
+    two = lambda rows: rows.withColumn("embedding", F.array(F.lit(0.0).cast("float"), F.lit(1.0).cast("float")))
+    for place, (options, want) in enumerate([({"dimension": 7, "embed": two}, 7), ({"embed": two, "embedder": Three}, 2), ({"embedder": Three}, 3), ({}, 0)]):
+        feed = ChunkFeed(spark, f"{root}/{place}", **options)
+        feed.process(frame(spark, [chunk(1, 0, "x")]), 0)
+        assert feed.embeddings.current().first().dimension == want
 
 
 def test_first_within_watermark(spark, root):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import keys as K
-from ledgerflow.functions.embedding import embed_column, join_vectors, probe_dimension
+from ledgerflow.functions.embedding import embed_column, probe_dimension
 from ledgerflow.functions.text import blank_to_null, decode_keys, decode_text, field_text
 
 
@@ -62,7 +62,6 @@ def test_chunk_key_and_names(one):
     assert one(K.retry_count_key(F.lit("s"), F.lit("1-0"))) == "rag:retry:s:1-0"
     assert one(*[K.dead_letter_stream(F.lit(x)) for x in ("rag:events", "rag:index-events", "z")]) == (
         "rag:events:dlq", "rag:index-events:dlq", "z:dlq")
-    assert one(K.event_id_text(F.lit(b"1-\xff0"))) == "1-0"
 
 
 def test_backoff(one):
@@ -78,11 +77,6 @@ def test_embedding_defaults(one):
     assert one(K.embedding_dimension(none.cast("int"), vec), K.embedding_dimension(F.lit(9), vec)) == (2, 9)
 
 
-def test_folded_key(spark):
-    rows = spark.createDataFrame([("Ab",), ("ab ",), ("áb",), ("c",)], "k string")
-    assert rows.select(K.folded_key(F.col("k")).alias("k")).distinct().count() == 2
-
-
 def test_iso_timestamp(spark):
     rows = [(datetime(2024, 1, 2, 3, 4, 5),), (datetime(2024, 1, 2, 3, 4, 5, 60),)]
     got = [r[0] for r in spark.createDataFrame(rows, "t timestamp").select(K.iso_timestamp(F.col("t"))).collect()]
@@ -105,5 +99,9 @@ def test_embedder(spark):
     rows = spark.createDataFrame([("abc",), ("",)], "t string")
     assert sorted(r[0] for r in rows.select(embed_column(Dummy, F.col("t"))).collect()) == [[0, 0, 0], [0, 0, 3]]
     assert probe_dimension(Dummy) == 3 and probe_dimension(lambda: None) == 0
-    vectors = spark.createDataFrame([("abc", [1.0])], "t string, embedding array<float>")
-    assert {r.t: r.embedding for r in join_vectors(rows, vectors, "t").collect()} == {"abc": [1.0], "": None}
+
+    class Batched(Dummy):
+        def embed_documents(self, texts):
+            return [[1.0, float(len(t))] for t in texts]
+
+    assert sorted(r[0] for r in rows.select(embed_column(Batched, F.col("t"))).collect()) == [[1, 0], [1, 3]]

@@ -184,7 +184,6 @@ def test_failure_routes(spark):
         assert (row.disposition, row.attempts, row.backoff_seconds) == want
         if want[0] == "retry":
             assert row.next_attempt_at == DAY0 + timedelta(seconds=60)
-    assert retry.prior_attempts(stored, F.lit(DAY0 - timedelta(days=1))).count() == 1
     assert retry.due_retries(stored.withColumn("next_attempt_at", F.lit(DAY0)), F.lit(DAY0), 1).count() == 1
 
 
