@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
-from .common import Sieve, keyed, mixed, pieces, powers, sieved, slices
+from .common import Sieve, give_back, keyed, mixed, pieces, powers, sieved, slices
 
 LENGTH = 400  # bytes of a string that must not repeat
 HEAD = 200  # leading bytes that make a suffix's leading token
@@ -128,6 +128,7 @@ class RepeatedStrings:
         length, reach = self.length, self.window - 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 docs_, parts = batch.column("doc").to_numpy(), batch.column("part").to_numpy()
                 for first, texts in pieces(batch, "text"):
@@ -161,6 +162,7 @@ class RepeatedStrings:
         dealt = suffixes.repartitionByRange(ranges, "head", "d0", "d1", "doc").withColumn("range", F.spark_partition_id())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             held = list(batches)
             table = pa.Table.from_batches(held) if held else None
             if not table:
@@ -202,6 +204,7 @@ class RepeatedStrings:
         texts = marked.groupBy("doc", "part").agg(F.collect_list(entry).alias("all"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 los, his, opens = [], [], []
                 for value in batch.column("all"):
@@ -231,6 +234,7 @@ class RepeatedStrings:
         each = wanted.groupBy("doc", "part").agg(entry.alias("all"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in (part for whole in batches for part in slices(whole, "text")):
                 docs_, parts = batch.column("doc").to_pylist(), batch.column("part").to_pylist()
                 found = []
@@ -277,6 +281,7 @@ class RepeatedStrings:
             return who, np.minimum.reduceat(lows, heads), np.maximum.reduceat(lows, heads)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             held = list(batches)
             table = pa.Table.from_batches(held) if held else None
             if not table:
@@ -287,7 +292,7 @@ class RepeatedStrings:
             begin = 0
             for nxt in range(1, len(cuts)):
                 # As many whole groups of a leading token as make a fair number of contexts.
-                if nxt < len(cuts) - 1 and cuts[nxt + 1] - cuts[begin] <= 5000:
+                if nxt < len(cuts) - 1 and cuts[nxt + 1] - cuts[begin] <= 1000:
                     continue
                 rows = order[cuts[begin] : cuts[nxt]]
                 begin = nxt
@@ -308,6 +313,7 @@ class RepeatedStrings:
         length = self.length
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 for row in batch.to_pylist():
                     text, groups = row["bytes"], {}
@@ -345,6 +351,7 @@ class RepeatedStrings:
         schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in (part for whole in batches for part in slices(whole, "text")):
                 rows = []
                 ranged = "lo" in batch.schema.names
