@@ -26,6 +26,8 @@ HEADLINE = {
     "ttl_marks": "events",
     "chat_event_fields": "events",
     "chat_dispositions": "events",
+    "chat_feed_messages": "events",
+    "chunk_feed_documents": "documents",
     "failure_routes": "events",
     "surrogate_ids": "documents",
 }

@@ -31,13 +31,21 @@ class TableLog:
         self.struct = StructType([StructField(f.name, f.dataType) for f in struct])
         empty = spark.createDataFrame([], self.struct)
         empty.write.mode("ignore").parquet(f"{self._batches}/{_VERSION}=-1")
+        self._known: list[int] | None = None
+        numbers = StructType([StructField("upto", LongType())])
+        spark.createDataFrame([], numbers).write.mode("ignore").parquet(f"{self._done}/upto_of=none")
 
     def folds(self) -> list[int]:
-        """Batches up to which complete folds exist: a few numbers."""
-        numbers = StructType([StructField("upto", LongType())])
-        self.spark.createDataFrame([], numbers).write.mode("ignore").parquet(f"{self._done}/upto_of=none")
-        rows = self.spark.read.schema(numbers).option("recursiveFileLookup", "true").parquet(self._done)
-        return sorted(r.upto for r in rows.distinct().collect())
+        """Batches up to which complete folds exist: a few numbers, read once.
+
+        A fold that another process makes later is not missed: the batches that
+        it covers are still there.
+        """
+        if self._known is None:
+            numbers = StructType([StructField("upto", LongType())])
+            rows = self.spark.read.schema(numbers).option("recursiveFileLookup", "true").parquet(self._done)
+            self._known = sorted({r.upto for r in rows.collect()})
+        return self._known
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
         rows.select(*self.struct.names).write.mode("overwrite").parquet(f"{self._batches}/{_VERSION}={batch_id}")
@@ -85,6 +93,7 @@ class TableLog:
         self.current(upto + 1).write.mode("overwrite").parquet(f"{self._folds}/fold={upto}")
         number = self.spark.createDataFrame([(upto,)], "upto long").coalesce(1)
         number.write.mode("overwrite").parquet(f"{self._done}/upto_of={upto}")
+        self._known = sorted({*self.folds(), upto})
 
 
 class Positions:

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -77,11 +78,15 @@ class Feed:
         if now is None:
             now = self.clock(batch_id) if self.clock is not None else fresh.agg(F.min("arrived_at")).first()[0]
         fresh = fresh.withColumn("redelivered", F.lit(False))
+        # Counters in force; mostly none, which saves the batch much work.
+        self._waiting = durable(self.attempts.current(batch_id).where(F.col("attempts") > 0), "waiting")
+        self._retrying = not self._waiting.isEmpty()
         if now is None:
             return fresh
+        if not self._retrying:
+            return fresh
         order = E.arrival_order(F.col("event_id"), F.col("arrived_at"))
-        waiting = self.attempts.current(batch_id).where(F.col("attempts") > 0)
-        due = durable(R.due_retries(waiting, F.lit(now), self.retry_limit, order), "due")
+        due = durable(R.due_retries(self._waiting, F.lit(now), self.retry_limit, order), "due")
         again = due.select("event_id", F.lit(now).cast("timestamp").alias("arrived_at"), "fields", F.lit(True).alias("redelivered"))
         return fresh.join(due.select("event_id"), "event_id", "left_anti").unionByName(again)
 
@@ -107,30 +112,34 @@ class Feed:
         duplicate, skipped_* or failed). ``failed``: event_id, error, trace_id and
         the payload columns.
         """
-        stored = self.attempts.current(batch_id, only=outcome)
         failures = outcome.where(F.col("disposition") == "failed").select(
             F.lit(self.stream).alias("stream"), "event_id", F.col("arrived_at").alias("failed_at")
         )
+        stored = self._waiting if self._retrying else None
         routed = durable(R.route_failures(
             R.count_failures(failures, stored), self.max_retries,
             self.backoff_base_seconds, self.backoff_max_seconds, self.idle_seconds,
         ), "routed")
-        final = outcome.join(routed.select("event_id", F.col("disposition").alias("_route")), "event_id", "left").select(
-            "event_id", "idempotency_key", F.coalesce("_route", "disposition").alias("disposition"), "arrived_at"
-        )
-        raw_events = taken.select("event_id", "arrived_at", "fields")
-        waiting = routed.where(F.col("disposition") == "retry").join(raw_events, "event_id", "inner").select(*PENDING.names)
-        settled = final.where(F.col("disposition") != "retry").join(stored.where(F.col("attempts") > 0).select("event_id"), "event_id", "left_semi")
-        cleared = settled.select(
-            F.lit(self.stream).alias("stream"), "event_id", F.lit(0).alias("attempts"),
-            *[F.lit(None).cast(f.dataType).alias(f.name) for f in PENDING.fields[3:]],
-        )
-        self.attempts.append(waiting.unionByName(cleared), batch_id)
-        dead = routed.where(F.col("disposition") == "dead_letter").drop("disposition").join(failed, "event_id", "inner")
-        letters = R.dead_letters(dead, payload, raw)
-        self.letters.append(
-            letters.withColumn("dlq_stream", K.dead_letter_stream(F.col("source_stream"), self.dead_letter_names)), batch_id
-        )
+        final, failing = outcome, not routed.isEmpty()
+        changes = []
+        if failing:
+            route = routed.select("event_id", F.col("disposition").alias("_route"))
+            final = durable(outcome.join(route, "event_id", "left").withColumn("disposition", F.coalesce("_route", "disposition")).drop("_route"), "final")
+            raw_events = taken.select("event_id", "arrived_at", "fields")
+            changes.append(routed.where(F.col("disposition") == "retry").join(raw_events, "event_id", "inner").select(*PENDING.names))
+            dead = routed.where(F.col("disposition") == "dead_letter").drop("disposition").join(failed, "event_id", "inner")
+            letters = R.dead_letters(dead, payload, raw)
+            self.letters.append(
+                letters.withColumn("dlq_stream", K.dead_letter_stream(F.col("source_stream"), self.dead_letter_names)), batch_id
+            )
+        if self._retrying:
+            settled = final.where(F.col("disposition") != "retry").join(self._waiting.select("event_id"), "event_id", "left_semi")
+            changes.append(settled.select(
+                F.lit(self.stream).alias("stream"), "event_id", F.lit(0).alias("attempts"),
+                *[F.lit(None).cast(f.dataType).alias(f.name) for f in PENDING.fields[3:]],
+            ))
+        if changes:
+            self.attempts.append(reduce(DataFrame.unionByName, changes), batch_id)
         processed = outcome.where(F.col("disposition") == "processed")
         self.ledger.append(processed.select("idempotency_key", "event_id", F.col("arrived_at").alias("marked_at")), batch_id)
         self.dispositions.append(final.select(*DISPOSITIONS.names).unionByName(self._repeats), batch_id)
@@ -144,7 +153,9 @@ class Feed:
             self._process(batch, self.positions.of(source, batch_id), now)
 
     def redeliver(self, now: datetime) -> None:
-        """Handle the retries that are due at ``now``, without new events."""
+        """Handle the retries that are due at ``now``, without new events; nothing is written if there are none."""
+        if R.due_retries(self.attempts.current().where(F.col("attempts") > 0), F.lit(now)).isEmpty():
+            return
         nothing = self.spark.createDataFrame([], schema.EVENT)
         micros = (now.replace(tzinfo=now.tzinfo or timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
         self.process(nothing, micros, "redelivery", now)
