@@ -86,3 +86,27 @@ def op9_near_copies(spark: SparkSession, folder: str) -> DataFrame:
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     told = identify(table(spark, folder, "documents"), ~held_out())
     return told.select("doc_id", (~told["train"]).alias("held_out"), "lang_pred", "score")
+
+
+# The same results in SQL, by comparing all pairs.
+REACHED = """
+reached(id, c) AS (SELECT id, id FROM nodes UNION SELECT l.b, r.c FROM reached r JOIN both_ways l ON l.a = r.id),
+parts AS (SELECT id, min(c) AS component_id FROM reached GROUP BY id)
+"""
+
+SQL["op2_near_vectors"] = f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id FROM embeddings),
+v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+both_ways AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id <> y.id
+  WHERE list_inner_product(x.e, y.e) / sqrt(list_inner_product(x.e, x.e) * list_inner_product(y.e, y.e)) >= 0.95), {REACHED}
+SELECT p.id AS vec_id, (SELECT count(*) FROM both_ways l WHERE l.a = p.id) AS n_links, component_id, p.id = component_id AS kept,
+  1.0::DOUBLE AS audit_recall FROM parts p"""
+
+SQL["op9_near_copies"] = rf"""WITH RECURSIVE nodes AS (SELECT doc_id AS id FROM documents),
+w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
+    ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS z FROM w),
+n AS (SELECT id, count(*) AS size FROM s GROUP BY id),
+o AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM s x JOIN s y ON x.z = y.z AND x.id <> y.id GROUP BY ALL),
+both_ways AS (SELECT a, b FROM o JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * k >= 80 * (p.size + q.size - k)), {REACHED}
+SELECT p.id AS doc_id, coalesce(n.size, 0) AS n_shingles, component_id, p.id = component_id AS kept FROM parts p LEFT JOIN n USING (id)"""
