@@ -811,7 +811,6 @@ def chat_feed_batches(spark, folder):
     chat_rows.compact(0)
     chat_rows.process(parts[1], 1)
     chat_rows.process(parts[2], 2)
-    chat_rows.compact(1)
     sessions = chat_rows.conversations.current().select(F.col("id").alias("conversation_id"), "session_id")
     return chat_rows.messages.current().join(sessions, "conversation_id").select(
         "session_id", "role", "text", "seq", F.get_json_object("metadata", "$.redis_event_id").alias("redis_event_id")
