@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import held_out, table
+from .common import held_out, share_path, table
 from .language import identify
 from .nearcopies import near_copies
 from .packing import pack_documents
@@ -26,6 +26,7 @@ SQL: dict[str, str] = {}
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        share_path(spark)
         return fn(spark, folder)
 
     QUERIES[fn.__name__] = run
