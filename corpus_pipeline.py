@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerflow.llm.common import held_out, table, without
+from ledgerflow.llm.common import held_out, share_path, table, without
 from ledgerflow.llm.nearcopies import near_copies
 from ledgerflow.llm.packing import pack_documents
 from ledgerflow.llm.pii import mask_pii
@@ -58,6 +58,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    share_path(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), name)
