@@ -60,9 +60,9 @@ def last_rows(df: DataFrame, key: str, order: str = ORDER) -> DataFrame:
     return df.join(last, [key, order], "left_semi")
 
 
-def next_sequence(existing_messages: DataFrame) -> DataFrame:
-    """``(conversation_id, base)``: the largest stored sequence number."""
-    return existing_messages.groupBy("conversation_id").agg(
+def next_sequence(existing_messages: DataFrame, group: str = "conversation_id") -> DataFrame:
+    """``(group, base)``: the largest stored sequence number."""
+    return existing_messages.groupBy(group).agg(
         F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("base")
     )
 
@@ -150,8 +150,7 @@ def assign_sequences(existing: DataFrame, incoming: DataFrame, group: str = "con
     known = existing.select("message_id")
     fresh = bound.join(known, "message_id", "left_anti")
     ranked = grouped_rank(fresh, [group], "first_ord", "_rank", every)
-    base = existing.groupBy(group).agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("base"))
-    numbered = ranked.join(base, group, "left").withColumn(
+    numbered = ranked.join(next_sequence(existing, group), group, "left").withColumn(
         "seq", (F.coalesce(F.col("base"), F.lit(0)) + F.col("_rank")).cast("int")
     )
     repeated = bound.join(known, "message_id", "left_semi").withColumn("seq", F.lit(None).cast("int"))

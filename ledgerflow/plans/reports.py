@@ -139,10 +139,11 @@ def stored_claims(spark, folder):
 @report(f"""WITH {DOCS} SELECT content_hash, min_by(document_key, doc_id) AS holder, count(*) AS claimants
   FROM docs GROUP BY content_hash""")
 def content_claims(spark, folder):
-    """WIN2 as an aggregate."""
-    rows = keyed(spark, folder).select("document_key", "ord", K.content_hash(F.col("content")).alias("content_hash"))
-    return rows.groupBy("content_hash").agg(
-        F.min_by("document_key", "ord").alias("holder"), F.count(F.lit(1)).alias("claimants")
+    """WIN2: who holds each text by the verdicts of the upsert."""
+    rows = keyed(spark, folder).withColumn("content_hash", K.content_hash(F.col("content")))
+    verdicts = U.document_verdicts(None, rows, bound=True)
+    return verdicts.groupBy("content_hash").agg(
+        F.max(F.when(F.col("accepted"), F.col("document_key"))).alias("holder"), F.count(F.lit(1)).alias("claimants")
     )
 
 
@@ -706,10 +707,9 @@ def chunk_event_fields(spark, folder):
   SELECT event_id, CASE WHEN holder = event_id THEN 'processed' ELSE 'retry' END AS disposition FROM o""")
 def chunk_dispositions(spark, folder):
     """STR8: chunks whose text another document holds fail and are retried."""
-    prepared = prepared_chunks(E.chunk_events(chunk_feed(spark, folder), "library"))
-    rows = prepared.select("event_id", "document_key", K.content_hash(F.col("chunk_text")).alias("content_hash"), "ord")
-    verdicts = first_claims(rows, None, "document_key", "content_hash", "ord")
-    return verdicts.select("event_id", F.when(F.col("accepted"), "processed").otherwise("retry").alias("disposition"))
+    chunk_rows = ChunkFeed(spark, scratch_table(spark, "feed"), collection="library")
+    chunk_rows.process(chunk_feed(spark, folder), 0)
+    return chunk_rows.dispositions.current().select("event_id", "disposition")
 
 
 @report(f"""WITH {CHUNK_EVENTS}, o AS (SELECT *, first_value(event_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS holder FROM v)
