@@ -175,6 +175,7 @@ def sieved(docs: DataFrame, sieve: Sieve, passing: bool) -> DataFrame:
     """Rows whose ``doc`` (a number, not NULL) passes the sieve, or the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             yield batch.filter(pa.array(sieve.passes(batch.column("doc").to_numpy()) == passing))
 

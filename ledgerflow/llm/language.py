@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import pieces, share_of
+from .common import give_back, pieces, share_of
 
 ORDER = 3  # longest context in bytes
 SAMPLE_BYTES = 3_000_000  # expected bytes of text to learn from, per language
@@ -141,6 +141,7 @@ def learn(docs: DataFrame, train: Column, order: int = ORDER, sample_bytes: int
     chosen = rows.where(share_of("text") < share[F.col("lang")]).select("lang", F.lower("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             for first, texts in pieces(batch, "text"):
@@ -177,6 +178,7 @@ def identify(docs: DataFrame, train: Column, order: int = ORDER, sample_bytes: i
     names, trees = learn(docs, train, order, sample_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             known = np.array(batch.column("letters").to_pylist(), bool)
             best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
-from .common import Sieve, mixed, pieces, shingle_hashes, word_hashes
+from .common import Sieve, give_back, mixed, pieces, shingle_hashes, word_hashes
 from .components import components
 
 BANDS, ROWS = 28, 4  # a pair at similarity 0.8 misses all bands once in 2.6 million
@@ -112,6 +112,7 @@ class NearCopies:
         width, size = self.width, self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 ids = batch.column("doc_id")
                 for first, texts in pieces(batch, "text"):
@@ -133,6 +134,7 @@ class NearCopies:
         sieve, width = Sieve(wanted, "id"), self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 batch = batch.filter(pa.array(sieve.passes(batch.column("doc_id").fill_null(-1).to_numpy())))
                 for first, texts in pieces(batch, "text"):
@@ -152,6 +154,7 @@ class NearCopies:
         bands, rows = self.bands, self.rows
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -171,6 +174,7 @@ class NearCopies:
         limits = self.limits
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 if batch.num_rows:
                     left, right = (np.stack(unpack(batch.column(c), np.uint32)) for c in ("sig_a", "sig_b"))
@@ -186,6 +190,7 @@ class NearCopies:
         percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 hits = []
                 for at, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
-from .common import SPACE, Sieve, keyed, mixed, pieces, powers, span_hashes, word_spans
+from .common import SPACE, Sieve, give_back, keyed, mixed, pieces, powers, span_hashes, word_spans
 
 WINDOW = 8  # template tokens that are matched together
 COVERAGE = 0.5  # share of an item's windows that a document must hold
@@ -98,6 +98,7 @@ def template_windows(texts: DataFrame, keys: list[str], widths: list[int] | int,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for first, part in pieces(batch, "text"):
                 template = Template(part)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import share_of
+from .common import give_back, share_of, slices
 
 TRAIN_ROWS = 20_000  # expected number of labelled rows to learn from, at most
 STEMS = 400  # learned insult stems, at most
@@ -147,8 +147,11 @@ class Grammar:
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, Iterator[str]]]:
-    for batch in batches:
-        yield batch, (v.as_py() or "" for v in batch.column(column))
+    """Runs of rows with a bounded amount of text."""
+    give_back()
+    for whole in batches:
+        for batch in slices(whole, column):
+            yield batch, (v.as_py() or "" for v in batch.column(column))
 
 
 def stem_weights(sample: DataFrame, limit: int = STEMS) -> dict[str, float]:
