@@ -19,8 +19,10 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar does not reject."""
     # The operator's columns go under their own names, so that like-named ones of the documents stay.
-    scored = score_toxicity(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), table(spark, sf_dir, "labels"), ~held_out())
-    return scored.where("predicted = 0").select("row.*")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0), *others).alias("row"))
+    kept = score_toxicity(rows, table(spark, sf_dir, "labels"), ~held_out()).where("predicted = 0")
+    return kept.select(*[kept["row"][c].alias(c) if c in others else kept[c] for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
