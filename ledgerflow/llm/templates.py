@@ -35,7 +35,7 @@ _END[[ord(c) for c in ".!?:;"]] = True
 
 
 class Template:
-    """Template tokens of several texts: hash, slot value (0 for a literal) and the text's number of each."""
+    """Template tokens of several texts: hash, slot value (0 for a literal), lower-cased word and the text's number of each."""
 
     def __init__(self, texts: list[bytes]):
         data, starts, ends, owner = word_spans(texts, SPACE)
@@ -68,20 +68,30 @@ class Template:
         unit[1:] = number[:-1] & (owner[1:] == owner[:-1]) & np.isin(word[1:], _UNIT_HASHES) & ~number[1:]
         self.hashes = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, word)))
         self.slots = np.where(number | unit | name, word | np.uint64(1), np.uint64(0))
+        self.words = word
         self.owner = owner
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and first tokens of all windows with literals in half of their places or more."""
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and first tokens of all windows, and which of them have slots.
+
+        A window with literals in less than half of its places would match
+        nearly anything by its slots, so it is told by its plain words.
+        """
         n = len(self.hashes)
         if n < width:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        up, down = powers(n + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(self.hashes) * up[:n], dtype=np.uint64)])
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
         at = np.arange(n - width + 1)
-        hashes = mixed((sums[width:] - sums[:-width]) * down[at] + np.uint64(width))
+        at = at[self.owner[at] == self.owner[at + width - 1]]
         literal = np.concatenate([[0], np.cumsum(self.slots == 0)])
-        good = (self.owner[at] == self.owner[at + width - 1]) & (2 * (literal[width:] - literal[:-width]) >= width)
-        return hashes[good], at[good]
+        typed = 2 * (literal[at + width] - literal[at]) >= width
+        return np.where(typed, rolled(self.hashes, at, width), rolled(self.words, at, width)), at, typed
+
+
+def rolled(tokens: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the ``width`` tokens from each place of ``at`` on."""
+    up, down = powers(len(tokens) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(tokens) * up[: len(tokens)], dtype=np.uint64)])
+    return mixed((sums[at + width] - sums[at]) * down[at] + np.uint64(width))
 
 
 _UNIT_HASHES = np.zeros(0, np.uint64)
@@ -90,11 +100,13 @@ _UNIT_HASHES = span_hashes(_joined, _starts, _ends)
 
 
 def template_windows(texts: DataFrame, keys: list[str], widths: list[int] | int, sieve: Sieve | None = None) -> DataFrame:
-    """``(keys, window, at, of, slots)``: template windows of each text, those that pass the sieve.
+    """``(keys, window, at, of, typed, typed_of, slots, width)``: template windows of each text, those that pass the sieve.
 
     ``widths`` lists the window lengths; a single one is cut down to the tokens
     of a shorter text. ``at`` is the window's first token, ``of`` the number of
-    windows of its text, ``slots`` the window's slot values in order.
+    windows of its text, ``typed`` tells a window matched by its slots from one
+    of plain words, ``typed_of`` counts the former in the text, ``slots`` has
+    the window's slot values in order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,39 +121,44 @@ def template_windows(texts: DataFrame, keys: list[str], widths: list[int] | int,
                 else:
                     shapes = widths
                 for width in shapes:
-                    hashes, at = template.windows(width)
+                    hashes, at, typed = template.windows(width)
                     if isinstance(widths, int):
                         own = np.minimum(tokens[template.owner[at]], widths) == width
-                        hashes, at = hashes[own], at[own]
+                        hashes, at, typed = hashes[own], at[own], typed[own]
                     of = np.bincount(template.owner[at], minlength=len(part))
+                    typed_of = np.bincount(template.owner[at[typed]], minlength=len(part))
                     if sieve is not None:
                         good = sieve.passes(hashes)
-                        hashes, at = hashes[good], at[good]
+                        hashes, at, typed = hashes[good], at[good], typed[good]
                     if not len(at):
                         continue
                     owner = template.owner[at]
-                    slots = [template.slots[a : a + width] for a in at.tolist()]
+                    slots = [template.slots[a : a + width] * np.uint64(t) for a, t in zip(at.tolist(), typed.tolist())]
                     rows = batch.slice(first, len(part)).select(keys).take(pa.array(owner))
                     made = [
                         pa.array(hashes.view(np.int64)), pa.array((at - begin[owner]).astype(np.int32)), pa.array(of[owner].astype(np.int32)),
+                        pa.array(typed), pa.array(typed_of[owner].astype(np.int32)),
                         pa.array([s[s != 0].view(np.int64).tolist() for s in slots], pa.list_(pa.int64())),
                         pa.array(np.full(len(at), width, np.int32)),
                     ]
-                    yield pa.RecordBatch.from_arrays([*rows.columns, *made], [*keys, "window", "at", "of", "slots", "width"])
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *made], [*keys, "window", "at", "of", "typed", "typed_of", "slots", "width"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*keys).schema)
-    return texts.select(*keys, "text").mapInArrow(run, f"{fields}, window long, at int, of int, slots array<long>, width int")
+    made = "window long, at int, of int, typed boolean, typed_of int, slots array<long>, width int"
+    return texts.select(*keys, "text").mapInArrow(run, f"{fields}, {made}")
 
 
 def template_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage: float = COVERAGE, conflicts: float = CONFLICTS) -> DataFrame:
     """``(doc, part, doc_id, item_id, coverage, n_slots, n_conflicts)`` of each document and benchmark item it holds.
 
     Numbers, names (capitalised words within a sentence) and units behind
-    numbers become typed slots. Windows of ``width`` template tokens, at least
-    half of them literals, are matched by their hash; an item with fewer tokens
-    is one window. A document holds an item if it has ``coverage`` of its
-    windows, and at most a share ``conflicts`` of the item's slot values are
-    filled in several ways there. Both are judged over the whole document and
+    numbers become typed slots. Windows of ``width`` template tokens are matched
+    by their hash, those with literals in less than half of their places by
+    their lower-cased words without slots; an item with fewer tokens is one
+    window. A document holds an item if it has ``coverage`` of its windows, or
+    of those with slots, so that other values in the rest do not hide it, and
+    at most a share ``conflicts`` of the item's slot values are filled in
+    several ways there. Both are judged over the whole document and
     for each shift between document and item, so that a question that comes
     twice with other numbers does not contradict itself.
 
@@ -153,12 +170,15 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW,
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # at most `width` numbers
     texts = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     own = template_windows(texts, ["doc_id", "doc", "part"], widths, Sieve(items, "window"))
-    item = items.select("window", "item_id", F.col("at").alias("item_at"), F.col("of").alias("item_of"), F.col("slots").alias("item_slots"))
+    item = items.select("window", "item_id", *[F.col(c).alias(f"item_{c}") for c in ("at", "of", "typed", "typed_of", "slots")])
     shift = F.col("at") - F.col("item_at")
     scope = F.explode(F.array(F.lit(None).cast("int"), shift))
     key = ["doc", "part", "doc_id", "item_id", "scope"]
-    hits = durable(own.join(item, "window").withColumn("scope", scope).select(*key, "item_at", "item_of", "item_slots", "slots"), "hits")
-    held = hits.groupBy(*key).agg((F.count_distinct("item_at") / F.max("item_of")).alias("coverage"))
+    told = [f"item_{c}" for c in ("at", "of", "typed", "typed_of", "slots")]
+    hits = durable(own.join(item, "window").withColumn("scope", scope).select(*key, *told, "slots"), "hits")
+    each = hits.groupBy(*key, "item_at").agg(*[F.max(c).alias(c) for c in ("item_of", "item_typed", "item_typed_of")])
+    typed = F.try_divide(F.sum(F.col("item_typed").cast("int")), F.max("item_typed_of"))
+    held = each.groupBy(*key).agg(F.greatest(F.count("*") / F.max("item_of"), typed).alias("coverage"))
     held = held.where(F.col("coverage") >= coverage)
     pairs = hits.select(*key, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
     filled = pairs.groupBy(*key, F.col("s.item_slots").alias("slot")).agg(F.count_distinct("s.slots").alias("ways"))

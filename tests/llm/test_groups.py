@@ -252,6 +252,21 @@ def test_slots_must_agree(spark):
     assert {r.doc_id: r.contaminated for r in contamination(docs, bench).collect()} == {1: True, 2: False, 3: True}
 
 
+def test_items_of_slots_are_found(spark):
+    sums = "Solve 3 x 2 + 5 x - 7 = 0 and 4 x 2 + 9 x - 1 = 0"
+    names = "they are Anna, Bert, Carla, Dirk, Emma, Fred, Gina, Hugo, Ines, Jens and Kim"
+    mixed = "The farmer then sold each of these boxes for 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 27 28 29"
+    other = mixed[: mixed.index("12")] + " ".join(str(n) for n in range(52, 70))
+    texts = {1: f"Well. {sums} and so on", 2: f"Here {names} and more", 3: sums.replace("3 x", "8 x"), 4: "Solve 1 x 9 + 8 x - 6 = 3 and 2 x 7 + 1 x - 4 = 5",
+             5: "some numbers 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 27 28 29", 6: other, 7: "12 13 14 15 16 and none"}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, sums), (2, names), (3, mixed), (4, "Solve 7 x 7 + 2 = 0")], "item_id long, text string")
+    found = {r.doc_id: (r["items"], r.coverage) for r in contamination(docs, bench).collect()}
+    assert found[1] == ([1], 1.0) and found[2] == ([2], 1.0)
+    assert found[3][0] == [1] and found[5][0] == found[6][0] == [3]
+    assert found[4] == found[7] == ([], 0.0)
+
+
 # ---- sharding -------------------------------------------------------------------
 
 def test_schedule_is_a_heap():
