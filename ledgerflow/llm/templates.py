@@ -21,6 +21,7 @@ UNITS = (
     "gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "cent cents dollar dollars euro euros pound pounds percent degrees mph kmh hz w watts volts"
 ).split()
+TEMPLATE, LOWERED, WORDS = range(3)  # forms of a window: typed slots, no slots for names, no slots
 NUM, UNIT, NAME = (np.uint64(k) for k in (0x6E756D, 0x756E6974, 0x6E616D65))
 
 _DIGIT = np.zeros(256, bool)
@@ -68,30 +69,58 @@ class Template:
         unit[1:] = number[:-1] & (owner[1:] == owner[:-1]) & np.isin(word[1:], _UNIT_HASHES) & ~number[1:]
         self.hashes = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, word)))
         self.slots = np.where(number | unit | name, word | np.uint64(1), np.uint64(0))
+        self.plain = np.where(name, word, self.hashes)  # names are words like others
+        self.counted = np.where(name, np.uint64(0), self.slots)
         self.words = word
         self.owner = owner
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes and first tokens of all windows, and which of them have slots.
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All windows in one form or two: hashes, first tokens, forms and which first tokens have a template.
 
-        A window with literals in less than half of its places would match
-        nearly anything by its slots, so it is told by its plain words.
+        The template has slots for numbers, units and names; a second form takes
+        names as lower-cased words, as it depends on the surroundings and on case
+        what is a name, and is told where it differs. A form with literals in less
+        than half of its places would match nearly anything by its slots and is
+        left out; if that holds for the second one, a third has words alone. The
+        last two depend on the window's words only: a copy has the same.
         """
         n = len(self.hashes)
         if n < width:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, bool)
         at = np.arange(n - width + 1)
         at = at[self.owner[at] == self.owner[at + width - 1]]
-        literal = np.concatenate([[0], np.cumsum(self.slots == 0)])
-        typed = 2 * (literal[at + width] - literal[at]) >= width
-        return np.where(typed, rolled(self.hashes, at, width), rolled(self.words, at, width)), at, typed
-
-
-def rolled(tokens: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the ``width`` tokens from each place of ``at`` on."""
+        few = (np.concatenate([[0], np.cumsum(x == 0)]) for x in (self.slots, self.counted))
+        typed, known = (f[at + width] - f[at] for f in few)
+        # A unit that opens the window is a word: its number is outside.
+        known += self.plain[at] == UNIT
+        typed, known = 2 * typed >= width, 2 * known >= width
+        template = rolled(self.hashes, at, width)
+        words = np.where(known, rolled(self.plain, at, width, np.where(self.plain[at] == UNIT, self.words[at], self.plain[at])), rolled(self.words, at, width))
+        other = ~typed | (words != template)
+        return (
+            np.concatenate([template[typed], words[other]]), np.concatenate([at[typed], at[other]]),
+            np.concatenate([np.full(typed.sum(), TEMPLATE, np.int8), np.where(known, LOWERED, WORDS)[other].astype(np.int8)]),
+            np.concatenate([typed[typed], typed[other]]),
+        )
+
+    def values(self, at: int, width: int, form: int) -> np.ndarray:
+        """Slot values of a window in order."""
+        if form == WORDS:
+            return self.slots[:0]
+        values = (self.slots if form == TEMPLATE else self.counted)[at : at + width]
+        if form == LOWERED and self.plain[at] == UNIT:
+            values = values[1:]
+        return values[values != 0]
+
+
+def rolled(tokens: np.ndarray, at: np.ndarray, width: int, first: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the ``width`` tokens from each place of ``at`` on; ``first`` stands for the tokens in these places."""
     up, down = powers(len(tokens) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(tokens) * up[: len(tokens)], dtype=np.uint64)])
-    return mixed((sums[at + width] - sums[at]) * down[at] + np.uint64(width))
+    total = (sums[at + width] - sums[at]) * down[at]
+    if first is not None:
+        total += mixed(first) - mixed(tokens[at])
+    return mixed(total + np.uint64(width))
 
 
 _UNIT_HASHES = np.zeros(0, np.uint64)
@@ -104,9 +133,9 @@ def template_windows(texts: DataFrame, keys: list[str], widths: list[int] | int,
 
     ``widths`` lists the window lengths; a single one is cut down to the tokens
     of a shorter text. ``at`` is the window's first token, ``of`` the number of
-    windows of its text, ``typed`` tells a window matched by its slots from one
+    windows of its text, ``typed`` tells windows that have a template from those
     of plain words, ``typed_of`` counts the former in the text, ``slots`` has
-    the window's slot values in order.
+    the row's slot values in order. A window has a row for each of its forms.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,24 +150,27 @@ def template_windows(texts: DataFrame, keys: list[str], widths: list[int] | int,
                 else:
                     shapes = widths
                 for width in shapes:
-                    hashes, at, typed = template.windows(width)
+                    made = template.windows(width)
                     if isinstance(widths, int):
-                        own = np.minimum(tokens[template.owner[at]], widths) == width
-                        hashes, at, typed = hashes[own], at[own], typed[own]
-                    of = np.bincount(template.owner[at], minlength=len(part))
-                    typed_of = np.bincount(template.owner[at[typed]], minlength=len(part))
+                        own = np.minimum(tokens[template.owner[made[1]]], widths) == width
+                        made = [m[own] for m in made]
+                    hashes, at, form, typed = made
+                    # Each window has its template's form, or else one of the others.
+                    lead = (form == TEMPLATE) | ~typed
+                    of = np.bincount(template.owner[at[lead]], minlength=len(part))
+                    typed_of = np.bincount(template.owner[at[lead & typed]], minlength=len(part))
                     if sieve is not None:
                         good = sieve.passes(hashes)
-                        hashes, at, typed = hashes[good], at[good], typed[good]
+                        hashes, at, form, typed = (m[good] for m in made)
                     if not len(at):
                         continue
                     owner = template.owner[at]
-                    slots = [template.slots[a : a + width] * np.uint64(t) for a, t in zip(at.tolist(), typed.tolist())]
+                    slots = [template.values(a, width, f) for a, f in zip(at.tolist(), form.tolist())]
                     rows = batch.slice(first, len(part)).select(keys).take(pa.array(owner))
                     made = [
                         pa.array(hashes.view(np.int64)), pa.array((at - begin[owner]).astype(np.int32)), pa.array(of[owner].astype(np.int32)),
                         pa.array(typed), pa.array(typed_of[owner].astype(np.int32)),
-                        pa.array([s[s != 0].view(np.int64).tolist() for s in slots], pa.list_(pa.int64())),
+                        pa.array([s.view(np.int64).tolist() for s in slots], pa.list_(pa.int64())),
                         pa.array(np.full(len(at), width, np.int32)),
                     ]
                     yield pa.RecordBatch.from_arrays([*rows.columns, *made], [*keys, "window", "at", "of", "typed", "typed_of", "slots", "width"])
@@ -153,10 +185,11 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW,
 
     Numbers, names (capitalised words within a sentence) and units behind
     numbers become typed slots. Windows of ``width`` template tokens are matched
-    by their hash, those with literals in less than half of their places by
-    their lower-cased words without slots; an item with fewer tokens is one
-    window. A document holds an item if it has ``coverage`` of its windows, or
-    of those with slots, so that other values in the rest do not hide it, and
+    by their hash, and by a second one with names as lower-cased words, so that
+    case and surroundings hide no copy; one with slots in more than half of its
+    places is matched by its words alone. An item with fewer tokens is one
+    window, and a window is held if either hash is found. A document holds an item if it has ``coverage`` of its windows, or
+    of those with a template, so that other values in the rest do not hide it, and
     at most a share ``conflicts`` of the item's slot values are filled in
     several ways there. Both are judged over the whole document and
     for each shift between document and item, so that a question that comes

@@ -239,6 +239,7 @@ def test_templates(spark):
     assert len(got) == len(texts) + 2
     found = {i: items for i, _, items in got}
     assert found[1] == found[2] == found[9] == found[None] == [70] and found[10] == found[11] == [73]
+    assert found[8] == [70]
     assert all(found[i] == [] for i in (3, 4, 5, 6, 7))
     assert contamination(docs.limit(0), bench).count() == 0
     assert not any(r.contaminated for r in contamination(docs, bench.limit(0)).collect())
@@ -252,6 +253,20 @@ def test_slots_must_agree(spark):
     assert {r.doc_id: r.contaminated for r in contamination(docs, bench).collect()} == {1: True, 2: False, 3: True}
 
 
+def test_copies_in_other_case_and_places(spark):
+    names = "when Anna saw Bert and Carla met Dirk they asked Emma about Fred and Gina"
+    german = "Der Bauer im Tal gab der Frau des Lehrers einen Korb mit Birnen aus dem Garten"
+    texts = {
+        1: "x " * 50 + ITEM.upper(), 2: "y " * 50 + ITEM.lower(), 3: 'He asked "What is the capital of France?" and left', 4: names.upper(),
+        5: german.lower(), 6: "it cost 5. In the valley Maria sold 3 apples. Then", 7: "the colour of that house in Spain is red, they say in the valley",
+    }
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    items = [(1, ITEM), (2, "What is the capital of France?"), (3, names), (4, german), (5, "In the valley Maria sold 3 apples.")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {r.doc_id: (r["items"], r.coverage) for r in contamination(docs, bench).collect()}
+    assert found == {1: ([1], 1.0), 2: ([1], 1.0), 3: ([2], 1.0), 4: ([3], 1.0), 5: ([4], 1.0), 6: ([5], 1.0), 7: ([], 0.0)}
+
+
 def test_items_of_slots_are_found(spark):
     sums = "Solve 3 x 2 + 5 x - 7 = 0 and 4 x 2 + 9 x - 1 = 0"
     names = "they are Anna, Bert, Carla, Dirk, Emma, Fred, Gina, Hugo, Ines, Jens and Kim"
