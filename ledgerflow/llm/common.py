@@ -183,14 +183,14 @@ def sieved(docs: DataFrame, sieve: Sieve, passing: bool) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``doc`` and ``part``, which tell rows apart: the id, the least number for NULL, and a hash of the text.
+    """``docs`` with ``doc`` and ``part``, which tell rows apart: the id, the least number for NULL, and a 128-bit digest of the text.
 
     Rows with equal keys have equal ids and texts, so what is found for one
     holds for the other.
     """
     return docs.withColumns({
         "doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
-        "part": F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))),
+        "part": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))),
     })
 
 

@@ -16,7 +16,7 @@ LENGTH = 400  # bytes of a string that must not repeat
 HEAD = 200  # leading bytes that make a suffix's leading token
 ROWS = 400_000  # suffixes that one task sorts
 HOT = 20_000  # anchors of one leading token that one task compares
-SUFFIX = "head long, d0 long, d1 long, doc long, part int, spots array<int>, far int, near int"
+SUFFIX = "head long, d0 long, d1 long, doc long, part binary, spots array<int>, far int, near int"
 # A second value for each byte, for a second hash.
 SHUFFLED = (np.arange(256) * 167 + 43).astype(np.uint8)
 
@@ -130,7 +130,7 @@ class RepeatedStrings:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             give_back()
             for batch in batches:
-                docs_, parts = batch.column("doc").to_numpy(), batch.column("part").to_numpy()
+                docs_, parts = batch.column("doc").to_numpy(), batch.column("part").to_pylist()
                 for first, texts in pieces(batch, "text"):
                     found = []
                     for row, text in enumerate(texts, first):
@@ -142,7 +142,7 @@ class RepeatedStrings:
                             ahead = min(at, reach)
                             key = hashlib.blake2b(text[at - ahead : at + length], digest_size=16, key=ahead.to_bytes(4, "big")).digest()
                             groups.setdefault(key, (int(heads[at]), a, b, []))[3].append(at)
-                        found += [(h, k, int(docs_[row]), int(parts[row]), s, a, b) for k, (h, a, b, s) in groups.items()]
+                        found += [(h, k, int(docs_[row]), parts[row], s, a, b) for k, (h, a, b, s) in groups.items()]
                     yield suffix_rows(found)
 
         return docs.select("doc", "part", "text").mapInArrow(run, SUFFIX)
@@ -225,7 +225,7 @@ class RepeatedStrings:
                 made = [pa.array([x.tolist() for x in xs], pa.list_(t)) for xs, t in ((los, pa.int32()), (his, pa.int32()), (opens, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("part"), *made], ["doc", "part", "lo", "hi", "open"])
 
-        return texts.mapInArrow(run, "doc long, part int, lo array<int>, hi array<int>, open array<long>")
+        return texts.mapInArrow(run, "doc long, part binary, lo array<int>, hi array<int>, open array<long>")
 
     def contexts(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
         """The bytes that the strings of the wanted anchors ``(doc, part, head, at)`` span."""
@@ -244,12 +244,12 @@ class RepeatedStrings:
                         lo, hi = e["at"] - e["far"], e["at"] - e["near"] + length
                         found.append((e["head"], docs_[row], parts[row], lo, data[lo:hi], e["hot"]))
                 columns = list(zip(*found)) or [()] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["head", "doc", "part", "lo", "bytes", "hot"])
 
         texts = sieved(docs, Sieve(each, "doc"), True)
         joined = texts.join(each, ["doc", "part"]).select("doc", "part", "text", "all")
-        return joined.mapInArrow(run, "head long, doc long, part int, lo int, bytes binary, hot boolean")
+        return joined.mapInArrow(run, "head long, doc long, part binary, lo int, bytes binary, hot boolean")
 
     def matched(self, contexts: DataFrame) -> DataFrame:
         """``(doc, part, lo, hi)``: of each context, the bytes that its repeated strings cover.
@@ -306,7 +306,7 @@ class RepeatedStrings:
                 )
 
         parts = max(int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-contexts.count() // 100_000))
-        return contexts.repartition(parts, "head").mapInArrow(run, "doc long, part int, lo int, hi int")
+        return contexts.repartition(parts, "head").mapInArrow(run, "doc long, part binary, lo int, hi int")
 
     def strings(self, contexts: DataFrame) -> DataFrame:
         """All strings of the contexts as suffixes of their own."""
@@ -388,7 +388,7 @@ def suffix_rows(found: list[tuple]) -> pa.RecordBatch:
     words = np.frombuffer(b"".join(f[1] for f in found), np.int64).reshape(-1, 2)
     columns = [
         pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64)), pa.array(words[:, 0]), pa.array(words[:, 1]),
-        pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int32()),
+        pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.binary()),
         pa.array([f[4] for f in found], pa.list_(pa.int32())),
         pa.array([f[5] for f in found], pa.int32()), pa.array([f[6] for f in found], pa.int32()),
     ]

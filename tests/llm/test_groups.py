@@ -10,13 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerflow.llm.common import Sieve
+from ledgerflow.llm.common import Sieve, keyed, without
 from ledgerflow.llm.components import components
 from ledgerflow.llm.nearcopies import NearCopies, near_copies
 from ledgerflow.llm.packing import CAPACITIES, best_packing, pack_documents, price
 from ledgerflow.llm.sharding import schedule, shard_documents
 from ledgerflow.llm.suffixes import multikey_order, remove_repeats
-from ledgerflow.llm.templates import contamination
+from ledgerflow.llm.templates import contamination, template_matches
 from ledgerflow.llm.vectors import NearVectors, near_vectors
 
 DATA = "/root/testdata/sf0.001"
@@ -186,6 +186,22 @@ def test_multikey_order():
     assert rows == sorted(rows) and sorted(order) == list(range(30_000))
 
 
+PAIR = "4cc13723ae0ab14111d1d5b9fc4a260a", "c2e5f505e09a830779ebe6c1a459ed12"  # of one 32-bit hash
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    one, two = PAIR
+    df = spark.createDataFrame([(None, one), (None, two), (1, one)], "doc_id long, text string")
+    hashes = df.select(F.hash("text").alias("h")).distinct().count()
+    parts = keyed(df).groupBy("text").agg(F.collect_set("part").alias("p")).collect()
+    assert hashes == 1 and len({p for r in parts for p in r.p}) == 2
+    assert {(r.doc_id, r.n_bytes - r.n_removed) for r in remove_repeats(df, 20, head=10).collect()} == {(None, 0), (None, 32), (1, 0)}
+    bench = spark.createDataFrame([(7, one)], "item_id long, text string")
+    assert sorted(r.n_items for r in contamination(df, bench).collect()) == [0, 1, 1]
+    found = template_matches(df, bench).select("doc", "part")
+    assert [r.text for r in without(df, found).collect()] == [two]
+
+
 # ---- packing ------------------------------------------------------------------
 
 def test_packing_is_whole(spark):
