@@ -201,7 +201,9 @@ class RepeatedStrings:
         """``(doc, part, lo, hi, open)``: byte ranges known to repeat, and leading tokens of anchors that have other bytes."""
         length = self.length
         entry = F.struct("head", "mark", "far", "near", "spots")
-        texts = marked.groupBy("doc", "part").agg(F.collect_list(entry).alias("all"))
+        # Rows of one id and text have equal entries; they are gathered once.
+        once = marked.select("doc", "part", "head", "d0", "d1", "mark", "far", "near", "spots").distinct()
+        texts = once.groupBy("doc", "part").agg(F.collect_list(entry).alias("all"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             give_back()

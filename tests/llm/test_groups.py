@@ -15,7 +15,7 @@ from ledgerflow.llm.components import components
 from ledgerflow.llm.nearcopies import NearCopies, near_copies
 from ledgerflow.llm.packing import CAPACITIES, best_packing, pack_documents, price
 from ledgerflow.llm.sharding import schedule, shard_documents
-from ledgerflow.llm.suffixes import multikey_order, remove_repeats
+from ledgerflow.llm.suffixes import SUFFIX, RepeatedStrings, multikey_order, remove_repeats
 from ledgerflow.llm.templates import contamination, template_matches
 from ledgerflow.llm.vectors import NearVectors, near_vectors
 
@@ -202,6 +202,22 @@ def test_texts_of_one_id_are_told_apart(spark):
     assert [r.text for r in without(df, found).collect()] == [two]
 
 
+def test_repeated_rows_bring_their_anchors_once(spark, monkeypatch):
+    rows = [(5, 1, 2, 9, b"p", [0, 30], 0, 0, 2), (6, 1, 2, 9, b"p", [200], 0, 0, 2)] * 300 + [(7, 1, 2, 9, b"q", [9], 0, 0, 1)]
+    marked = spark.createDataFrame(rows, f"{SUFFIX}, mark int")
+    frame, sizes = type(marked), []
+    through = frame.mapInArrow
+
+    def watched(self, *args):
+        sizes.append({bytes(r.part): r.n for r in self.select("part", F.size("all").alias("n")).collect()})
+        return through(self, *args)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    got = {bytes(r.part): (r.lo, r.hi, r.open) for r in RepeatedStrings(40, head=20).settled(marked).collect()}
+    assert sizes == [{b"p": 2, b"q": 1}]
+    assert got == {b"p": ([0, 200], [70, 240], []), b"q": ([], [], [7])}
+
+
 # ---- packing ------------------------------------------------------------------
 
 def test_packing_is_whole(spark):
