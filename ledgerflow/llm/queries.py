@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .alignment import align_tokens
 from .common import held_out, share_path, table
 from .language import identify
 from .nearcopies import near_copies
@@ -89,6 +90,16 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("doc_id", (~told["train"]).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    done = align_tokens(table(spark, folder, "documents"), *paths)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 # The same results in SQL, by comparing all pairs.
 REACHED = """
 reached(id, c) AS (SELECT id, id FROM nodes UNION SELECT l.b, r.c FROM reached r JOIN both_ways l ON l.a = r.id),
