@@ -17,8 +17,8 @@ from .common import give_back, keyed, slices
 from .tokens import byte_symbols
 
 HOT_PAIRS = 1 << 20  # id pairs whose counts are sent to the tasks; all others are joined
-CACHED = 150_000  # runs a worker remembers, of CHARACTERS in all
-CHARACTERS = 1 << 21
+CACHED = 250_000  # runs a worker remembers, of CHARACTERS in all
+CHARACTERS = 1 << 22
 MERGED = 1 << 21  # pair counts gathered before they are added up
 
 # A text may be cut before a space that follows something else than white space.
@@ -62,6 +62,7 @@ class Vocabularies:
             bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
         self.size_a, self.size_b = len(self.bytes_a), len(self.bytes_b)
+        self.lengths_a, self.lengths_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         # No piece goes on past the end of a word, and A's words start at their space: then runs can be encoded one by one.
         # Control pieces never match text.
         spec = json.loads(self.json)
@@ -69,7 +70,7 @@ class Vocabularies:
         self.cuttable = (
             spec["normalizer"] is None and plain.get("type") == "ByteLevel" and not plain.get("add_prefix_space") and plain.get("use_regex", True)
             and not any(re.search("[^▁]▁", p) for i, p in enumerate(pieces) if not self.b.is_control(i))
-            and self.b.encode("a  b \n  c") == self.b.encode("a") + self.b.encode(" b") + self.b.encode(" \n") + self.b.encode(" c")
+            and self.b.encode("a  b \n  c") == self.b.encode("a") + self.b.encode(" b") + self.b.encode("\n  c")
         )
         # What a space at the end of a text becomes.
         self.lone = self.b.encode("a ")[len(self.b.encode("a")):]
@@ -82,17 +83,41 @@ class Vocabularies:
             return text.split(" ")
         return [run[1:] for run in _CUT.split(" " + text)]
 
-    def encode(self, runs: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both for each run after a space; two empty lists where the bytes of either differ from the run's."""
+    def encode(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both, and how many each run has after a space: none where the bytes of either differ from the run's."""
+        odd = [not r or r[0].isspace() or r[-1].isspace() for r in runs]
+        if self.cuttable and not any(odd):
+            # Runs stand next to each other as well as alone.
+            found = self._whole(runs)
+            if found is not None:
+                return found
         a = [e.ids for e in self.a.encode_batch_fast([" " + r for r in runs], add_special_tokens=False)]
         b = self.b.encode(runs, num_threads=1)
         for i, run in enumerate(runs):
             if self.cuttable and run == "":
                 b[i] = self.lone
-            whole = (" " + run).encode()
-            if b"".join(map(self.bytes_a.__getitem__, a[i])) != whole or b"".join(map(self.bytes_b.__getitem__, b[i])) != whole:
+            if self._joined(self.bytes_a, a[i]) != (" " + run).encode() or self._joined(self.bytes_b, b[i]) != (" " + run).encode():
                 a[i], b[i] = [], []
-        return a, b
+        counts = [np.array([len(x) for x in ids], np.int64) for ids in (a, b)]
+        flat = [np.fromiter((i for x in ids for i in x), np.int64) for ids in (a, b)]
+        return flat[0], flat[1], counts[0], counts[1]
+
+    @staticmethod
+    def _joined(table: list[bytes], ids: list[int]) -> bytes:
+        return b"".join(map(table.__getitem__, ids))
+
+    def _whole(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """The runs encoded as one text; None unless both give back its bytes."""
+        text = " ".join(runs)
+        data = (" " + text).encode()
+        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        b = self.b.encode(text)
+        if self._joined(self.bytes_a, a) != data or self._joined(self.bytes_b, b) != data:
+            return None
+        ends = np.cumsum([len(r.encode()) + 1 for r in runs])
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        counts = [np.diff(np.searchsorted(np.cumsum(lengths[ids]), ends, "right"), prepend=0) for lengths, ids in ((self.lengths_a, a), (self.lengths_b, b))]
+        return a, b, counts[0], counts[1]
 
 
 def divide(ends_a: np.ndarray, ends_b: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +172,10 @@ class Aligner:
 
     def __init__(self, vocabularies: Vocabularies, texts: bool):
         self.v, self.texts = vocabularies, texts
-        self.lengths_a = np.array([len(x) for x in vocabularies.bytes_a], np.int64)
-        self.lengths_b = np.array([len(x) for x in vocabularies.bytes_b], np.int64)
-        self.names = [str(i) for i in range(max(vocabularies.size_a, vocabularies.size_b))]
+        size = max(vocabularies.size_a, vocabularies.size_b)
+        # Each id as it is written: inside a row of ids, and at the end of a group's A or B row.
+        self.names = [np.array([f"{i}{mark}" for i in range(size)], object) for mark in ",|;"]
+        self.digits = np.array([len(str(i)) for i in range(size)], np.int64)
         self.clear()
 
     def clear(self) -> None:
@@ -162,7 +188,7 @@ class Aligner:
 
     def learn(self, runs: set[str]) -> None:
         """Align the runs not known yet."""
-        new = [r for r in runs if r not in self.known]
+        new = list(runs.difference(self.known))
         if len(self.known) + len(new) > CACHED or self.held > CHARACTERS:
             self.clear()
             new = list(runs)
@@ -172,11 +198,9 @@ class Aligner:
             self._add(part)
 
     def _add(self, runs: list[str]) -> None:
-        a, b = self.v.encode(runs)
-        count_a, count_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
-        ids_a, ids_b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (a, b))
+        ids_a, ids_b, count_a, count_b = self.v.encode(runs)
         # Both rows of tokens cover the same bytes, so running sums of lengths are offsets in one joined text.
-        ends_a, ends_b = np.cumsum(self.lengths_a[ids_a]), np.cumsum(self.lengths_b[ids_b])
+        ends_a, ends_b = np.cumsum(self.v.lengths_a[ids_a]), np.cumsum(self.v.lengths_b[ids_b])
         a1, b1 = np.cumsum(count_a), np.cumsum(count_b)
         good = count_a > 0
         last_a, last_b = divide(ends_a, ends_b, (a1 - count_a)[good], a1[good], (b1 - count_b)[good], b1[good])
@@ -185,8 +209,7 @@ class Aligner:
         owner = np.searchsorted(a1, last_a)  # the run of each group
         links = size_a * size_b
         pairs, times, whose = self._linked(ids_a, ids_b, first_a, first_b, size_a, size_b, owner, len(runs))
-        for i, run in enumerate(runs):
-            self.known[run] = len(self.groups) + i
+        self.known.update(zip(runs, range(len(self.groups), len(self.groups) + len(runs))))
         numbers = np.stack([
             count_a, count_b, np.bincount(owner, minlength=len(runs)), np.bincount(owner, links, len(runs)).astype(np.int64),
         ], axis=1)
@@ -220,15 +243,21 @@ class Aligner:
         return key % every, np.bincount(back, np.concatenate(times), len(key)).astype(np.int64), key // every
 
     def _written(self, ids_a, ids_b, last_a, last_b, owner, count) -> list[str]:
-        """The groups of each run as text."""
-        names_a = list(map(self.names.__getitem__, ids_a.tolist()))
-        names_b = list(map(self.names.__getitem__, ids_b.tolist()))
-        written, at_a, at_b = [], 0, 0
-        for end_a, end_b in zip(last_a.tolist(), last_b.tolist()):
-            written.append(",".join(names_a[at_a:end_a]) + "|" + ",".join(names_b[at_b:end_b]))
-            at_a, at_b = end_a, end_b
-        bounds = np.searchsorted(owner, np.arange(count + 1)).tolist()
-        return [";".join(written[i:j]) for i, j in zip(bounds, bounds[1:])]
+        """The groups of each run as text: one row of ids in their written order, joined and cut again."""
+        comma, bar, semicolon = self.names
+        first_a, first_b = np.concatenate([[0], last_a[:-1]]), np.concatenate([[0], last_b[:-1]])
+        spot_a = np.arange(len(ids_a)) + np.repeat(first_b, last_a - first_a)
+        spot_b = np.arange(len(ids_b)) + np.repeat(last_a, last_b - first_b)
+        row = np.empty(len(ids_a) + len(ids_b), object)
+        row[spot_a], row[spot_b] = comma[ids_a], comma[ids_b]
+        row[spot_a[last_a - 1]], row[spot_b[last_b - 1]] = bar[ids_a[last_a - 1]], semicolon[ids_b[last_b - 1]]
+        size = np.zeros(len(row) + 1, np.int64)
+        size[spot_a + 1], size[spot_b + 1] = self.digits[ids_a] + 1, self.digits[ids_b] + 1
+        ends = np.cumsum(size)
+        written = "".join(row.tolist())
+        groups = np.searchsorted(owner, np.arange(count + 1))
+        bounds = ends[np.concatenate([[0], last_a + last_b])[groups]].tolist()
+        return [written[i:max(i, j - 1)] for i, j in zip(bounds, bounds[1:])]
 
     def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """(known numbers of all runs of the texts, text of each); a text without tokens has no runs."""
