@@ -18,6 +18,7 @@ from .templates import contamination
 from .tokens import count_tokens
 from .toxicity import score_toxicity
 from .vectors import near_vectors
+from .whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,6 +101,13 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
 
 
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    done = whiten(table(spark, folder, "embeddings"), 8)
+    # NULL for a deviation beyond a long, which only many millions of vectors can have.
+    return done.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 # The same results in SQL, by comparing all pairs.
 REACHED = """
 reached(id, c) AS (SELECT id, id FROM nodes UNION SELECT l.b, r.c FROM reached r JOIN both_ways l ON l.a = r.id),
