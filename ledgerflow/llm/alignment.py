@@ -363,7 +363,6 @@ def _aligned(rows: DataFrame, vocabularies: Vocabularies, counts: Counts, texts:
             for piece, part in _groups_of(batch, "text"):
                 at, owner = aligner.places(part)
                 n = len(part)
-                totals = np.zeros((n, 6), np.int64)
                 # Worked out for the distinct runs of the piece, then added up by text.
                 runs, back = np.unique(at, return_inverse=True)
                 held = aligner.first[runs + 1] - aligner.first[runs]
@@ -372,14 +371,17 @@ def _aligned(rows: DataFrame, vocabularies: Vocabularies, counts: Counts, texts:
                 count, best = counts.of(pairs)
                 each = np.zeros((len(runs), 6), np.int64)
                 each[:, :4] = aligner.numbers[runs]
-                np.add.at(each[:, 4], run_of[best], times[best])
-                np.add.at(each[:, 5], run_of, times * count)
-                np.add.at(totals, owner, each[back])
+                ends = np.cumsum(held)
+                for column, value in ((4, times * best), (5, times * count)):
+                    sums = np.concatenate([[0], np.cumsum(value)])
+                    each[:, column] = sums[ends] - sums[ends - held]
+                bounds = np.searchsorted(owner, np.arange(n + 1))
+                sums = np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(each[back], axis=0)])
+                totals = sums[bounds[1:]] - sums[bounds[:-1]]
                 groups = [None] * n
                 if texts:
-                    bounds = np.searchsorted(owner, np.arange(n + 1)).tolist()
-                    order = at.tolist()
-                    groups = [";".join(map(aligner.groups.__getitem__, order[i:j])) for i, j in zip(bounds, bounds[1:])]
+                    order, edges = at.tolist(), bounds.tolist()
+                    groups = [";".join(map(aligner.groups.__getitem__, order[i:j])) for i, j in zip(edges, edges[1:])]
                 # Cold pairs of each text, with how often it links them.
                 few = np.flatnonzero(count == 0)
                 many = np.bincount(run_of[few], minlength=len(runs))
