@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .alignment import align_tokens
 from .common import held_out, share_path, table
 from .language import identify
+from .licenses import license_report
 from .nearcopies import near_copies
 from .packing import pack_documents
 from .pii import pii_report
@@ -101,6 +102,11 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
 
 
+@query
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return license_report(table(spark, folder, "documents"))
+
+
 @query
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     done = whiten(table(spark, folder, "embeddings"), 8)
