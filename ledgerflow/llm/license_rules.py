@@ -28,18 +28,18 @@ gpl-copy          4  received gnu               :: you should have received a co
 gpl-text          4  copyleft gnu               :: the gnu general public license is a free copyleft license
 lgpl-text         4  lesser incorporates        :: this version of the gnu lesser general public license incorporates the terms and conditions
 agpl-text         4  affero copyleft            :: the gnu affero general public license is a free copyleft license
-gpl-exception     4  exception linking          :: as a special exception(?: [^ ]+){0,12} permission to link
-gpl-classpath     4  exception linking          :: linking this library statically or dynamically with other modules
+gpl-exception     4  exception permission          :: as a special exception(?: [^ ]+){0,12} permission to link
+gpl-classpath     4  linking statically          :: linking this library statically or dynamically with other modules
 apache-2.0        4  apache compliance          :: licensed under the apache license version 2 0(?: the license)? you may not use this file except in compliance with the license
-apache-2.0        4  derivative contributor     :: each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license
+apache-2.0        4  contributor perpetual     :: each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license
 apache-2.0        4  warranties conditions      :: distributed on an as is basis without warranties or conditions of any kind
-apache-1.1        4  apache acknowledgment      :: this product includes software developed by the apache software foundation
+apache-1.1        4  apache foundation      :: this product includes software developed by the apache software foundation
 apache-1.0        4  apache group               :: this product includes software developed by the apache group
 mit               4  charge obtaining           :: permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 mit               4  sublicense merge           :: to use copy modify merge publish distribute sublicense and or sell copies of the software
-mit               4  noninfringement liable     :: in no event shall the authors or copyright holders be liable for any claim damages or other liability
+mit               4  claim liable     :: in no event shall the authors or copyright holders be liable for any claim damages or other liability
 mit-notice        4  substantial portions       :: the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
-mit-0             4  charge obtaining           :: permission is hereby granted free of charge(?: [^ ]+){0,45} to permit persons to whom the software is furnished to do so the software is provided as is
+mit-0             4  charge furnished           :: permission is hereby granted free of charge(?: [^ ]+){0,45} to permit persons to whom the software is furnished to do so the software is provided as is
 x11               4  consortium advertising     :: the name of the x consortium shall not be used in advertising
 isc               4  permission fee             :: permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that
 0bsd              4  permission fee             :: permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted the software
@@ -48,58 +48,58 @@ bsd               4  redistributions source     :: redistributions of source cod
 bsd               4  redistributions binary     :: redistributions in binary form must reproduce the above copyright notice
 bsd-3-clause      4  endorse promote            :: neither the name of(?: [^ ]+){1,16} may be used to endorse or promote products derived from this software
 bsd-3-clause      4  endorse promote            :: the names? of(?: [^ ]+){1,12} may not be used to endorse or promote products derived from this software
-bsd-4-clause      4  advertising acknowledgement :: all advertising materials mentioning features or use of this software must display the following acknowledge?ment
-bsd-2-patent      4  patent contributors        :: each copyright holder and contributor hereby grants(?: [^ ]+){0,12} patent license
-bsd-disclaimer    4  copyright consequential    :: in no event shall the (?:copyright (?:holders?|owners?)|regents|authors?)(?: [^ ]+){0,6} be liable for any direct indirect incidental special exemplary or consequential damages
-mpl-2.0           4  mozilla obtain             :: this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0
-mpl-1.1           4  mozilla compliance         :: the contents of this file are subject to the mozilla public license version 1 1
-mpl-1.0           4  mozilla compliance         :: the contents of this file are subject to the mozilla public license version 1 0
-npl-1.1           4  netscape compliance        :: the contents of this file are subject to the netscape public license version 1 1
+bsd-4-clause      4  advertising materials :: all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+bsd-2-patent      4  patent contributor        :: each copyright holder and contributor hereby grants(?: [^ ]+){0,12} patent license
+bsd-disclaimer    4  consequential liable    :: in no event shall the (?:copyright (?:holders?|owners?)|regents|authors?)(?: [^ ]+){0,6} be liable for any direct indirect incidental special exemplary or consequential damages
+mpl-2.0           4  mozilla form             :: this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0
+mpl-1.1           4  mozilla contents         :: the contents of this file are subject to the mozilla public license version 1 1
+mpl-1.0           4  mozilla contents         :: the contents of this file are subject to the mozilla public license version 1 0
+npl-1.1           4  netscape contents        :: the contents of this file are subject to the netscape public license version 1 1
 epl-2.0           4  eclipse accompanying       :: this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?2(?: 0)?
 epl-1.0           4  eclipse accompanying       :: this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?1(?: 0)?
 cddl-1.0          4  development distribution   :: subject to the terms of the common development and distribution license(?: [^ ]+){0,6}
 cpl-1.0           4  accompanying common        :: accompanying materials are made available under the terms of the common public license
-eupl              4  european union             :: licensed under the eupl(?: version 1 [0-2])?
+eupl              4  eupl licensed             :: licensed under the eupl(?: version 1 [0-2])?
 zlib              4  misrepresented origin      :: the origin of this software must not be misrepresented
 zlib              4  altered plainly            :: altered source versions must be plainly marked as such
-zlib              4  arising commercial         :: permission is granted to anyone to use this software for any purpose including commercial applications
+zlib              4  anyone commercial         :: permission is granted to anyone to use this software for any purpose including commercial applications
 bsl-1.0           4  machine executable         :: unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor
 unlicense         4  unencumbered public        :: this is free and unencumbered software released into the public domain
-unlicense         4  dedicate heirs             :: we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors
-wtfpl             4  fuck public                :: you just do what the fuck you want to
+unlicense         4  heirs dedication             :: we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors
+wtfpl             4  fuck just                :: you just do what the fuck you want to
 cc0-1.0           4  waived related             :: to the extent possible under law(?: [^ ]+){0,16} waived all copyright and related or neighboring rights
-cc-by             4  attribution appropriate    :: you must give appropriate credit provide a link to the license and indicate if changes were made
+cc-by             4  appropriate credit    :: you must give appropriate credit provide a link to the license and indicate if changes were made
 cc-by-sa          4  remix contributions        :: if you remix transform or build upon the material you must distribute your contributions under the same license
 cc-by-nc          4  material commercial        :: you may not use the material for commercial purposes
 cc-by-nd          4  remix modified             :: if you remix transform or build upon the material you may not distribute the modified material
 gfdl              4  documentation gnu          :: permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
 ofl-1.1           4  font sil                   :: this font software is licensed under the sil open font license version 1 1
-artistic          4  artistic perl              :: redistribute it and or modify it under the same terms as perl itself
-artistic-1.0      4  freely package             :: the intent of this document is to state the conditions under which a package may be copied
+artistic          4  perl redistribute              :: redistribute it and or modify it under the same terms as perl itself
+artistic-1.0      4  package intent             :: the intent of this document is to state the conditions under which a package may be copied
 openssl           4  openssl toolkit            :: this product includes software developed by the openssl project for use in the openssl toolkit
 ssleay            4  cryptographic young        :: this product includes cryptographic software written by eric young
 php-3.01          4  php freely                 :: this product includes php(?: software)? freely available from
-python-2.0        4  python foundation          :: psf is making python(?: [^ ]+){0,6} available to licensee on an as is basis
-ncsa              4  charge urbana              :: university of illinois(?: [^ ]+){0,8} nor the names of its contributors may be used to endorse
-beerware          4  beer stuff                 :: you can buy me a beer in return
+python-2.0        4  psf python          :: psf is making python(?: [^ ]+){0,6} available to licensee on an as is basis
+ncsa              4  illinois endorse              :: university of illinois(?: [^ ]+){0,8} nor the names of its contributors may be used to endorse
+beerware          4  beer buy                 :: you can buy me a beer in return
 json              4  evil software              :: the software shall be used for good not evil
 curl              4  permission fee             :: permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
-ms-pl             4  microsoft accept           :: this license governs use of the accompanying software if you use the software you accept this license
+ms-pl             4  governs accompanying           :: this license governs use of the accompanying software if you use the software you accept this license
 sspl-1.0          4  service functionality      :: if you make the functionality of the program or a modified version available to third parties as a service
-commons-clause    4  commons sell               :: the grant of rights under the license will not include and the license does not grant to you the right to sell the software
+commons-clause    4  sell grant               :: the grant of rights under the license will not include and the license does not grant to you the right to sell the software
 busl-1.1          4  licensor production        :: the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use
 elastic-2.0       4  hosted managed             :: you may not provide the software to third parties as a hosted or managed service
-openrail          4  use restrictions           :: you agree not to use the model or derivatives of the model
-llama             4  llama materials            :: granted a non exclusive worldwide non transferable and royalty free limited license under meta s intellectual property
+openrail          4  derivatives model           :: you agree not to use the model or derivatives of the model
+llama             4  meta transferable            :: granted a non exclusive worldwide non transferable and royalty free limited license under meta s intellectual property
 tcl               4  authors permission         :: the authors hereby grant permission to use copy modify distribute and license this software and its documentation
-icu               4  charge obtaining           :: permission is hereby granted free of charge(?: [^ ]+){0,45} provided that the above copyright notice s and this permission notice appear in all copies
+icu               4  charge provided           :: permission is hereby granted free of charge(?: [^ ]+){0,45} provided that the above copyright notice s and this permission notice appear in all copies
 bzip2             4  origin misrepresented      :: the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated
 proprietary       4  confidential proprietary   :: (?:this software|this document|this file|the information)(?: [^ ]+){0,10} confidential and proprietary
 proprietary       4  unauthorized copying       :: unauthorized copying of this (?:file|software|document|work)(?: [^ ]+){0,6} (?:is )?(?:strictly )?prohibited
 proprietary       4  prior written              :: (?:may not|must not|cannot) be (?:reproduced|copied|distributed|redistributed)(?: [^ ]+){0,12} without(?: the)? prior written (?:permission|consent)
 all-rights        4  reserved rights            :: all rights reserved
 public-domain     4  public domain              :: (?:placed|released|dedicated|put|is|are) (?:in|into|to) the public domain
-no-ai-training    4  training machine           :: (?:may not|must not|shall not) be used (?:for|to)(?: [^ ]+){0,6} train(?:ing)?(?: [^ ]+){0,6} (?:models?|machine learning|ai)
+no-ai-training    4  used not           :: (?:may|must|shall) not be used (?:for|to)(?: [^ ]+){0,6} train(?:ing)?(?: [^ ]+){0,6} (?:models?|machine learning|ai)
 spdx-gpl-2.0      3  spdx identifier gpl        :: spdx license identifier gpl 2 0
 spdx-gpl-2.0-only 3  spdx identifier gpl        :: spdx license identifier gpl 2 0 only
 spdx-gpl-2.0-or-later 3 spdx identifier gpl     :: spdx license identifier gpl 2 0 or later
@@ -145,10 +145,10 @@ spdx-postgresql   3  spdx identifier postgresql :: spdx license identifier postg
 spdx-sspl-1.0     3  spdx identifier sspl       :: spdx license identifier sspl 1 0
 spdx-elastic-2.0  3  spdx identifier elastic    :: spdx license identifier elastic 2 0
 spdx-odbl-1.0     3  spdx identifier odbl       :: spdx license identifier odbl 1 0
-url-gpl           3  gnu licenses org           :: (?:www )?gnu org (?:licenses gpl(?: [23] 0)?(?: (?:html|txt|en html))?|copyleft gpl html)
+url-gpl           3  gnu org           :: (?:www )?gnu org (?:licenses gpl(?: [23] 0)?(?: (?:html|txt|en html))?|copyleft gpl html)
 url-lgpl          3  gnu licenses org           :: (?:www )?gnu org licenses lgpl(?: [23] [01])?(?: (?:html|txt))?
 url-agpl          3  gnu licenses org           :: (?:www )?gnu org licenses agpl(?: 3 0)?(?: (?:html|txt))?
-url-gfdl          3  gnu licenses org           :: (?:www )?gnu org (?:licenses|copyleft) fdl(?: html)?
+url-gfdl          3  fdl gnu org           :: (?:www )?gnu org (?:licenses|copyleft) fdl(?: html)?
 url-apache-2.0    3  apache licenses org        :: (?:www )?apache org licenses license 2 0(?: (?:html|txt))?
 url-mit           3  opensource mit org         :: (?:www )?opensource org licenses? mit(?: license)?(?: (?:php|html))?
 url-bsd           3  opensource org             :: (?:www )?opensource org licenses? bsd [234] clause
@@ -171,27 +171,27 @@ url-boost         3  boost org license          :: (?:www )?boost org license 1
 url-odbl          3  opendatacommons            :: (?:www )?opendatacommons org licenses odbl(?: 1 0)?
 url-pddl          3  opendatacommons            :: (?:www )?opendatacommons org licenses pddl(?: 1 0)?
 url-odc-by        3  opendatacommons            :: (?:www )?opendatacommons org licenses by(?: 1 0)?
-gpl-1.0           2  gnu version                :: gnu general public license(?: gpl)?(?: as)? (?:version|v) ?1
+gpl-1.0           2  gnu general                :: gnu general public license(?: gpl)?(?: as)? (?:version|v) ?1
 gpl-2.0           2  gnu version                :: gnu general public license(?: gpl)?(?: as)? version 2(?: 0)?
 gpl-3.0           2  gnu version                :: gnu general public license(?: gpl)?(?: as)? version 3(?: 0)?
-gpl-2.0           2  gpl                        :: (?:gnu )?gpl ?(?:version |v )?(?:2 0|2|v2)
-gpl-3.0           2  gpl                        :: (?:gnu )?gpl ?(?:version |v )?(?:3 0|3|v3)
+gpl-2.0           2  gpl                        :: (?:gnu )?gpl (?:version |v )?(?:2 0|2|v2)
+gpl-3.0           2  gpl                        :: (?:gnu )?gpl (?:version |v )?(?:3 0|3|v3)
 gpl-2.0           2  gplv2                      :: gplv2(?: only| or later)?
 gpl-3.0           2  gplv3                      :: gplv3(?: only| or later)?
 lgpl-2.0          2  library gnu                :: gnu library general public license(?: version 2(?: 0)?)?
 lgpl-2.1          2  lesser gnu                 :: gnu lesser general public license(?: lgpl)?(?: as)? version 2 1
 lgpl-3.0          2  lesser gnu                 :: gnu lesser general public license(?: lgpl)?(?: as)? version 3(?: 0)?
-lgpl-2.1          2  lgpl                       :: lgpl ?(?:version |v )?2 1
-lgpl-3.0          2  lgpl                       :: lgpl ?(?:version |v )?(?:3 0|3|v3)
+lgpl-2.1          2  lgpl                       :: lgpl (?:version |v )?2 1
+lgpl-3.0          2  lgpl                       :: lgpl (?:version |v )?(?:3 0|3|v3)
 agpl-3.0          2  affero gnu                 :: gnu affero general public license(?: agpl)?(?: as)? version 3(?: 0)?
-agpl-3.0          2  agpl                       :: agpl ?(?:version |v )?(?:3 0|3|v3)
+agpl-3.0          2  agpl                       :: agpl (?:version |v )?(?:3 0|3|v3)
 agpl-3.0          2  agplv3                     :: agplv3
 gfdl              2  documentation gnu          :: gnu free documentation license version 1 [123]
 apache-2.0        2  apache license             :: apache license(?: version)? 2 0
 apache-2.0        2  apache                     :: apache (?:software )?(?:license )?(?:version |v )?2 0
 apache-1.1        2  apache                     :: apache (?:software )?license(?: version)? 1 1
 apache-2.0        2  asl                        :: asl 2 0
-bsd-2-clause      2  bsd                        :: (?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd license)(?: license)?
+bsd-2-clause      2  bsd                        :: (?:bsd 2 clause|2 clause bsd|simplified bsd)(?: license)?
 bsd-3-clause      2  bsd                        :: (?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: license)?
 bsd-4-clause      2  bsd                        :: (?:bsd 4 clause|4 clause bsd|original bsd|old bsd)(?: license)?
 bsd-0-clause      2  bsd                        :: (?:bsd zero clause|zero clause bsd)(?: license)?
@@ -210,8 +210,8 @@ cc-by-nd          2  cc                         :: cc by nd(?: [1-4] [05])?
 cc-by-nc-sa       2  cc                         :: cc by nc sa(?: [1-4] [05])?
 cc-by-nc-nd       2  cc                         :: cc by nc nd(?: [1-4] [05])?
 cc0-1.0           2  cc0                        :: cc0(?: 1 0)?(?: universal)?
-cc-by-sa          2  creative sharealike        :: creative commons attribution share ?alike(?: [1-4] [05])?(?: (?:international|unported))?(?: license)?
-cc-by-nc          2  creative noncommercial     :: creative commons attribution non ?commercial(?: [1-4] [05])?(?: (?:international|unported))?(?: license)?
+cc-by-sa          2  creative attribution       :: creative commons attribution share ?alike(?: [1-4] [05])?(?: (?:international|unported))?(?: license)?
+cc-by-nc          2  creative attribution       :: creative commons attribution non ?commercial(?: [1-4] [05])?(?: (?:international|unported))?(?: license)?
 cc-by-nd          2  creative attribution       :: creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: [1-4] [05])?(?: license)?
 cc-by             2  creative attribution       :: creative commons attribution(?: [1-4] [05])?(?: (?:international|unported))?(?: license)?
 artistic-2.0      2  artistic                   :: artistic license(?: version)? 2 0
@@ -222,13 +222,13 @@ eupl-1.2          2  european union             :: european union public licen[c
 osl-3.0           2  open software              :: open software license(?: version| v)?(?: 3 0)?
 afl-3.0           2  academic                   :: academic free license(?: version| v)?(?: 3 0)?
 ofl-1.1           2  font sil                   :: sil open font license(?: version)?(?: 1 1)?
-odbl-1.0          2  database open              :: open (?:data commons open )?database license
+odbl-1.0          2  database commons           :: open data commons open database license
 ms-pl             2  microsoft                  :: microsoft public license
 ms-rl             2  microsoft                  :: microsoft reciprocal license
 upl-1.0           2  universal permissive       :: universal permissive license
 cecill            2  cecill                     :: cecill(?: [bc])?(?: (?:free software )?license)?
 polyform          2  polyform                   :: polyform (?:noncommercial|small business|shield|strict|perimeter)(?: license)?
-openrail          2  openrail                   :: (?:creativeml |bigscience |bigcode )?(?:open ?rail)(?: [ms])?(?: license)?
+openrail          2  openrail                   :: (?:creativeml |bigscience |bigcode )?openrail(?: [ms])?(?: license)?
 llama             2  llama                      :: llama(?: [0-9])*(?: community)? license
 gemma             2  gemma                      :: gemma terms of use
 sspl-1.0          2  server side                :: server side public license
