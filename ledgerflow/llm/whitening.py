@@ -13,8 +13,9 @@ from ..session import durable
 from .common import give_back
 
 SCALE, SHIFT = 1024, 100_000
-INNER = 8  # MINRES steps at most for one correction
+INNER = 3  # MINRES steps at most for one correction
 FEWER = 0.05  # a correction is good enough when its residual has shrunk to this share
+START, LARGEST = 3, 8  # size of the subspace at the start and at most, times the wanted vectors
 BLOCK = 4096  # vectors multiplied at once
 
 
@@ -44,9 +45,10 @@ class Centred:
     rows: DataFrame
     n: int
     sums: np.ndarray
+    adders: int = 1
 
     def passed(self, each: Callable[[np.ndarray], np.ndarray], count: int) -> np.ndarray:
-        """Sum over all blocks of vectors of ``each(block)``, ``count`` numbers: a partial sum per task, one row per number."""
+        """Sum over all blocks of vectors of ``each(block)``, ``count`` numbers: one partial sum per task, added up 64 at a time."""
         n, sums = self.n, self.sums
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,13 +58,21 @@ class Centred:
                 x = _matrix(batch.column(0), len(sums))
                 for at in range(0, len(x), BLOCK):
                     total += each((n * x[at:at + BLOCK] - sums) / n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(count)), pa.array(total)], ["at", "part"])
+            yield packed(total)
 
-        parts = self.rows.select("x").mapInArrow(run, "at long, part double").groupBy("at").agg(F.sum("part").alias("part")).collect()
-        result = np.zeros(count)
-        for row in parts:
-            result[row["at"]] = row["part"]
-        return result
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(count)
+            for batch in batches:
+                for part in batch.column(0):
+                    total += np.frombuffer(part.as_py())
+            yield packed(total)
+
+        def packed(total: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["part"])
+
+        parts = self.rows.select("x").mapInArrow(run, "part binary")
+        totals = parts.repartition(self.adders).mapInArrow(added, "part binary").collect()
+        return np.sum([np.frombuffer(row.part) for row in totals], axis=0)
 
     def product(self, q: np.ndarray) -> np.ndarray:
         """The covariance times the columns of ``q``, in one pass and without forming the covariance."""
@@ -155,10 +165,11 @@ def leading_pairs(product: Callable[[np.ndarray], np.ndarray], width: int, wante
     double precision are locked in order and taken out; for all others of the
     wanted ones the projected correction equation is solved by a few MINRES steps,
     in lockstep so that a step is one product. The subspace restarts from its
-    best vectors when it is four times as large as wanted.
+    best vectors when it is eight times as large as wanted; vectors no wider than
+    that are searched whole before it comes to a restart.
     """
     wanted = min(wanted, width)
-    space = orthonormal(np.random.default_rng(seed).standard_normal((width, min(width, wanted + 4))))
+    space = orthonormal(np.random.default_rng(seed).standard_normal((width, min(width, START * wanted))))
     images = product(space)
     locked, locked_images, values = np.zeros((width, 0)), np.zeros((width, 0)), np.zeros(0)
     scale, best, stalled = 0.0, np.inf, 0
@@ -190,8 +201,8 @@ def leading_pairs(product: Callable[[np.ndarray], np.ndarray], width: int, wante
             todo, best, stalled = todo - ready, np.inf, 0
         if len(values) == wanted:
             break
-        if space.shape[1] >= 4 * wanted:
-            space, images = space[:, : 2 * wanted], images[:, : 2 * wanted]
+        if space.shape[1] > (LARGEST - 1) * wanted:
+            space, images = space[:, : START * wanted], images[:, : START * wanted]
         near = space[:, :todo]
 
         def project(y: np.ndarray) -> np.ndarray:
@@ -254,7 +265,8 @@ def whiten(vectors: DataFrame, components: int = 8, id_col: str = "vec_id", vect
     if n * max(r.most for r in found) >= 1 << 62:
         raise ValueError("vectors hold entries too large for exact sums")
     sums = np.array([r["sum"] for r in found], np.int64)
-    centred = Centred(rows, n, sums)
+    # One adder for about 64 tasks of 32 MB.
+    centred = Centred(rows, n, sums, 1 + n * width // (1 << 28))
     values, axes = leading_pairs(centred.product, width, components)
     trace = float(centred.passed(lambda c: np.array([(c * c).sum()]), 1)[0]) / n
     usable = values > width * np.finfo(float).eps * trace
