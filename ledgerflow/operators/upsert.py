@@ -240,7 +240,7 @@ def upsert_documents(existing: DataFrame | None, incoming: DataFrame, *, bound:
 
     ``bound`` promises that content is fixed by the key and idempotency keys are
     NULL or derived from it, which settles all claims in one aggregation;
-    otherwise they are resolved in waves. ``settled`` promises that no row can
+    otherwise they are resolved in order (see ``claims``). ``settled`` promises that no row can
     be refused. ``claimed`` may hold the current ``(document_key, content_hash,
     idempotency_key)`` rows when ``existing`` is limited to touched keys.
     ``staged`` says that ``incoming`` is a table and cheap to read again.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema
 from ..functions import keys as K
-from ..functions.embedding import embed_column
+from ..functions.embedding import embed_column, embed_texts
 from ..functions.jsontext import VARIANT_MAP, as_variant_map, merge_metadata, sorted_json, strict_json, to_variant, variant_text
 from ..operators import audit, dedup, history, ranking, retry
 from ..operators import upsert as U
@@ -117,7 +117,7 @@ def document_rejects(spark, folder):
 @report(f"""WITH {DOCS} SELECT o.document_key, o.doc_id, o.holder = o.document_key AS accepted
   FROM owned o""")
 def document_claims(spark, folder):
-    """UPS3 verdicts by ordered claims, resolved in waves with explicit idempotency keys."""
+    """UPS3 verdicts by ordered claims with explicit idempotency keys."""
     rows = keyed(spark, folder).withColumn("content_hash", K.content_hash(F.col("content")))
     rows = rows.withColumn("idempotency_key", F.concat(F.lit("once-"), "document_key"))
     verdicts = U.document_verdicts(None, rows, bound=False)
@@ -902,6 +902,43 @@ def embedded_chunks(spark, folder):
     )
 
 
+def picky(rows: DataFrame) -> DataFrame:
+    """An embedder that refuses texts whose length is a multiple of seven, and every batch that holds one."""
+
+    class Picky:
+        def embed_query(self, text: str) -> list[float]:
+            if len(text) % 7 == 0:
+                raise ValueError(f"no vector for {len(text)} characters")
+            return [float(len(text)), 1.0]
+
+        def embed_documents(self, texts: list[str]) -> list[list[float]]:
+            return [self.embed_query(t) for t in texts]
+
+    return rows.withColumn("embedding", embed_texts(Picky, F.col("page_content")))
+
+
+@report(f"""WITH {CHUNK_EVENTS}, o AS (SELECT *, length(text) % 7 = 0 AS failing, first_value(event_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS holder FROM v)
+  SELECT event_id, CASE WHEN failing OR holder <> event_id THEN 'dead_letter' ELSE 'stored' END AS outcome,
+    CASE WHEN failing OR holder <> event_id THEN '3' END AS attempts, CASE WHEN NOT failing AND holder = event_id THEN length(text)::DOUBLE END AS first,
+    CASE WHEN failing THEN 'no vector for ' || length(text) || ' characters' WHEN holder <> event_id THEN 'Failed to persist document ' || document_key END AS error
+  FROM o""")
+def failing_embeddings(spark, folder):
+    """UDF1, STR3-5, STR8: every text that cannot be embedded fails alone, through its retries to the dead letters; all others are stored once."""
+    chunk_rows = ChunkFeed(spark, scratch_table(spark, "feed"), collection="library", embed=picky, max_retries=3)
+    events = chunk_feed(spark, folder)
+    chunk_rows.process(events, 0)
+    last = events.agg(F.max("arrived_at")).first()[0]
+    for run in (1, 2):
+        chunk_rows.redeliver(last + timedelta(seconds=100 * run))
+    none = F.lit(None)
+    vectors = chunk_rows.vectors.current().select("vector_id", F.get("embedding", F.lit(0)).cast("double").alias("first"))
+    stored = chunk_rows.embeddings.current().join(vectors, "vector_id").join(chunk_rows.ledger.versions().select("idempotency_key", "event_id"), "idempotency_key")
+    dead = chunk_rows.letters.current()
+    return stored.select("event_id", F.lit("stored").alias("outcome"), none.cast("string").alias("attempts"), "first", none.cast("string").alias("error")).unionByName(
+        dead.select(F.col("original_event_id").alias("event_id"), F.lit("dead_letter").alias("outcome"), "attempts", none.cast("double").alias("first"), "error")
+    )
+
+
 @report(f"""WITH {DOCS} SELECT document_key, 2::INTEGER AS dimension, 'library' AS collection_name, 'chroma' AS backend, NULL::VARCHAR AS persist_directory,
   4::INTEGER AS entries FROM accepted""")
 def ingested_embeddings(spark, folder):

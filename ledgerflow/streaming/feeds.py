@@ -17,7 +17,7 @@ from ..functions.embedding import Embedder, probe_dimension
 from ..functions.jsontext import merge_metadata, metadata_text
 from ..operators import retry as R
 from ..operators import upsert as U
-from ..operators.claims import resolve_claims
+from ..operators.claims import scan_claims, sort_keys
 from ..operators.dedup import WEEK_SECONDS, settle
 from ..plans import chat
 from ..session import durable, run_folder
@@ -261,7 +261,9 @@ class ChunkFeed(Feed):
         projected = E.chunk_events(taken, self.collection, self.persist_directory, self.exact_json)
         staged = durable(prepared_chunks(self._ahead(projected)), "chunks")
         wanted = staged.where(F.col("screen").isNull())
-        judged = self._judge(wanted, batch_id)
+        ledger = durable(self._live_ledger(wanted, batch_id), "marks")
+        wanted, embedded = self._embedded(wanted, ledger)
+        judged = self._judge(wanted, ledger, batch_id)
         verdict = F.when(F.col("repeat"), "duplicate").when(F.col("valid"), "processed").otherwise("failed")
         outcome = judged.select("event_id", "arrived_at", "idempotency_key", verdict.alias("disposition")).unionByName(
             staged.where(F.col("screen").isNotNull()).select("event_id", "arrived_at", "idempotency_key", F.col("screen").alias("disposition"))
@@ -270,10 +272,9 @@ class ChunkFeed(Feed):
         attempted = wanted.where("usable").join(judged.where("not repeat").select("event_id"), "event_id", "left_semi")
         vectors = attempted.select("vector_id", F.col("chunk_text").alias("page_content"), F.col("vector_metadata").alias("metadata"), "ord")
         vectors = U.upsert_vectors(None, vectors.withColumn("embedding", F.lit(None).cast("array<float>")))
-        if self.embed is not None:
-            vectors = self.embed(vectors.drop("embedding"))
-        # Embedders may be dear or random: every vector is computed once.
-        vectors = durable(vectors.select(*schema.VECTORS.names), "embedded")
+        if embedded is not None:
+            vectors = vectors.drop("embedding").join(embedded.where("failure IS NULL").select("vector_id", "embedding"), "vector_id")
+        vectors = durable(vectors.select(*schema.VECTORS.names), "vectors")
         accepted = wanted.join(judged.where("valid and not repeat").select("event_id"), "event_id", "left_semi")
         self.vectors.append(vectors, batch_id)
         self._write_tables(accepted, vectors.select("vector_id", "embedding"), batch_id)
@@ -285,42 +286,69 @@ class ChunkFeed(Feed):
         payload["trace_id"] = F.col("given_trace")
         self._finish(taken, outcome, failed, batch_id, payload, ("chunk_metadata",))
 
-    def _judge(self, wanted: DataFrame, batch_id: int) -> DataFrame:
-        """Repeats and refusals, which depend on each other.
+    def _embedded(self, wanted: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Vectors ``(vector_id, embedding, failure)`` of the texts that may be stored, and ``wanted`` with their failures.
 
-        A refused chunk sets no mark, and a repeat claims nothing. Each pass
-        settles repeats given the refusals so far and resolves the claims of the
-        rows attempted; a pass that confirms its own input equals handling the
-        rows one by one, and each pass extends the agreement by at least one row.
+        Embedders may be dear or random: every vector is computed once. Texts of
+        rows under a mark of an earlier batch are repeats and not asked for. A text
+        whose embedding fails is unusable with the failure as its error, like
+        unusable metadata: it claims nothing, and the others of the batch go on.
         """
+        if self.embed is None:
+            return wanted, None
+        prior = ledger.groupBy("idempotency_key").agg(F.unix_micros(F.max("marked_at")).alias("_prior"))
+        free = F.col("_prior").isNull() | (F.unix_micros("arrived_at") > F.col("_prior") + self.ttl_seconds * 1_000_000)
+        open_ = wanted.where("usable").join(prior, "idempotency_key", "left").where(free)
+        texts = open_.select("vector_id", F.col("chunk_text").alias("page_content"), F.col("vector_metadata").alias("metadata"), "ord")
+        texts = U.upsert_vectors(None, texts.withColumn("embedding", F.lit(None).cast("array<float>"))).drop("embedding")
+        vectors = self.embed(texts)
+        value = F.col("embedding")
+        if isinstance(vectors.schema["embedding"].dataType, T.StructType):
+            vectors = vectors.select("vector_id", value["vector"].cast("array<float>").alias("embedding"), value["error"].alias("failure"))
+        else:
+            vectors = vectors.select("vector_id", value.cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("failure"))
+        vectors = durable(vectors, "embedded")
+        failures = vectors.where("failure IS NOT NULL").select("vector_id", "failure")
+        told = wanted.join(failures, "vector_id", "left")
+        told = told.withColumns({"usable": F.col("usable") & F.col("failure").isNull(), "error": F.coalesce("error", "failure")})
+        return told.select(*wanted.columns), vectors
+
+    def _judge(self, wanted: DataFrame, ledger: DataFrame, batch_id: int) -> DataFrame:
+        """Repeats and refusals, which depend on each other: a refused chunk sets no mark, and a repeat claims nothing.
+
+        Chunks of keys that nothing else can touch are settled by their marks alone,
+        and those whose text or key a settled document holds are refused. What is
+        left is walked once, in order, within each group of keys that share a
+        text or a mark. ``valid`` becomes whether the chunk is accepted.
+        """
+        claims = ["content_hash", "idempotency_key"]
+        key, mark = "document_key", "idempotency_key"
         narrow = wanted.select(
-            "event_id", "idempotency_key", "arrived_at", "ord", "document_key",
-            K.content_hash(F.col("chunk_text")).alias("content_hash"), F.col("usable").alias("valid"),
+            "event_id", mark, "arrived_at", "ord", key, K.content_hash(F.col("chunk_text")).alias("content_hash"), F.col("usable").alias("valid"),
         )
-        narrow = durable(narrow, "narrow")
-        ledger = durable(self._live_ledger(narrow, batch_id), "marks")
-        columns = ["document_key", "content_hash", "idempotency_key"]
+        prior = ledger.groupBy(mark).agg(F.unix_micros(F.max("marked_at")).alias("_prior"))
+        narrow = durable(narrow.join(prior, mark, "left"), "narrow")
+        columns = [key, *claims]
         held = self.documents.current(batch_id, only=narrow)
         by_hash = self.documents.current(batch_id, only=narrow, on="content_hash")
-        by_mark = self.documents.current(batch_id, only=narrow, on="idempotency_key")
+        by_mark = self.documents.current(batch_id, only=narrow, on=mark)
         stored = durable(held.select(*columns).unionByName(by_hash.select(*columns)).unionByName(by_mark.select(*columns)).distinct(), "held")
-        refused = None
-        while True:
-            rows = narrow
-            if refused is not None:
-                rows = narrow.join(refused.withColumn("_no", F.lit(True)), "event_id", "left").withColumn(
-                    "valid", F.col("valid") & F.col("_no").isNull()
-                ).drop("_no")
-            judged = durable(settle(rows, ledger, self.ttl_seconds), "judged")
-            tried = judged.join(narrow.where("valid").select("event_id"), "event_id", "left_semi").where("not repeat")
-            verdicts = resolve_claims(tried, stored, "document_key", ["content_hash", "idempotency_key"], "ord")
-            found = durable(verdicts.where(~F.col("accepted")).select(F.col("ord.id").alias("event_id")), "refused")
-            if refused is None:
-                if found.isEmpty():
-                    return judged
-            elif found.exceptAll(refused).isEmpty() and refused.exceptAll(found).isEmpty():
-                return judged
-            refused = found
+        rows = narrow.withColumns({
+            "_valid": F.col("valid"), "_marked": F.col("_prior").isNotNull(), "_mark": F.col(mark), "_now": F.unix_micros("arrived_at"),
+        })
+        fates = durable(sort_keys(rows, stored, key, claims, "ord", mark), "fates")
+        plain = ["event_id", mark, "arrived_at", "ord", "valid"]
+        fated = narrow.join(fates, key)
+        free = settle(fated.where("fate = 'free'").select(*plain), ledger, self.ttl_seconds)
+        lost = fated.where("fate = 'lost'").select(*plain).withColumns({"valid": F.lit(False), "repeat": F.lit(False)})
+        judged = free.unionByName(lost)
+        open_ = fates.where("fate IS NULL").select(key)
+        if not open_.isEmpty():
+            hard = rows.join(open_, key, "left_semi")
+            done = scan_claims(hard, fates, stored, rows, key, claims, "ord", self.ttl_seconds * 1_000_000)
+            done = done.select(F.col("ord.id").alias("event_id"), F.col("accepted").alias("valid"), "repeat")
+            judged = judged.unionByName(hard.select(*plain[:-1]).join(done, "event_id"))
+        return durable(judged, "judged")
 
     def _write_tables(self, accepted: DataFrame, vectors: DataFrame, batch_id: int) -> None:
         incoming = accepted.select(
