@@ -5,28 +5,20 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-import pandas as pd
-from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import Column, SparkSession, functions as F
 
 VARIANT_MAP = "map<string,variant>"
 
 
-def _canonical_json(text: Column) -> Column:
-    """Last-key-wins rewrite of JSON texts; unparsable texts become NULL."""
+# The session setting by which VARIANT keeps the last value of a repeated key instead of refusing the text.
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
-    # Defined here so that workers get it by value and need no package installed.
-    @F.pandas_udf(StringType())
-    def rewrite_all(texts: pd.Series) -> pd.Series:
-        def rewrite(one):
-            try:
-                return json.dumps(json.loads(one), ensure_ascii=False, allow_nan=False)
-            except ValueError:
-                return None
 
-        return texts.map(rewrite, na_action="ignore")
-
-    return rewrite_all(text)
+def keep_last_keys(spark: SparkSession | None = None) -> None:
+    """Let a session's JSON parsing keep the last value of a repeated key; the setting counts when a query is planned."""
+    spark = spark or SparkSession.active()
+    if spark.conf.get(REPEATED_KEYS, "false") != "true":
+        spark.conf.set(REPEATED_KEYS, "true")
 
 
 def strict_json(text: Column, exact: bool = True) -> Column:
@@ -34,23 +26,17 @@ def strict_json(text: Column, exact: bool = True) -> Column:
 
     ``try_parse_json`` stops after the first value and ignores what follows, so
     the text is parsed inside an array and inside an object: only a single
-    complete value fits both. Repeated keys in one object are refused by
-    VARIANT: just the refused texts go through an Arrow UDF that keeps the last
-    value of a repeated key. ``exact=False`` leaves that out; such texts then
-    count as unparsable.
+    complete value fits both. Of repeated keys in one object the last one's value
+    stays, for which the active session is set (``keep_last_keys``); with
+    ``exact=False`` its setting is left alone, and unless it was set such texts
+    count as unparsable. All of it runs on the JVM.
     """
-
-    def parse(t: Column) -> Column:
-        in_array = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
-        in_object = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
-        single = F.try_variant_get(in_array, "$[1]", "variant").isNull()
-        return F.when(single & in_object.isNotNull(), F.try_variant_get(in_array, "$[0]", "variant"))
-
-    parsed = parse(text)
-    if not exact:
-        return parsed
-    refused = F.when(parsed.isNull() & (text != ""), text)
-    return F.coalesce(parsed, parse(_canonical_json(refused)))
+    if exact:
+        keep_last_keys()
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    single = F.try_variant_get(in_array, "$[1]", "variant").isNull()
+    return F.when(single & in_object.isNotNull(), F.try_variant_get(in_array, "$[0]", "variant"))
 
 
 def json_or_default(text: Column, default: str, exact: bool = True) -> Column:

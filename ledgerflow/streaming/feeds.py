@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schema
 from ..functions import keys as K
 from ..functions.embedding import Embedder, probe_dimension
-from ..functions.jsontext import merge_metadata, metadata_text
+from ..functions.jsontext import keep_last_keys, merge_metadata, metadata_text
 from ..operators import retry as R
 from ..operators import upsert as U
 from ..operators.claims import scan_claims, sort_keys
@@ -61,6 +61,7 @@ class Feed:
     clock: Callable[[int], datetime] | None = None
 
     def __post_init__(self) -> None:
+        keep_last_keys(self.spark)  # streams copy the session's settings when they start
         self.positions = Positions(self.spark, self.root)
         self.ledger = self._log("ledger", schema.LEDGER, "idempotency_key")
         self.attempts = self._log("attempts", PENDING, "event_id")

@@ -43,3 +43,9 @@ def test_quote(one):
     assert one(J.json_quote(F.lit(text))) == json.dumps(text, ensure_ascii=False)
     members = {"b": F.lit("x"), "a": F.lit(None).cast("string"), "r": F.lit("[1]")}
     assert one(J.sorted_json(members, ("r",))) == '{"a": null, "b": "x", "r": [1]}'
+
+
+def test_repeated_keys_stay_on_the_jvm(spark):
+    rows = spark.createDataFrame([('{"a": 1, "a": {"b": 2, "b": [3]}}',)], "t string").select(J.strict_json(F.col("t")).alias("v"))
+    assert rows.select(F.to_json("v")).first()[0] == '{"a":{"b":[3]}}'
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
