@@ -17,7 +17,7 @@ from .common import give_back, keyed, slices
 from .tokens import byte_symbols
 
 HOT_PAIRS = 1 << 20  # id pairs whose counts are sent to the tasks; all others are joined
-CACHED = 250_000  # runs a worker remembers, of CHARACTERS in all
+CACHED = 400_000  # runs a worker remembers, of CHARACTERS in all
 CHARACTERS = 1 << 22
 MERGED = 1 << 21  # pair counts gathered before they are added up
 
@@ -27,23 +27,10 @@ _MIXED = re.compile(r"^ |\s ")
 
 
 class Vocabularies:
-    """The two tokenizer files by value, and the bytes of their tokens."""
+    """The two tokenizer files, and the bytes of their tokens."""
 
-    def __init__(self, path_a: str, path_b: str):
-        with open(path_a, encoding="utf-8") as file:
-            self.json = file.read()
-        with open(path_b, "rb") as file:
-            self.model = file.read()
-        self._open()
-
-    def __getstate__(self) -> tuple[str, bytes]:
-        return self.json, self.model
-
-    def __setstate__(self, state: tuple[str, bytes]) -> None:
-        self.json, self.model = state
-        self._open()
-
-    def _open(self) -> None:
+    def __init__(self, text: str, model: bytes):
+        self.json, self.model = text, model
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -170,8 +157,8 @@ class Aligner:
     (A id times the size of B, plus B id) with how often each occurs.
     """
 
-    def __init__(self, vocabularies: Vocabularies, texts: bool):
-        self.v, self.texts = vocabularies, texts
+    def __init__(self, vocabularies: Vocabularies):
+        self.v = vocabularies
         size = max(vocabularies.size_a, vocabularies.size_b)
         # Each id as it is written: inside a row of ids, and at the end of a group's A or B row.
         self.names = [np.array([f"{i}{mark}" for i in range(size)], object) for mark in ",|;"]
@@ -183,7 +170,7 @@ class Aligner:
         self.numbers = np.zeros((0, 4), np.int64)
         self.first = np.zeros(1, np.int64)
         self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.groups: list[str | None] = []
+        self.groups: list[str] = []
         self.held = 0
 
     def learn(self, runs: set[str]) -> None:
@@ -217,10 +204,7 @@ class Aligner:
         held = np.bincount(whose, minlength=len(runs))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(held)])
         self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
-        if self.texts:
-            self.groups += self._written(ids_a, ids_b, last_a, last_b, owner, len(runs))
-        else:
-            self.groups += [None] * len(runs)
+        self.groups += self._written(ids_a, ids_b, last_a, last_b, owner, len(runs))
 
     def _linked(self, ids_a, ids_b, first_a, first_b, size_a, size_b, owner, count):
         """Distinct pairs of each run with their numbers, ordered by run."""
@@ -278,19 +262,35 @@ class Aligner:
         return np.unique(np.repeat(texts, held) * every + self.pairs[_ranges(self.first[runs], held)])
 
 
+def tokenizer_files(path_a: str, path_b: str) -> tuple[str, bytes]:
+    """What the two files hold; a few megabytes that go with each task."""
+    with open(path_a, encoding="utf-8") as a, open(path_b, "rb") as b:
+        return a.read(), b.read()
+
+
+# What this worker has aligned so far, for the last pair of files it was given: kept from task to task.
+_last: list[tuple[tuple[str, bytes], Aligner]] = []
+
+
+def aligner_for(files: tuple[str, bytes]) -> Aligner:
+    if not _last or _last[0][0] != files:
+        _last[:] = [(files, Aligner(Vocabularies(*files)))]
+    return _last[0][1]
+
+
 def _groups_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for part in slices(batch, column, 1 << 20):
         yield part, [t.as_py() or "" for t in part.column(column)]
 
 
-def pair_counts(texts: DataFrame, vocabularies: Vocabularies) -> DataFrame:
+def pair_counts(texts: DataFrame, files: tuple[str, bytes]) -> DataFrame:
     """``(a, b, count)``: how many rows hold the id pair linked; added up in the tasks before the shuffle."""
-    size = vocabularies.size_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        aligner = Aligner(vocabularies, False)
-        every = vocabularies.size_a * size
+        aligner = aligner_for(files)
+        size = aligner.v.size_b
+        every = aligner.v.size_a * size
         pairs, counts, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def added():
@@ -353,12 +353,12 @@ class Counts:
 ALIGNED = "doc long, part binary, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string, cold array<struct<pair:long,times:long>>"
 
 
-def _aligned(rows: DataFrame, vocabularies: Vocabularies, counts: Counts, texts: bool) -> DataFrame:
+def _aligned(rows: DataFrame, files: tuple[str, bytes], counts: Counts, texts: bool) -> DataFrame:
     """A row for each text, with what the hot pairs add and the list of its cold ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        aligner = Aligner(vocabularies, texts)
+        aligner = aligner_for(files)
         for batch in batches:
             for piece, part in _groups_of(batch, "text"):
                 at, owner = aligner.places(part)
@@ -388,7 +388,7 @@ def _aligned(rows: DataFrame, vocabularies: Vocabularies, counts: Counts, texts:
                 use, often = np.unique(owner * max(len(runs), 1) + back, return_counts=True)
                 text_of, run = np.divmod(use, max(len(runs), 1))
                 which = few[_ranges((np.cumsum(many) - many)[run], many[run])]
-                every = vocabularies.size_a * vocabularies.size_b
+                every = aligner.v.size_a * aligner.v.size_b
                 key, again = np.unique(np.repeat(text_of, many[run]) * every + pairs[which], return_inverse=True)
                 weight = np.bincount(again, times[which] * np.repeat(often, many[run]), len(key)).astype(np.int64)
                 listed = pa.StructArray.from_arrays([pa.array(key % every), pa.array(weight)], ["pair", "times"])
@@ -424,15 +424,16 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     number need not fit anywhere.
     """
     rows = keyed(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))).select("doc", "part", "doc_id", "text")
-    v = Vocabularies(path_a, path_b)
-    pairs = durable(pair_counts(rows, v), "pairs")
+    files = tokenizer_files(path_a, path_b)
+    v = Vocabularies(*files)
+    pairs = durable(pair_counts(rows, files), "pairs")
     pairs = pairs.join(pairs.groupBy("a").agg(F.max("count").alias("top")), "a")
     total, least = hot_pairs(pairs, limit)
     counts = Counts(pairs.where(F.col("count") >= least), v.size_b)
-    done = _aligned(rows, v, counts, True)
+    done = _aligned(rows, files, counts, True)
     if total > len(counts.pair):
         # Rows with equal keys have equal pairs: each is taken once.
-        rest = _aligned(rows, v, counts, False).select("doc", "part", F.explode("cold").alias("c")).select("doc", "part", "c.*")
+        rest = _aligned(rows, files, counts, False).select("doc", "part", F.explode("cold").alias("c")).select("doc", "part", "c.*")
         rest = rest.groupBy("doc", "part", "pair").agg(F.max("times").alias("times"))
         pair = (F.col("a").cast("long") * v.size_b + F.col("b")).alias("pair")
         known = pairs.where(F.col("count") < least).select(pair, "count", (F.col("count") == F.col("top")).alias("best"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.alignment import Vocabularies, align_tokens, divide
+from ledgerflow.llm.alignment import Vocabularies, align_tokens, divide, tokenizer_files
 from ledgerflow.llm.license_rules import BASE
 from ledgerflow.llm.licenses import license_report, scan_licenses, signature_rules
 from ledgerflow.llm.whitening import leading_pairs, minres, whiten
@@ -23,7 +23,7 @@ TEXTS = [
 
 
 def aligned_by_hand(texts):
-    v = Vocabularies(*PATHS)
+    v = Vocabularies(*tokenizer_files(*PATHS))
     rows, held = [], Counter()
     for doc, text in texts:
         a = v.a.encode(" " + text, add_special_tokens=False).ids if text else []
