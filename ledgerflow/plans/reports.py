@@ -17,6 +17,7 @@ from ..operators.claims import first_claims
 from ..session import durable, scratch_table
 from ..sources import events as E
 from ..streaming.feeds import ChatFeed, ChunkFeed, prepared_chunks
+from ..streaming.marks import flag_repeats
 from . import chat, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -801,6 +802,23 @@ def thirds(events: DataFrame) -> list[DataFrame]:
     return [events.where(at < F.lit(a)), events.where((at >= F.lit(a)) & (at < F.lit(b))), events.where(at >= F.lit(b))]
 
 
+@report(SQL["ttl_marks"])
+def ttl_marks_stream(spark, folder):
+    """STR1, STR2 as keyed stream state: the events in time order over several micro-batches and a restart."""
+    rows = table(spark, folder, "events").select(
+        F.concat_ws("/", "user_id", "event_type").alias("key"), F.col("ts").cast("timestamp").alias("arrived_at"), "event_id"
+    )
+    source, sink, checkpoint = (scratch_table(spark, name) for name in ("feed", "marks", "progress"))
+    first, *others = thirds(rows)
+    for parts in ([first], others):
+        for part in parts:
+            part.write.mode("append").parquet(source)
+        feed_rows = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(source)
+        flagged = flag_repeats(feed_rows, "key", "arrived_at", "event_id")
+        flagged.writeStream.option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(sink).awaitTermination()
+    return spark.read.parquet(sink).where("NOT repeat").select("key", "event_id")
+
+
 @report(SQL["chat_feed_messages"])
 def chat_feed_batches(spark, folder):
     """STR6, STR7, SNK1-2, SRC4: three batches, the first folded and the second replayed in between, equal one batch."""
