@@ -151,26 +151,18 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class Aligner:
-    """Aligned runs; what a run contributes to its text is worked out once and remembered.
-
-    Per run: numbers of A and B tokens, groups and links, and its linked id pairs
-    (A id times the size of B, plus B id) with how often each occurs.
-    """
+    """Runs with their ids of both vocabularies and the ends of their groups; each is worked out once and remembered."""
 
     def __init__(self, vocabularies: Vocabularies):
         self.v = vocabularies
-        size = max(vocabularies.size_a, vocabularies.size_b)
-        # Each id as it is written: inside a row of ids, and at the end of a group's A or B row.
-        self.names = [np.array([f"{i}{mark}" for i in range(size)], object) for mark in ",|;"]
-        self.digits = np.array([len(str(i)) for i in range(size)], np.int64)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.numbers = np.zeros((0, 4), np.int64)
-        self.first = np.zeros(1, np.int64)
-        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.groups: list[str] = []
+        # Of A and B: ids of all runs in a row, whether each ends a group, and where each run starts.
+        self.ids = [np.zeros(0, np.int32) for _ in "ab"]
+        self.ends = [np.zeros(0, bool) for _ in "ab"]
+        self.first = [np.zeros(1, np.int64) for _ in "ab"]
         self.held = 0
 
     def learn(self, runs: set[str]) -> None:
@@ -190,76 +182,29 @@ class Aligner:
         ends_a, ends_b = np.cumsum(self.v.lengths_a[ids_a]), np.cumsum(self.v.lengths_b[ids_b])
         a1, b1 = np.cumsum(count_a), np.cumsum(count_b)
         good = count_a > 0
-        last_a, last_b = divide(ends_a, ends_b, (a1 - count_a)[good], a1[good], (b1 - count_b)[good], b1[good])
-        size_a, size_b = np.diff(last_a, prepend=0), np.diff(last_b, prepend=0)
-        first_a, first_b = last_a - size_a, last_b - size_b
-        owner = np.searchsorted(a1, last_a)  # the run of each group
-        links = size_a * size_b
-        pairs, times, whose = self._linked(ids_a, ids_b, first_a, first_b, size_a, size_b, owner, len(runs))
-        self.known.update(zip(runs, range(len(self.groups), len(self.groups) + len(runs))))
-        numbers = np.stack([
-            count_a, count_b, np.bincount(owner, minlength=len(runs)), np.bincount(owner, links, len(runs)).astype(np.int64),
-        ], axis=1)
-        self.numbers = np.concatenate([self.numbers, numbers])
-        held = np.bincount(whose, minlength=len(runs))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(held)])
-        self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
-        self.groups += self._written(ids_a, ids_b, last_a, last_b, owner, len(runs))
-
-    def _linked(self, ids_a, ids_b, first_a, first_b, size_a, size_b, owner, count):
-        """Distinct pairs of each run with their numbers, ordered by run."""
-        links = size_a * size_b
-        large = links > 1 << 12
-        small = np.flatnonzero(~large)
-        part = np.repeat(small, links[small])
-        place = _ranges(np.zeros(len(small), np.int64), links[small])
-        pairs = ids_a[first_a[part] + place // size_b[part]] * self.v.size_b + ids_b[first_b[part] + place % size_b[part]]
-        found, times, whose = [pairs], [np.ones(len(pairs), np.int64)], [owner[part]]
-        for g in np.flatnonzero(large):
-            one, n_one = np.unique(ids_a[first_a[g]:first_a[g] + size_a[g]], return_counts=True)
-            two, n_two = np.unique(ids_b[first_b[g]:first_b[g] + size_b[g]], return_counts=True)
-            found.append((one[:, None] * self.v.size_b + two).ravel())
-            times.append((n_one[:, None] * n_two).ravel())
-            whose.append(np.full(len(one) * len(two), owner[g]))
-        # Runs come in groups of 20,000 and a pair is below 2**32 for vocabularies of common sizes: one sort key.
-        every = self.v.size_a * self.v.size_b
-        key, back = np.unique(np.concatenate(whose) * every + np.concatenate(found), return_inverse=True)
-        return key % every, np.bincount(back, np.concatenate(times), len(key)).astype(np.int64), key // every
-
-    def _written(self, ids_a, ids_b, last_a, last_b, owner, count) -> list[str]:
-        """The groups of each run as text: one row of ids in their written order, joined and cut again."""
-        comma, bar, semicolon = self.names
-        first_a, first_b = np.concatenate([[0], last_a[:-1]]), np.concatenate([[0], last_b[:-1]])
-        spot_a = np.arange(len(ids_a)) + np.repeat(first_b, last_a - first_a)
-        spot_b = np.arange(len(ids_b)) + np.repeat(last_a, last_b - first_b)
-        row = np.empty(len(ids_a) + len(ids_b), object)
-        row[spot_a], row[spot_b] = comma[ids_a], comma[ids_b]
-        row[spot_a[last_a - 1]], row[spot_b[last_b - 1]] = bar[ids_a[last_a - 1]], semicolon[ids_b[last_b - 1]]
-        size = np.zeros(len(row) + 1, np.int64)
-        size[spot_a + 1], size[spot_b + 1] = self.digits[ids_a] + 1, self.digits[ids_b] + 1
-        ends = np.cumsum(size)
-        written = "".join(row.tolist())
-        groups = np.searchsorted(owner, np.arange(count + 1))
-        bounds = ends[np.concatenate([[0], last_a + last_b])[groups]].tolist()
-        return [written[i:max(i, j - 1)] for i, j in zip(bounds, bounds[1:])]
-
-    def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """(known numbers of all runs of the texts, text of each); a text without tokens has no runs."""
+        cuts = divide(ends_a, ends_b, (a1 - count_a)[good], a1[good], (b1 - count_b)[good], b1[good])
+        self.known.update(zip(runs, range(len(self.known), len(self.known) + len(runs))))
+        for side, (ids, stops, last) in enumerate(zip((ids_a, ids_b), (a1, b1), cuts)):
+            flags = np.zeros(len(ids), bool)
+            flags[last - 1] = True
+            self.ids[side] = np.concatenate([self.ids[side], ids.astype(np.int32)])
+            self.ends[side] = np.concatenate([self.ends[side], flags])
+            self.first[side] = np.concatenate([self.first[side], self.first[side][-1] + stops])
+
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For A and B: ids of all texts, whether each ends a group, and where each text ends; a text may have no tokens."""
         cut = [self.v.runs(t) if t else [] for t in texts]
         self.learn(set().union(*cut))
-        at = np.fromiter((self.known[r] for runs in cut for r in runs), np.int64)
+        at = np.fromiter((n for runs in cut for n in map(self.known.__getitem__, runs)), np.int64)
         owner = np.repeat(np.arange(len(texts)), [len(runs) for runs in cut])
-        bad = np.unique(owner[self.numbers[at, 0] == 0])
-        keep = ~np.isin(owner, bad)
-        return at[keep], owner[keep]
-
-    def distinct(self, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """``text * every + pair`` of the distinct pairs of each text."""
-        every = self.v.size_a * self.v.size_b
-        some = np.unique(owner * len(self.groups) + at)
-        runs, texts = some % len(self.groups), some // len(self.groups)
-        held = self.first[runs + 1] - self.first[runs]
-        return np.unique(np.repeat(texts, held) * every + self.pairs[_ranges(self.first[runs], held)])
+        keep = ~np.isin(owner, owner[self.first[0][at + 1] == self.first[0][at]])
+        at, owner = at[keep], owner[keep]
+        result = []
+        for ids, ends, first in zip(self.ids, self.ends, self.first):
+            held = first[at + 1] - first[at]
+            inside = _ranges(first[at], held)
+            result.append((ids[inside], ends[inside], np.cumsum(np.bincount(owner, held, len(texts)).astype(np.int64))))
+        return result
 
 
 def tokenizer_files(path_a: str, path_b: str) -> tuple[str, bytes]:
@@ -283,14 +228,96 @@ def _groups_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBa
         yield part, [t.as_py() or "" for t in part.column(column)]
 
 
-def pair_counts(texts: DataFrame, files: tuple[str, bytes]) -> DataFrame:
-    """``(a, b, count)``: how many rows hold the id pair linked; added up in the tasks before the shuffle."""
+ALIGNED = "doc long, part binary, doc_id long, a binary, a_ends binary, b binary, b_ends binary"
+
+
+def aligned(rows: DataFrame, files: tuple[str, bytes], kinds: tuple[str, str]) -> DataFrame:
+    """Each text's ids of both vocabularies, in the given number formats, and a bit per id that tells whether it ends a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         aligner = aligner_for(files)
-        size = aligner.v.size_b
-        every = aligner.v.size_a * size
+        for batch in batches:
+            for piece, part in _groups_of(batch, "text"):
+                columns = []
+                for (ids, ends, stops), kind in zip(aligner.tokens(part), kinds):
+                    ids, bounds = ids.astype(kind), [0, *stops.tolist()]
+                    columns.append(pa.array([ids[i:j].tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary()))
+                    columns.append(pa.array([np.packbits(ends[i:j]).tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary()))
+                yield pa.RecordBatch.from_arrays(
+                    [*(piece.column(c) for c in ("doc", "part", "doc_id")), *columns], ["doc", "part", "doc_id", "a", "a_ends", "b", "b_ends"]
+                )
+
+    return rows.select("doc", "part", "doc_id", "text").mapInArrow(run, ALIGNED)
+
+
+class Groups:
+    """The groups of a run of aligned rows: ids of both sides, ends of the groups in them, and the row of each."""
+
+    def __init__(self, batch: pa.RecordBatch, kinds: tuple[str, str]):
+        self.count = batch.num_rows
+        self.ids, self.last, self.sizes = [], [], []
+        for name, kind in zip("ab", kinds):
+            texts = batch.column(name).to_pylist()
+            size = np.array([len(t) for t in texts], np.int64) // np.dtype(kind).itemsize
+            ends = [np.unpackbits(np.frombuffer(e, np.uint8), count=n) for e, n in zip(batch.column(f"{name}_ends").to_pylist(), size.tolist())]
+            self.ids.append(np.frombuffer(b"".join(texts), kind).astype(np.int64))
+            self.last.append(np.flatnonzero(np.concatenate([np.zeros(0, np.uint8), *ends])) + 1)
+            self.sizes.append(size)
+        self.owner = np.searchsorted(np.cumsum(self.sizes[0]), self.last[0])
+        self.widths = [np.diff(last, prepend=0) for last in self.last]
+        self.links = self.widths[0] * self.widths[1]
+
+    def pairs(self, size_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, times, row) of all links, a pair as A id times the size of B plus B id; not always added up."""
+        (ids_a, ids_b), (size_a, width_b) = self.ids, self.widths
+        first_a, first_b = self.last[0] - size_a, self.last[1] - width_b
+        large = self.links > 1 << 12
+        small = np.flatnonzero(~large)
+        part = np.repeat(small, self.links[small])
+        place = _ranges(np.zeros(len(small), np.int64), self.links[small])
+        a, b = np.divmod(place, width_b[part])
+        found = [ids_a[first_a[part] + a] * size_b + ids_b[first_b[part] + b]]
+        times, whose = [np.ones(len(part), np.int64)], [self.owner[part]]
+        for g in np.flatnonzero(large):
+            # A long stretch without a shared end: distinct ids of both sides, with their numbers.
+            one, n_one = np.unique(ids_a[first_a[g]:first_a[g] + size_a[g]], return_counts=True)
+            two, n_two = np.unique(ids_b[first_b[g]:first_b[g] + width_b[g]], return_counts=True)
+            found.append((one[:, None] * size_b + two).ravel())
+            times.append((n_one[:, None] * n_two).ravel())
+            whose.append(np.full(len(one) * len(two), self.owner[g]))
+        return np.concatenate(found), np.concatenate(times), np.concatenate(whose)
+
+    def summed(self, numbers: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Exact sums by row."""
+        order = np.argsort(rows, kind="stable")
+        ends = np.searchsorted(rows[order], np.arange(self.count), "right")
+        sums = np.concatenate([[0], np.cumsum(numbers[order])])
+        return np.diff(sums[ends], prepend=0)
+
+    def written(self, names: list[np.ndarray], digits: np.ndarray) -> list[str]:
+        """The groups of each row as text: all ids in their written order, joined and cut again."""
+        comma, bar, semicolon = names
+        (ids_a, ids_b), (last_a, last_b) = self.ids, self.last
+        spot_a = np.arange(len(ids_a)) + np.repeat(np.concatenate([[0], last_b])[:-1], self.widths[0])
+        spot_b = np.arange(len(ids_b)) + np.repeat(last_a, self.widths[1])
+        row = np.empty(len(ids_a) + len(ids_b), object)
+        row[spot_a], row[spot_b] = comma[ids_a], comma[ids_b]
+        row[spot_a[last_a - 1]], row[spot_b[last_b - 1]] = bar[ids_a[last_a - 1]], semicolon[ids_b[last_b - 1]]
+        size = np.zeros(len(row) + 1, np.int64)
+        size[spot_a + 1], size[spot_b + 1] = digits[ids_a] + 1, digits[ids_b] + 1
+        ends = np.cumsum(size)
+        text = "".join(row.tolist())
+        bounds = ends[np.concatenate([[0], np.cumsum(self.sizes[0] + self.sizes[1])])].tolist()
+        return [text[i:max(i, j - 1)] for i, j in zip(bounds, bounds[1:])]
+
+
+def pair_counts(tokens: DataFrame, kinds: tuple[str, str], size_a: int, size_b: int) -> DataFrame:
+    """``(a, b, count)``: how many rows hold the id pair linked; added up in the tasks before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        every = size_a * size_b
         pairs, counts, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def added():
@@ -300,12 +327,13 @@ def pair_counts(texts: DataFrame, files: tuple[str, bytes]) -> DataFrame:
 
         def rows():
             return pa.RecordBatch.from_arrays(
-                [pa.array((pairs // size).astype(np.int32)), pa.array((pairs % size).astype(np.int32)), pa.array(counts)], ["a", "b", "count"]
+                [pa.array((pairs // size_b).astype(np.int32)), pa.array((pairs % size_b).astype(np.int32)), pa.array(counts)], ["a", "b", "count"]
             )
 
         for batch in batches:
-            for _, part in _groups_of(batch, "text"):
-                waiting.append(aligner.distinct(*aligner.places(part)) % every)
+            for piece in slices(batch, "a", 1 << 20):
+                pair, _, row = Groups(piece, kinds).pairs(size_b)
+                waiting.append(np.unique(row * every + pair) % every)
                 held += len(waiting[-1])
                 if held > MERGED:
                     pairs, counts = added()
@@ -316,8 +344,7 @@ def pair_counts(texts: DataFrame, files: tuple[str, bytes]) -> DataFrame:
         pairs, counts = added()
         yield rows()
 
-    found = texts.select(F.col("text")).mapInArrow(run, "a int, b int, count long")
-    return found.groupBy("a", "b").agg(F.sum("count").alias("count"))
+    return tokens.mapInArrow(run, "a int, b int, count long").groupBy("a", "b").agg(F.sum("count").alias("count"))
 
 
 def hot_pairs(pairs: DataFrame, limit: int) -> tuple[int, int]:
@@ -350,55 +377,39 @@ class Counts:
         return np.abs(count), count < 0
 
 
-ALIGNED = "doc long, part binary, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string, cold array<struct<pair:long,times:long>>"
+SCORED = "doc long, part binary, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string, cold array<struct<pair:long,times:long>>"
 
 
-def _aligned(rows: DataFrame, files: tuple[str, bytes], counts: Counts, texts: bool) -> DataFrame:
+def _scored(tokens: DataFrame, kinds: tuple[str, str], size_a: int, size_b: int, counts: Counts, texts: bool) -> DataFrame:
     """A row for each text, with what the hot pairs add and the list of its cold ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        aligner = aligner_for(files)
+        size, every = max(size_a, size_b), size_a * size_b
+        # Each id as it is written: inside a row of ids, and at the end of a group's A or B row.
+        names = [np.array([f"{i}{mark}" for i in range(size)], object) for mark in ",|;"] if texts else []
+        digits = np.array([len(str(i)) for i in range(size)], np.int64)
         for batch in batches:
-            for piece, part in _groups_of(batch, "text"):
-                at, owner = aligner.places(part)
-                n = len(part)
-                # Worked out for the distinct runs of the piece, then added up by text.
-                runs, back = np.unique(at, return_inverse=True)
-                held = aligner.first[runs + 1] - aligner.first[runs]
-                inside = _ranges(aligner.first[runs], held)
-                pairs, times, run_of = aligner.pairs[inside], aligner.times[inside], np.repeat(np.arange(len(runs)), held)
+            for piece in slices(batch, "a", 1 << 20):
+                found, n = Groups(piece, kinds), piece.num_rows
+                pairs, times, row = found.pairs(size_b)
                 count, best = counts.of(pairs)
-                each = np.zeros((len(runs), 6), np.int64)
-                each[:, :4] = aligner.numbers[runs]
-                ends = np.cumsum(held)
-                for column, value in ((4, times * best), (5, times * count)):
-                    sums = np.concatenate([[0], np.cumsum(value)])
-                    each[:, column] = sums[ends] - sums[ends - held]
-                bounds = np.searchsorted(owner, np.arange(n + 1))
-                sums = np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(each[back], axis=0)])
-                totals = sums[bounds[1:]] - sums[bounds[:-1]]
-                groups = [None] * n
-                if texts:
-                    order, edges = at.tolist(), bounds.tolist()
-                    groups = [";".join(map(aligner.groups.__getitem__, order[i:j])) for i, j in zip(edges, edges[1:])]
-                # Cold pairs of each text, with how often it links them.
+                numbers = [
+                    *found.sizes, np.bincount(found.owner, minlength=n).astype(np.int64), found.summed(found.links, found.owner),
+                    found.summed(times * best, row), found.summed(times * count, row),
+                ]
                 few = np.flatnonzero(count == 0)
-                many = np.bincount(run_of[few], minlength=len(runs))
-                use, often = np.unique(owner * max(len(runs), 1) + back, return_counts=True)
-                text_of, run = np.divmod(use, max(len(runs), 1))
-                which = few[_ranges((np.cumsum(many) - many)[run], many[run])]
-                every = aligner.v.size_a * aligner.v.size_b
-                key, again = np.unique(np.repeat(text_of, many[run]) * every + pairs[which], return_inverse=True)
-                weight = np.bincount(again, times[which] * np.repeat(often, many[run]), len(key)).astype(np.int64)
+                key, again = np.unique(row[few] * every + pairs[few], return_inverse=True)
+                weight = np.bincount(again, times[few], len(key)).astype(np.int64)
                 listed = pa.StructArray.from_arrays([pa.array(key % every), pa.array(weight)], ["pair", "times"])
                 cold = pa.ListArray.from_arrays(pa.array(np.searchsorted(key // every, np.arange(n + 1)).astype(np.int32)), listed)
+                groups = pa.array(found.written(names, digits) if texts else [None] * n, pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [*(piece.column(c) for c in ("doc", "part", "doc_id")), *[pa.array(totals[:, i]) for i in range(6)], pa.array(groups, pa.string()), cold],
+                    [*(piece.column(c) for c in ("doc", "part", "doc_id")), *map(pa.array, numbers), groups, cold],
                     ["doc", "part", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "cold"],
                 )
 
-    return rows.mapInArrow(run, ALIGNED)
+    return tokens.mapInArrow(run, SCORED)
 
 
 def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", limit: int = HOT_PAIRS) -> DataFrame:
@@ -418,22 +429,25 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     else texts stay whole), so runs between such spaces are encoded and divided
     once and remembered.
 
-    The counts are summed over all texts in one pass and looked up in a second.
-    At most ``limit`` of the most frequent pairs are sent to the tasks; what
-    less frequent ones add is joined by pair and summed by text, so that their
-    number need not fit anywhere.
+    Ids and group ends of all texts are written as one table of the shared folder,
+    so that texts are encoded once; counts are summed over it in one pass and
+    looked up in another. At most ``limit`` of the most frequent pairs are sent to
+    the tasks; what less frequent ones add is joined by pair and summed by text,
+    so that their number need not fit anywhere.
     """
     rows = keyed(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))).select("doc", "part", "doc_id", "text")
     files = tokenizer_files(path_a, path_b)
     v = Vocabularies(*files)
-    pairs = durable(pair_counts(rows, files), "pairs")
+    kinds = tuple("<u2" if size <= 1 << 16 else "<u4" for size in (v.size_a, v.size_b))
+    tokens = durable(aligned(rows, files, kinds), "tokens")
+    pairs = durable(pair_counts(tokens, kinds, v.size_a, v.size_b), "pairs")
     pairs = pairs.join(pairs.groupBy("a").agg(F.max("count").alias("top")), "a")
     total, least = hot_pairs(pairs, limit)
     counts = Counts(pairs.where(F.col("count") >= least), v.size_b)
-    done = _aligned(rows, files, counts, True)
+    done = _scored(tokens, kinds, v.size_a, v.size_b, counts, True)
     if total > len(counts.pair):
         # Rows with equal keys have equal pairs: each is taken once.
-        rest = _aligned(rows, files, counts, False).select("doc", "part", F.explode("cold").alias("c")).select("doc", "part", "c.*")
+        rest = _scored(tokens, kinds, v.size_a, v.size_b, counts, False).select("doc", "part", F.explode("cold").alias("c")).select("doc", "part", "c.*")
         rest = rest.groupBy("doc", "part", "pair").agg(F.max("times").alias("times"))
         pair = (F.col("a").cast("long") * v.size_b + F.col("b")).alias("pair")
         known = pairs.where(F.col("count") < least).select(pair, "count", (F.col("count") == F.col("top")).alias("best"))
