@@ -191,8 +191,12 @@ def leading_pairs(product: Callable[[np.ndarray], np.ndarray], width: int, wante
         best = min(best, worst)
         limit = width * np.finfo(float).eps * scale
         reached = size <= limit
-        if full or (stalled >= 3 and best <= 100 * limit):
+        if full:
             reached[:] = True
+        elif stalled >= 8:
+            reached = size <= 10 * limit
+        if stalled > 200:
+            raise RuntimeError(f"residuals stay at {worst:.2e} of {scale:.2e}")
         ready = int(np.argmin(np.append(reached, False)))
         if ready:
             locked, locked_images = np.hstack([locked, space[:, :ready]]), np.hstack([locked_images, images[:, :ready]])
