@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .. import schema
+
 PAGE = 50
 HISTORY_COLUMNS = ["message_id", "role", "text", "seq", "metadata", "created_at"]
 
@@ -37,6 +39,24 @@ def history_pages(conversations: DataFrame, messages: DataFrame, limit: int = PA
     return rows.select("session_id", *HISTORY_COLUMNS)
 
 
+def stored_rows(rows: DataFrame, table: schema.Table, keys: DataFrame) -> DataFrame:
+    """The rows of a table whose natural key is listed in ``keys``, with the table's columns in their declared order.
+
+    Repeated keys list a row once; keys that are not stored, and NULL, list none.
+    """
+    return rows.join(keys.select(table.key), table.key, "left_semi").select(*table.struct.names)
+
+
+def stored_documents(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """Read documents back by ``document_key``."""
+    return stored_rows(documents, schema.DOCUMENTS, keys)
+
+
+def stored_embeddings(embeddings: DataFrame, keys: DataFrame) -> DataFrame:
+    """Read embeddings back by ``vector_id``."""
+    return stored_rows(embeddings, schema.EMBEDDINGS, keys)
+
+
 def turn_pairs(messages: DataFrame, group: str = "conversation_id", seq: str = "seq") -> DataFrame:
     """User messages directly followed by an assistant message.
 

@@ -858,6 +858,40 @@ def redelivered_letters(spark, folder):
     return failing.letters.current().select("original_event_id", "attempts", "error", run.cast("int").alias("run"))
 
 
+def raw_files(events: DataFrame, path: str) -> None:
+    """A feed as its producers write it: ids and field names as bytes, each with a byte that is no text."""
+    stray = F.unhex(F.lit("FF"))
+    names = F.transform(F.map_entries("fields"), lambda e: F.struct(F.concat(e["key"].cast("binary"), stray).alias("key"), e["value"].alias("value")))
+    events.select(
+        F.concat(stray, F.col("event_id").cast("binary")).alias("event_id"), "arrived_at", F.map_from_entries(names).alias("fields")
+    ).repartition(4).write.parquet(path)
+
+
+@report(SQL["chat_feed_messages"])
+def streamed_messages(spark, folder):
+    """SRC1, SRC5, SRT2, PRJ1, KEY9: a stream over files of raw events, at most a third of them handled at once, equals one batch."""
+    events = repeated_turns(spark, folder)
+    path, checkpoint = scratch_table(spark, "raw"), scratch_table(spark, "progress")
+    raw_files(events, path)
+    chat_rows = ChatFeed(spark, scratch_table(spark, "feed"), max_events=events.count() // 3 + 1)
+    first = events.agg(F.min("arrived_at")).first()[0]
+    chat_rows.start(path, checkpoint, now=first).awaitTermination()
+    sessions = chat_rows.conversations.current().select(F.col("id").alias("conversation_id"), "session_id")
+    return chat_rows.messages.current().join(sessions, "conversation_id").select(
+        "session_id", "role", "text", "seq", F.get_json_object("metadata", "$.redis_event_id").alias("redis_event_id")
+    )
+
+
+@report("""SELECT event_id || '-0' AS event_id, event_type, (row_number() OVER (ORDER BY ts, event_id) - 1) // 1000 AS slice FROM events""")
+def admitted_slices(spark, folder):
+    """SRT2, KEY9, PRJ1: raw events in slices of a thousand, in arrival order, the numbering cut at about every 300th event."""
+    path = scratch_table(spark, "raw")
+    raw_files(feed(spark, folder, event_type=F.col("event_type")), path)
+    events = durable(E.read_events(spark, path), "events")
+    sliced = E.numbered_slices(events, 1000, every=300)
+    return sliced.select("event_id", F.col("fields")["event_type"].cast("string").alias("event_type"), "slice")
+
+
 def ragged_feed(spark: SparkSession, folder: str) -> DataFrame:
     """Clicks of a user share an event id, views have none; a stray byte in each session, a repeated JSON key."""
     kind, own = F.col("event_type"), F.col("event_id").cast("string")
@@ -969,6 +1003,19 @@ def ingested_embeddings(spark, folder):
     )
 
 
+@report(f"""WITH {DOCS} SELECT id, document_key, source, lang AS title_path, content_hash, length(text) AS chars, 'vec_' || sha256(document_key) AS vector_id,
+  'm' AS model, 64::INTEGER AS dimension, 11::INTEGER AS document_columns, 10::INTEGER AS embedding_columns FROM accepted WHERE lang = 'en'""")
+def read_back(spark, folder):
+    """PRJ9: stored documents and embeddings read back by their keys; keys that were refused list nothing."""
+    done = ingest.persist_chunks(chunks(spark, folder), collection="library", model="m", dimension=64, bound=True)
+    wanted = keyed(spark, folder).where(F.col("title_path") == "en").select("document_key", "vector_id")
+    documents = history.stored_documents(done.documents, wanted)
+    embeddings = history.stored_embeddings(done.embeddings, wanted)
+    return documents.select("id", "document_key", "source", "title_path", "content_hash", F.char_length("content").cast("long").alias("chars")).join(
+        embeddings.select(F.col("document_id").alias("id"), "vector_id", "model", "dimension"), "id"
+    ).withColumns({"document_columns": F.lit(len(documents.columns)), "embedding_columns": F.lit(len(embeddings.columns))})
+
+
 @report("""SELECT doc_id || '-0' AS event_id, CASE WHEN lang <> 'en' THEN 'skipped_type' WHEN source = 'src0' THEN 'skipped_empty' END AS screen FROM documents""")
 def chunk_screens(spark, folder):
     """FLT3, FLT4, FLT5: the type is checked before the text; no fields at all are no chunk."""

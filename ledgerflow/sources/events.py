@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import keys as K
 from ..functions.jsontext import as_variant_map, json_or_default, variant_text, variant_truthy
-from ..functions.text import blank_to_null, decode_keys, field_text
+from ..functions.text import blank_to_null, decode_keys, decode_text, field_text
+from ..operators.ranking import SPLIT_EVERY, grouped_rank
 from ..schema import EVENT
 
 CHAT = "qa_turn"
@@ -15,9 +16,14 @@ DEFAULT_BACKEND = "chroma"
 DEFAULT_COLLECTION = "default"
 
 
+def decoded_events(raw: DataFrame) -> DataFrame:
+    """A feed with its ids and field names as text, invalid bytes dropped."""
+    return raw.withColumns({"event_id": decode_text(F.col("event_id")), "fields": decode_keys(F.col("fields"))})
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """All events of a parquet feed, as a batch; field names may be bytes."""
-    return spark.read.schema(EVENT).parquet(path).withColumn("fields", decode_keys(F.col("fields")))
+    """All events of a parquet feed, as a batch; event ids and field names may be bytes."""
+    return decoded_events(spark.read.schema(EVENT).parquet(path))
 
 
 def stream_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -25,7 +31,21 @@ def stream_events(spark: SparkSession, path: str, max_files: int | None = None)
     reader = spark.readStream.schema(EVENT)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path).withColumn("fields", decode_keys(F.col("fields")))
+    return decoded_events(reader.parquet(path))
+
+
+def numbered_slices(events: DataFrame, cap: int, every: int = SPLIT_EVERY) -> DataFrame:
+    """The events with ``slice``: 0 for the first ``cap`` in arrival order, 1 for the next, and so on.
+
+    Events that arrive together are ordered by their fields, so a recomputed
+    batch has the same slices. The numbering is cut at split points of the
+    data, not made in one task.
+    """
+    if cap < 1:
+        raise ValueError(f"a slice needs at least one event, not {cap}")
+    order = F.struct(arrival_order(F.col("event_id"), F.col("arrived_at")).alias("ord"), F.xxhash64(F.map_entries("fields")).alias("hash"))
+    ranked = grouped_rank(events.withColumn("_order", order), [], "_order", "_rank", every)
+    return ranked.withColumn("slice", F.floor((F.col("_rank") - 1) / cap).cast("long")).drop("_order", "_rank")
 
 
 def distinct_events(events: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:

@@ -20,7 +20,7 @@ from ..operators import upsert as U
 from ..operators.claims import scan_claims, sort_keys
 from ..operators.dedup import WEEK_SECONDS, settle
 from ..plans import chat
-from ..session import durable, run_folder
+from ..session import durable, run_folder, scratch_table
 from ..sources import events as E
 from ..sources.tables import Positions, TableLog, stream_identity
 
@@ -45,6 +45,11 @@ class Feed:
     The time of a batch decides which retries are due: the one given, else the
     ``clock``'s, else the earliest arrival in the batch, so that a backfill in
     one large batch redelivers nothing.
+
+    ``max_events`` caps what is handled at once: a larger batch of the source is
+    cut into slices of that many events in arrival order, each with a position
+    and a time of its own. Change it only when no batch is half done, as a
+    replay must find the slices it had.
     """
 
     spark: SparkSession
@@ -57,6 +62,7 @@ class Feed:
     ttl_seconds: int = WEEK_SECONDS
     retry_limit: int | None = None
     dead_letter_names: dict[str, str] = field(default_factory=lambda: dict(K.DEAD_LETTER_STREAMS))
+    max_events: int | None = None
     # Time of the batch at a position; by default the earliest arrival in it.
     clock: Callable[[int], datetime] | None = None
 
@@ -151,7 +157,24 @@ class Feed:
     def process(self, batch: DataFrame, batch_id: int, source: str = "direct", now: datetime | None = None) -> None:
         """Take in batch ``batch_id`` of a source; the same batch again leaves the same tables."""
         with run_folder(self.spark):
-            self._process(batch, self.positions.of(source, batch_id), now)
+            for number, part in enumerate(self._slices(batch)):
+                name = f"{source}#{number}" if number else source
+                with run_folder(self.spark):
+                    self._process(part, self.positions.of(name, batch_id), now)
+
+    def _slices(self, batch: DataFrame) -> list[DataFrame]:
+        """The batch, in parts of at most ``max_events``."""
+        if self.max_events is None:
+            return [batch]
+        events = durable(batch.select(*schema.EVENT.names), "arrived")
+        path = scratch_table(self.spark, "slices")
+        # Each slice is one file, which only its own step reads.
+        E.numbered_slices(events, self.max_events).repartition("slice").write.partitionBy("slice").parquet(path)
+        cut = self.spark.read.schema(T.StructType([*schema.EVENT.fields, T.StructField("slice", T.LongType())])).parquet(path)
+        last = cut.agg(F.max("slice")).first()[0]
+        if last is None:
+            return [events]
+        return [cut.where(F.col("slice") == number).drop("slice") for number in range(last + 1)]
 
     def redeliver(self, now: datetime) -> None:
         """Handle the retries that are due at ``now``, without new events; nothing is written if there are none."""

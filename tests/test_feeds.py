@@ -246,3 +246,36 @@ def test_first_within_watermark(spark, root):
     assert run() == [1, 2, 4]
     arrive([("a", 70, 5)])
     assert run() == [1, 2, 4, 5]
+
+
+def test_capped_batches_equal_batches_of_that_size(spark, root):
+    """Slices are batches of their own, in arrival order; a replay finds them again."""
+    feed = ChatFeed(spark, root, max_events=2)
+    events = frame(spark, [turn(24, 4, "e"), turn(20, 0, "a"), turn(23, 3, "a"), turn(21, 1, "b"), turn(22, 2, "c")])
+    for _ in range(2):
+        feed.process(events, 0)
+        assert outcomes(feed) == {
+            (0, "20-0"): "processed", (0, "21-0"): "processed", (1, "22-0"): "processed", (1, "23-0"): "duplicate", (2, "24-0"): "processed"}
+    feed.process(frame(spark, []), 1)
+    feed.process(frame(spark, [turn(25, 5, "f")]), 2)
+    assert outcomes(feed)[(4, "25-0")] == "processed"
+    assert feed.messages.current().count() == 10
+
+
+def test_numbered_slices(spark):
+    same = [turn(1, 0, "a")] * 3
+    rows = frame(spark, [*same, (None, DAY0 + timedelta(seconds=1), None), (None, None, None), turn(2, 9, "b")])
+    for every in (1, 100):
+        found = E.numbered_slices(rows, 2, every).orderBy("slice").select("event_id", "slice").collect()
+        assert [r.slice for r in found] == [0, 0, 1, 1, 2, 2]
+        assert [r.slice for r in found if r.event_id == "2-0"] == [2]
+    assert E.numbered_slices(rows.limit(0), 2).isEmpty()
+    with pytest.raises(ValueError):
+        E.numbered_slices(rows, 0)
+
+
+def test_ids_and_names_in_bytes(spark, root):
+    rows = [(b"\xff1-0", DAY0, {b"event_type\xff": b"qa_turn"}), (None, DAY0, None)]
+    spark.createDataFrame(rows, "event_id binary, arrived_at timestamp, fields map<binary, binary>").write.parquet(f"{root}/raw")
+    found = {r.event_id: r.fields for r in E.read_events(spark, f"{root}/raw").collect()}
+    assert found == {"1-0": {"event_type": bytearray(b"qa_turn")}, None: {}}

@@ -209,3 +209,16 @@ def test_audits(spark):
     parents = spark.createDataFrame([(1,)], "id long")
     child = spark.createDataFrame([(1,), (2,)], "conversation_id long")
     assert [r[0] for r in audit.orphans(child, parents, "conversation_id").collect()] == [2]
+
+
+def test_stored_rows_by_key(spark):
+    """Repeated, unknown and NULL keys; other columns of either side do not matter."""
+    names = [f.name for f in schema.EMBEDDINGS.struct]
+    stored = spark.range(4).select(*[
+        F.col("id") if n == "id" else F.concat(F.lit("v"), "id").alias(n) if n == "vector_id" else F.lit(None).cast("string").alias(n) for n in reversed(names)
+    ]).withColumn("extra", F.lit(1))
+    keys = spark.createDataFrame([("v1", 9), ("v1", 8), ("v3", 7), ("v7", 6), (None, 5)], "vector_id string, id long")
+    found = history.stored_embeddings(stored, keys)
+    assert found.columns == names
+    assert sorted(r.vector_id for r in found.collect()) == ["v1", "v3"]
+    assert history.stored_embeddings(stored, keys.limit(0)).isEmpty()
