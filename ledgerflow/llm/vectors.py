@@ -26,6 +26,7 @@ ALPHA = 1.2
 BEAM = 16
 AUDIT = 200  # vectors whose links are counted by brute force, about
 RECALL = 0.99  # below this the index is made anew with twice the overlap
+SALTS = 16  # parts that the vectors of one id are dealt to
 
 
 def unit_rows(column: pa.Array, width: int) -> np.ndarray:
@@ -205,7 +206,7 @@ class NearVectors:
         self.threshold, self.shard, self.overlap, self.cell = threshold, shard, overlap, cell
 
     def classes(self, rows: DataFrame) -> DataFrame:
-        """``(vec_id, v)``: each id's unit vector as bytes of doubles; only those that may link."""
+        """``(vec_id, v)``: each id's distinct unit vectors as bytes of doubles; only those that may link."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -220,8 +221,24 @@ class NearVectors:
                         units.append((v / np.sqrt(v @ v)).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(units, pa.binary())], ["vec_id", "v"])
 
-        valid = rows.mapInArrow(run, "vec_id long, v binary")
-        return valid.groupBy("vec_id").agg(F.min("v").alias("v"))
+        return rows.mapInArrow(run, "vec_id long, v binary").distinct()
+
+    def named(self, known: DataFrame) -> tuple[DataFrame, bool]:
+        """``known`` with a ``name`` for each row, and whether any id has several vectors.
+
+        An id with one vector is its name; the vectors of an id with several get
+        numbers beyond all ids.
+        """
+        several = durable(known.groupBy("vec_id").count().where("count > 1").select("vec_id"), "several")
+        if several.isEmpty():
+            return known.withColumn("name", F.col("vec_id")), False
+        top = known.agg(F.max("vec_id")).first()[0]
+        # An id may have a third of all vectors, so its rows are spread.
+        marks = several.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("again"))
+        told = known.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(marks, ["vec_id", "salt"], "left")
+        told = told.withColumn("number", F.monotonically_increasing_id())
+        name = F.when(F.col("again"), F.lit(top) + 1 + F.col("number")).otherwise(F.col("vec_id"))
+        return durable(told.select("vec_id", "v", name.alias("name")), "names"), True
 
     def placed(self, nodes: DataFrame, centers: np.ndarray, overlap: int) -> DataFrame:
         """``(id, v, copies, shards)``: each node with its nearest centroids."""
@@ -313,7 +330,7 @@ class NearVectors:
         return both.groupBy("shard", "asks", "of").applyInArrow(search, "id long, links long, root long")
 
     def recall(self, nodes: DataFrame, found: DataFrame, width: int, total: int) -> float:
-        """Share of the true links of about ``AUDIT`` nodes, counted by brute force over all rows, that were found."""
+        """Of about ``AUDIT`` nodes, the mean share of a node's true links (by brute force over all rows) that were found; 1 if none has any."""
         asked = nodes.where(share_of("id", "copies") < min(1.0, AUDIT / max(total, 1))).select("id", "v").toArrow()
         if not asked.num_rows:
             return 1.0
@@ -328,16 +345,16 @@ class NearVectors:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(number.astype(np.int64))], ["id", "true"])
 
         true = nodes.mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-        sums = true.join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").agg(
-            F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))
-        ).first()
-        return float(sums[1] / sums[0]) if sums[0] else 1.0
+        told = true.where(F.col("true") > 0).join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left")
+        # Each node counts alike, so a large group does not hide what small ones lose.
+        share = told.agg(F.avg(F.least("true", F.coalesce("links", F.lit(0))) / F.col("true"))).first()[0]
+        return 1.0 if share is None else float(share)
 
     def grouped(self, rows: DataFrame) -> DataFrame:
         rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-        known = durable(self.classes(rows), "vectors")
-        # Equal vectors are one node with a count; the least id names it.
-        nodes = durable(known.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).select("id", "v", "copies"), "nodes")
+        known, several = self.named(durable(self.classes(rows), "vectors"))
+        # Equal vectors are one node with a count and the least of their names.
+        nodes = durable(known.groupBy("v").agg(F.min("name").alias("id"), F.count("*").alias("copies")).select("id", "v", "copies"), "nodes")
         size = nodes.agg(F.count("*").alias("n"), F.max(F.length("v")).alias("w")).first()
         ids = rows.select("vec_id")
         if not size.n:
@@ -354,12 +371,19 @@ class NearVectors:
             overlap *= 2
         if recall < 0.9:
             warnings.warn(f"audited recall is {recall:.3f}", stacklevel=2)
-        joined = durable(components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))), "components")
+        edges = found.select(F.col("id").alias("a"), F.col("root").alias("b"))
+        if several:
+            # An id joins all of its vectors; it is less than any number given to them.
+            own = known.where("name <> vec_id").select("vec_id", "v").join(nodes.select("id", "v"), "v")
+            edges = edges.union(own.select("id", "vec_id"))
+        joined = durable(components(edges), "components")
         links = found.groupBy("id").agg(F.sum("links").alias("links"))
         told = nodes.join(links, "id", "left").join(joined, "id", "left").select(
             "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("c")
         )
         each = known.join(told, "v").select("vec_id", "n", "c")
+        if several:
+            each = each.groupBy("vec_id").agg(F.sum("n").alias("n"), F.min("c").alias("c"))
         out = ids.join(each, "vec_id", "left")
         component = F.coalesce("c", "vec_id")
         return out.select(
@@ -374,8 +398,10 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, **options: int)
     Vectors (``embedding``, an array of numbers) are linked from a cosine of
     ``threshold`` on, in double precision. Those that are NULL, empty, zero or
     hold a NULL or non-finite number link with nothing; shorter ones count as
-    filled up with zeros. Rows that repeat a vec_id get that id's result, by the
-    least of its vectors; rows without an id link with nothing. The component is
+    filled up with zeros. Rows that repeat a vec_id get that id's result: an id
+    with several distinct vectors has the links of all of them (one for each other
+    pair of id and vector, its own included) and joins what they reach; ids must
+    then lie below 2**62. Rows without an id link with nothing. The component is
     the least id reachable, and that row is kept. Other columns are ignored.
 
     Equal vectors become one node. Centroids, fitted on a bounded sample, deal
@@ -383,7 +409,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, **options: int)
     cut into cells. A robust-pruned graph is built in each cell, a node's lists
     of all its cells are united, and each node is searched for in its shards.
     Links are counted where they are found, so no pairs leave a task. About 200
-    nodes are audited against all rows; if less than 99 % of their links were
-    found, the index is made anew with twice the overlap.
+    nodes are audited against all rows; if on average less than 99 % of a linked
+    node's links were found, the index is made anew with twice the overlap.
     """
     return NearVectors(threshold, **options).grouped(rows)

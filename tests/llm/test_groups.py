@@ -137,6 +137,30 @@ def test_near_vectors_equal_brute_force(spark, options):
     assert {r.audit_recall for r in got} == {1.0}
 
 
+def test_ids_with_several_vectors_keep_all_links(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r.vec_id, r.n_links, r.component_id) for r in near_vectors(df).collect()}
+    assert got == {(1, 2, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)}
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(50, 8))
+    vectors = np.repeat(base, 3, axis=0) + 0.1 * rng.normal(size=(150, 8))
+    vectors = np.vstack([vectors, vectors[:20]])
+    ids = np.concatenate([rng.integers(0, 60, 100), rng.integers(200, 900, 50), rng.integers(0, 900, 20)])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = least_labels(ids.tolist(), [(int(ids[a]), int(ids[b])) for a, b in np.argwhere(near)])
+    first = {(int(i), v.tobytes()): n for n, (i, v) in reversed(list(enumerate(zip(ids, vectors))))}
+    links = Counter()
+    for n in first.values():
+        links[int(ids[n])] += sum(bool(near[n, m]) for m in first.values())
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>")
+    got = near_vectors(df, shard=40, cell=30, overlap=4).collect()
+    assert len(got) == len(ids)
+    for r in got:
+        assert (r.n_links, r.component_id, r.kept) == (links[r.vec_id], label[r.vec_id], r.vec_id == label[r.vec_id])
+
+
 def test_near_vectors_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert near_vectors(empty).count() == 0 and NearVectors().threshold == 0.95
