@@ -17,7 +17,7 @@ BANDS, ROWS = 28, 4  # a pair at similarity 0.8 misses all bands once in 2.6 mil
 BATCH = 16  # signature values that are compared at a time
 MISS = 1e-6  # posterior probability of a link below which a pair is given up
 HEADS = 3  # members of each bucket that all its others are compared with first
-BLOCK = 512  # members of a cluster that one task compares with others
+BLOCK = 512  # members of a bucket that one task compares with others
 
 
 def signatures(shingles: np.ndarray, owner: np.ndarray, count: int, size: int) -> np.ndarray:
@@ -150,7 +150,7 @@ class NearCopies:
         return made.join(wanted, ["id", "same"]).dropDuplicates(["id", "same"]).select("id", "shingles")
 
     def banded(self, signed: DataFrame) -> DataFrame:
-        """``(bucket, id)``: the buckets of each set that have another member."""
+        """``(bucket, band, id)``: the bucket of each set in every band."""
         bands, rows = self.bands, self.rows
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,10 +164,14 @@ class NearCopies:
                 for r in range(rows):
                     key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[:, :, r])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), bands))], ["bucket", "id"]
+                    [
+                        pa.array(key.ravel().view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(sig))),
+                        pa.array(np.repeat(batch.column("id").to_numpy(), bands)),
+                    ],
+                    ["bucket", "band", "id"],
                 )
 
-        return signed.select("id", "sig").mapInArrow(run, "bucket long, id long")
+        return signed.select("id", "sig").mapInArrow(run, "bucket long, band int, id long")
 
     def likely(self, pairs: DataFrame, signed: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` that sequential comparison of their signatures does not give up."""
@@ -204,38 +208,61 @@ class NearCopies:
     def across(self, members: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
         """Links ``(a, b)`` that join different components among the members ``(bucket, id, component)``.
 
-        Members that share buckets, directly or through others, are a cluster.
-        Its largest component is set apart; the rest is compared with it and
+        Members are compared within their buckets only, and a pair in the first
+        bucket that it shares. Small buckets are dealt to tasks in lots. In a large one its
+        largest component is set apart; the rest is compared with it and
         with itself in pairs of blocks, so a group's size is bounded and no pair
-        of different components is left out. Pairs are pruned and confirmed
-        where they lie; once two components are joined there, no more of their
-        pairs are looked at.
+        of different components is left out. A first pass over the signatures
+        finds the members that have a likely mate; only these are met by their
+        full sets.
         """
-        limits, percent, block = self.limits, self.percent, self.block
-        heads = members.groupBy("bucket").agg(F.min("id").alias("head"))
-        shared = members.join(heads, "bucket").select(F.col("head").alias("a"), F.col("id").alias("b"))
-        cluster = components(shared).withColumnRenamed("component", "cluster")
-        each = durable(members.select("id", "component").distinct().join(cluster, "id"), "clusters")
-        sizes = each.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-        most = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("n"))
+        spread = durable(self.spread(members), "spread")
+        sig = signed.select("id", "sig")
+        alive = durable(self.in_cells(spread.join(sig, "id"), False).distinct(), "alive")
+        near = spread.join(alive, ["bucket", "id"]).join(sig, "id").join(sets, "id")
+        return self.in_cells(near, True)
+
+    def spread(self, members: DataFrame) -> DataFrame:
+        """The members with the cells ``(lot, i, j)`` they go to, as part ``own`` of their bucket."""
+        block = self.block
+        sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        most = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("n"))
+        small = F.col("n") <= block
+        lots = members.count() // (4 * block) + 1
         parts = most.select(
-            "cluster", "main", F.ceil((F.col("n") - F.col("main_n")) / block).cast("int").alias("rests"),
-            F.ceil(F.col("main_n") / (4 * block)).cast("int").alias("mains"),
+            "bucket", "main", small.alias("small"),
+            F.when(small, F.pmod(F.xxhash64("bucket"), F.lit(lots))).otherwise(F.col("bucket")).alias("lot"),
+            F.when(small, 1).otherwise(F.ceil((F.col("n") - F.col("main_n")) / block)).cast("int").alias("rests"),
+            F.when(small, 0).otherwise(F.ceil(F.col("main_n") / (4 * block))).cast("int").alias("mains"),
         )
-        cut = each.join(parts, "cluster").withColumn("rest", F.col("component") != F.col("main"))
+        cut = members.join(parts, "bucket").withColumn("rest", F.col("small") | (F.col("component") != F.col("main")))
         own = F.when(F.col("rest"), F.pmod(F.xxhash64("id"), F.col("rests"))).otherwise(F.col("rests") + F.pmod(F.xxhash64("id"), F.col("mains")))
         others = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("rests") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("rests") - 1))
-        spread = cut.withColumn("own", own.cast("int")).withColumn("other", F.explode(others)).select(
-            "cluster", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+        return cut.withColumn("own", own.cast("int")).withColumn("other", F.explode(others)).select(
+            "bucket", "band", "id", "component", "small", "lot", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
         )
-        rows = spread.join(signed.select("id", "sig"), "id").join(sets, "id")
-
-        def run(table: pa.Table) -> pa.Table:
-            ids, part = table.column("id").to_numpy(), table.column("component").to_numpy()
-            own, i, j = table.column("own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
-            sig = np.stack(unpack(table.column("sig"), np.uint32))
-            full = unpack(table.column("shingles"), np.uint64)
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+
+    def in_cells(self, rows: DataFrame, confirm: bool) -> DataFrame:
+        """Compare the members of each bucket in each cell: ``(bucket, id)`` of likely pairs, or confirmed links ``(a, b)``.
+
+        Where links are confirmed, components that are joined in a cell's bucket
+        are not compared again there.
+        """
+        limits, percent, bands, width = self.limits, self.percent, self.bands, self.rows
+
+        def mates_of(sig, band, at, mates):
+            """Likely mates of a member that meet it in this band first."""
+            both = np.broadcast_to(sig[at], (len(mates), sig.shape[1]))
+            mates = mates[surviving(both, sig[mates], BATCH, limits)]
+            if len(mates):
+                equal = (sig[mates, : bands * width] == sig[at, : bands * width]).reshape(-1, bands, width).all(axis=2)
+                mates = mates[equal.argmax(axis=1) == band]
+            return mates
+
+        def compare(table, sig, full, members, i, j, found):
+            bucket, band = table["bucket"][members[0]], table["band"][members[0]]
+            part, own = table["component"], table["own"]
+            left, right = members[own[members] == i], members[own[members] == j]
             root = {}
 
             def find(x):
@@ -244,20 +271,33 @@ class NearCopies:
                     x = root[x]
                 return x
 
-            found = []
-            for at in left:
-                mates = right[part[right] != part[at]]
-                alive = surviving(np.broadcast_to(sig[at], (len(mates), sig.shape[1])), sig[mates], BATCH, limits)
-                mates = mates[alive]
+            for n, at in enumerate(left):
+                mates = right[n + 1 :] if i == j else right
+                mates = mates_of(sig, band, at, mates[part[mates] != part[at]])
+                if not confirm:
+                    if len(mates):
+                        found.append(np.stack([np.full(len(mates) + 1, bucket), table["id"][np.append(mates, at)]], 1))
+                    continue
                 # The likeliest first.
                 for mate in mates[np.argsort(-(sig[mates] == sig[at]).sum(axis=1), kind="stable")]:
                     if find(part[at]) != find(part[mate]) and alike(full[at], full[mate], percent):
                         root[find(part[at])] = find(part[mate])
-                        found.append((ids[at], ids[mate]))
-            pairs = np.array(found, np.int64).reshape(-1, 2)
+                        found.append(np.array([[table["id"][at], table["id"][mate]]]))
+
+        def run(cell: pa.Table) -> pa.Table:
+            give_back()
+            table = {c: cell.column(c).to_numpy() for c in ("bucket", "band", "id", "component", "own")}
+            sig = np.stack(unpack(cell.column("sig"), np.uint32))
+            full = unpack(cell.column("shingles"), np.uint64) if confirm else None
+            order = np.lexsort((table["id"], table["bucket"]))
+            found = [np.empty((0, 2), np.int64)]
+            for members in np.split(order, np.flatnonzero(np.diff(table["bucket"][order])) + 1):
+                compare(table, sig, full, members, cell.column("i")[0].as_py(), cell.column("j")[0].as_py(), found)
+            pairs = np.concatenate(found) if confirm else np.unique(np.concatenate(found), axis=0)
             return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-        return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+        pairs = rows.groupBy("small", "lot", "i", "j").applyInArrow(run, "a long, b long")
+        return pairs if confirm else pairs.toDF("bucket", "id")
 
     def grouped(self, docs: DataFrame) -> DataFrame:
         """``(doc_id, n_shingles, component_id, kept)``: see :func:`near_copies`."""
@@ -290,8 +330,13 @@ class NearCopies:
         return durable(self.verified(self.likely(pairs, sets[0]), sets[1]), "links")
 
     def apart(self, members: DataFrame, part: DataFrame) -> DataFrame:
-        """Members ``(bucket, id, component)`` of the buckets that hold more than one component."""
-        known = members.select("bucket", "id").join(part, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        """``(bucket, band, id, component)``: the members of each bucket that may still have an uncompared mate there.
+
+        A bucket's heads have met all its members; what is left matters where it
+        has more than one component.
+        """
+        others = members.where(~F.array_contains(F.array(*[f"h{k}" for k in range(HEADS)]), F.col("id"))).select("bucket", "band", "id")
+        known = others.join(part, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
         mixed_ = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         return durable(known.join(mixed_.select("bucket"), "bucket"), "apart")
 
@@ -309,8 +354,8 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, **options) -
     least. Other columns are ignored.
 
     Equal sets are collapsed before anything else. Buckets of bands are first
-    linked in stars around a few members; then all members of different components are
-    compared, so no pairs within a component are looked at and none besides is
+    linked in stars around a few members; then the other members of a bucket that are in
+    different components are compared, so no pairs within a component are looked at and none besides is
     skipped. Candidates are pruned by their signatures, batch by batch, and
     confirmed on the full sets.
     """
