@@ -133,6 +133,14 @@ def confirmed(text: Column, kind: str, rule: tuple) -> Column:
     )
 
 
+def unused(docs: DataFrame, *others: str) -> str:
+    """A prefix with which no column of ``docs``, and none of ``others``, begins."""
+    prefix = "_pii"
+    while any(c.lower().startswith(prefix) for c in (*docs.columns, *others)):
+        prefix = "_" + prefix
+    return prefix
+
+
 def find_pii(docs: DataFrame, text_col: str = "text", name: str = "pii") -> DataFrame:
     """``docs`` with ``pii``: ``array<struct<kind, start, end, score>>``, by kind as listed, then start.
 
@@ -144,27 +152,29 @@ def find_pii(docs: DataFrame, text_col: str = "text", name: str = "pii") -> Data
     spans. All columns are kept; one named as the result (``name``) is replaced.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.withColumns({f"_pii_{kind}": confirmed(text, kind, rule) for kind, rule in (BASE | ADDED).items()})
-    base = F.concat(*[F.col(f"_pii_{k}") for k in BASE])
-    found = found.withColumn("_pii_base", base)
-    added = F.concat(*[F.col(f"_pii_{k}") for k in ADDED])
+    own = unused(docs, name)
+    found = docs.withColumns({f"{own}_{kind}": confirmed(text, kind, rule) for kind, rule in (BASE | ADDED).items()})
+    base = F.concat(*[F.col(f"{own}_{k}") for k in BASE])
+    found = found.withColumn(f"{own}_base", base)
+    added = F.concat(*[F.col(f"{own}_{k}") for k in ADDED])
     clear = F.filter(
         added,
         lambda s: (s["score"] >= THRESHOLD)
-        & ~F.exists("_pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+        & ~F.exists(f"{own}_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
-    drop = [f"_pii_{k}" for k in (*BASE, *ADDED)] + ["_pii_base"]
-    return found.withColumn(name, F.concat("_pii_base", clear)).drop(*drop)
+    drop = [f"{own}_{k}" for k in (*BASE, *ADDED)] + [f"{own}_base"]
+    return found.withColumn(name, F.concat(f"{own}_base", clear)).drop(*drop)
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with each found span replaced by its kind in angle brackets; where spans touch, by the first one's.
 
-    Texts without spans, NULL and empty ones stay as they are.
+    Texts without spans, NULL and empty ones stay as they are. All columns are kept.
     """
-    found = find_pii(docs, text_col, "_pii_spans")
+    listed_in = f"{unused(docs)}_spans"
+    found = find_pii(docs, text_col, listed_in)
     text = F.col(text_col)
-    spans = F.array_sort(F.transform("_pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = F.array_sort(F.transform(listed_in, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -175,7 +185,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     masked = F.aggregate(
         spans, start, step, lambda acc: F.concat(acc["done"], F.substr(text, (acc["at"] + 1).cast("int")))
     )
-    return found.withColumn(text_col, F.when(F.size("_pii_spans") > 0, masked).otherwise(text)).drop("_pii_spans")
+    return found.withColumn(text_col, F.when(F.size(listed_in) > 0, masked).otherwise(text)).drop(listed_in)
 
 
 def of_kind(kind: str) -> Callable[[Column], Column]:

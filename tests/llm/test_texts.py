@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from ledgerflow.llm.common import held_out
 from ledgerflow.llm.language import identify
-from ledgerflow.llm.pii import mask_pii, pii_report
+from ledgerflow.llm.pii import find_pii, mask_pii, pii_report
 from ledgerflow.llm.tokens import Counter, Merges, count_tokens
 from ledgerflow.llm.toxicity import events, score_toxicity
 
@@ -72,7 +72,9 @@ def test_added_spans_need_checksum_or_context(spark):
     df = spark.createDataFrame([(i, t, "kept", 7) for i, t in enumerate(texts)], "doc_id long, text string, pii string, _pii_base int")
     got = {r.doc_id: r.spans for r in pii_report(df).collect()}
     assert [bool(got[i]) for i in range(8)] == [True, False, True, False, True, False, False, False]
-    masked = {r.doc_id: r for r in mask_pii(df.drop("_pii_base")).collect()}
+    masked = {r.doc_id: r for r in mask_pii(df.withColumn("_pii_spans", F.lit("own"))).collect()}
+    assert {(r._pii_base, r._pii_spans, r.pii) for r in masked.values()} == {(7, "own", "kept")}
+    assert find_pii(df).columns == df.columns and {r._pii_base for r in find_pii(df).collect()} == {7}
     assert masked[0].text == "IBAN <iban> here" and masked[1].text == texts[1] and masked[0].pii == "kept"
     assert masked[6].text is None and masked[7].text == ""
     assert pii_report(df.limit(0)).count() == 0
