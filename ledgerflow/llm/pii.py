@@ -23,6 +23,14 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 LOCAL = r"(?<![0-9+(.-])(?:\([0-9]{3}\)[\x20-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 
+# Published formats of access keys, fixed values.
+KEY = (
+    r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[A-Za-z0-9_-]{35}|xox[abprs]-[A-Za-z0-9-]{10,250}"
+    r"|[rs]k_(?:live|test)_[A-Za-z0-9]{16,99}|eyJ[A-Za-z0-9_-]{10,4000}\.eyJ[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,1000})(?![A-Za-z0-9_-])"
+)
+SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,256}+(?![A-Za-z0-9+/_-])"
+LEAST_BITS = 3.0  # entropy a character that a secret has at least
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once per row."""
@@ -104,6 +112,22 @@ def mod97(code: Column) -> Column:
     return (rest == 1) & F.length(plain).between(15, 34)
 
 
+def entropy(found: Column) -> Column:
+    """Shannon entropy of a string's characters, in bits a character."""
+    size = F.length(found)
+
+    def bits(sum_: Column, c: Column) -> Column:
+        share = (size - F.length(F.replace(found, c, F.lit("")))) / size
+        return sum_ - share * F.log2(share)
+
+    return F.aggregate(F.array_remove(F.array_distinct(F.split(found, "")), ""), F.lit(0.0), bits)
+
+
+def random_like(found: Column) -> Column:
+    """Letters and digits mixed, of the entropy of a random string."""
+    return found.rlike("[A-Za-z]") & found.rlike("[0-9]") & (entropy(found) >= LEAST_BITS)
+
+
 # kind: (pattern, check, score of a confirmed match, score added by a context word, context words)
 BASE = {
     "email": (EMAIL, lambda m: F.lit(True), 0.9, 0.1, "mail|contact|write"),
@@ -115,6 +139,11 @@ ADDED = {
     "iban": (IBAN, mod97, 0.8, 0.2, "iban|bank|account|konto|compte|cuenta"),
     "ssn": (SSN, lambda m: F.lit(True), 0.4, 0.4, "ssn|social security|security number|taxpayer"),
     "local": (LOCAL, lambda m: F.lit(True), 0.4, 0.4, "tel|phone|call|fax|mobile|dial"),
+    "key": (KEY, lambda m: entropy(m) >= LEAST_BITS, 0.8, 0.2, "key|token|secret|credentials?"),
+    "secret": (
+        SECRET, lambda m: random_like(m) & ~m.rlike(KEY), 0.4, 0.4,
+        "password|passwd|pwd|secret|token|bearer|credentials?|api[ _-]?key|(?:secret|access|private|auth)[ _-]?(?:key|token)",
+    ),
 }
 
 
@@ -144,10 +173,10 @@ def unused(docs: DataFrame, *others: str) -> str:
 def find_pii(docs: DataFrame, text_col: str = "text", name: str = "pii") -> DataFrame:
     """``docs`` with ``pii``: ``array<struct<kind, start, end, score>>``, by kind as listed, then start.
 
-    Patterns propose spans, checksums (Luhn, modulo 97) and ranges confirm them,
+    Patterns propose spans, checksums (Luhn, modulo 97), ranges and entropy confirm them,
     context words within 40 characters raise the score. Confirmed spans of the
     base kinds (email, ip, card, phone) always stay; those of the added kinds
-    (iban, ssn, local) stay from score 0.6 on unless they touch a base span.
+    (iban, ssn, local, key, secret) stay from score 0.6 on unless they touch a base span.
     Positions are code points, the end exclusive. A NULL or empty text has no
     spans. All columns are kept; one named as the result (``name``) is replaced.
     """

@@ -64,6 +64,20 @@ def test_pii_equals_brute_force(spark):
         assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [kinds.count(k) for k in ("email", "ip", "card", "phone")]
 
 
+def test_secrets_need_entropy_and_context(spark):
+    github, aws = "ghp_" + "a1B2c3D4e5F6g7H8i9J0" + "k1L2m3N4o5P6q7R8", "AKIA" + "Z7Q2M4X9T1B6K3W8"
+    texts = [
+        f"use {github} here", f"{aws}", "AKIA" + "A" * 16, "password: x7Kq9Zt2Lm4Wp8Rv1", "title: x7Kq9Zt2Lm4Wp8Rv1", "password: aaaaaaaaaaaaaaa1aaaa",
+        "password: correcthorsebatterystaple", "api_key=9f86d081884c7d659a2feaa0c55ad015", "token a.b@example1234567890.org", "x" * 100000 + " token " + "a1" * 100000,
+        None, "",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii_report(df).collect()}
+    want = [f"key:4:{4 + len(github)}", f"key:0:{len(aws)}", "", "secret:10:27", "", "", "", "secret:8:40", "email:6:31", "", "", ""]
+    assert [got[i] for i in range(len(texts))] == want
+    assert {r.doc_id: r.text for r in mask_pii(df).collect()}[3] == "password: <secret>"
+
+
 def test_added_spans_need_checksum_or_context(spark):
     texts = [
         "IBAN DE89 3704 0044 0532 0130 00 here", "IBAN DE88 3704 0044 0532 0130 00 here",
