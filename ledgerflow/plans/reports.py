@@ -18,6 +18,7 @@ from ..session import durable, scratch_table
 from ..sources import events as E
 from ..streaming.feeds import ChatFeed, ChunkFeed, prepared_chunks
 from ..streaming.marks import flag_repeats
+from ..streaming.retries import route_by_timers
 from . import chat, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -858,6 +859,31 @@ def redelivered_letters(spark, folder):
     return failing.letters.current().select("original_event_id", "attempts", "error", run.cast("int").alias("run"))
 
 
+@report("""WITH f AS (SELECT user_id::VARCHAR AS event_id, epoch_us(ts) AS stamp FROM events WHERE event_type = 'error'),
+  s AS (SELECT *, lead(stamp) OVER w AS next_at, CASE WHEN lag(stamp) OVER w + 172800000000 < stamp THEN 1 ELSE 0 END AS fresh
+    FROM f WINDOW w AS (PARTITION BY event_id ORDER BY stamp)),
+  g AS (SELECT *, sum(fresh) OVER (PARTITION BY event_id ORDER BY stamp ROWS UNBOUNDED PRECEDING) AS run FROM s),
+  n AS (SELECT *, ((row_number() OVER (PARTITION BY event_id, run ORDER BY stamp) - 1) % 5 + 1)::INTEGER AS attempts FROM g),
+  e AS (SELECT max(stamp) - 3600000000 AS t FROM f)
+  SELECT event_id, attempts, 'dead_letter' AS disposition, stamp AS at_us FROM n WHERE attempts = 5
+  UNION ALL SELECT event_id, attempts, 'retry', stamp + 60000000 FROM n, e WHERE attempts < 5 AND stamp + 60000000 < coalesce(next_at + 1, t)""")
+def timed_retries(spark, folder):
+    """STR3-5, SRC4 as keyed stream state: retries by timers over several micro-batches and a restart."""
+    rows = table(spark, folder, "events").where(F.col("event_type") == "error").select(
+        F.lit("s").alias("stream"), F.col("user_id").cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("arrived_at"),
+        F.col("event_id").cast("string").alias("payload"),
+    )
+    source, sink, checkpoint = (scratch_table(spark, name) for name in ("feed", "retries", "progress"))
+    first, *others = thirds(rows)
+    for parts in ([first], others):
+        for part in parts:
+            part.write.mode("append").parquet(source)
+        failures = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(source).withColumnRenamed("arrived_at", "failed_at")
+        routed_rows = route_by_timers(failures)
+        routed_rows.writeStream.option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(sink).awaitTermination()
+    return spark.read.parquet(sink).select("event_id", "attempts", "disposition", F.unix_micros("at").alias("at_us"))
+
+
 def raw_files(events: DataFrame, path: str) -> None:
     """A feed as its producers write it: ids and field names as bytes, each with a byte that is no text."""
     stray = F.unhex(F.lit("FF"))
