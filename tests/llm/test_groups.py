@@ -74,7 +74,7 @@ def brute_copies(rows, width, percent):
     return least_labels([i for i, _ in rows if i is not None], links)
 
 
-@pytest.mark.parametrize("width,options", [(2, {}), (5, {"block": 3})])
+@pytest.mark.parametrize("width,options", [(2, {}), (5, {"block": 3}), (2, {"block": 3, "rows": 1})])
 def test_near_copies_equal_brute_force(spark, width, options):
     rng = random.Random(width)
     vocabulary = [f"w{i}" for i in range(400)]
