@@ -1005,9 +1005,11 @@ def failing_embeddings(spark, folder):
     chunk_rows = ChunkFeed(spark, scratch_table(spark, "feed"), collection="library", embed=picky, max_retries=3)
     events = chunk_feed(spark, folder)
     chunk_rows.process(events, 0)
-    last = events.agg(F.max("arrived_at")).first()[0]
-    for run in (1, 2):
-        chunk_rows.redeliver(last + timedelta(seconds=100 * run))
+    # A counter that is older than its TTL starts anew, so a long feed needs more runs than a text has retries.
+    now = events.agg(F.max("arrived_at")).first()[0]
+    while not chunk_rows.attempts.current().where("attempts > 0").isEmpty():
+        now += timedelta(seconds=100)
+        chunk_rows.redeliver(now)
     none = F.lit(None)
     vectors = chunk_rows.vectors.current().select("vector_id", F.get("embedding", F.lit(0)).cast("double").alias("first"))
     stored = chunk_rows.embeddings.current().join(vectors, "vector_id").join(chunk_rows.ledger.versions().select("idempotency_key", "event_id"), "idempotency_key")
