@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .groups import split_shared
 from .ranking import points_below, split_points
 
 WEEK_SECONDS = 7 * 24 * 3600
@@ -153,12 +154,14 @@ def settle(rows: DataFrame, ledger: DataFrame | None, ttl_seconds: int = WEEK_SE
     ``rows``: idempotency_key, arrived_at, ord, valid. Only valid rows set marks,
     so a failing row never claims its key, but a failing row under a live mark is
     a repeat. A row that arrived before the ledger's mark is handled after it.
+    The one row of a key without a mark is no repeat; only the others are
+    compared. ``rows`` are a table that is cheap to read again.
     """
     key = "idempotency_key"
-    timed = rows.withColumn("_now", F.unix_micros("arrived_at"))
-    prior = None
-    if ledger is not None:
-        prior = ledger.groupBy(key).agg(F.unix_micros(F.max("marked_at")).alias("mark"))
+    prior = None if ledger is None else ledger.groupBy(key).agg(F.unix_micros(F.max("marked_at")).alias("mark"))
+    alone, rest = split_shared(rows, [key], None if prior is None else prior.select(key))
+    timed = rest.withColumn("_now", F.unix_micros("arrived_at"))
+    if prior is not None:
         late = prior.select(key, F.col("mark").alias("_prior_mark"))
         timed = (
             timed.join(late, key, "left")
@@ -166,4 +169,5 @@ def settle(rows: DataFrame, ledger: DataFrame | None, ttl_seconds: int = WEEK_SE
             .drop("_prior_mark")
         )
     marks = first_seen(timed.where("valid"), key, "_now", "ord", ttl_seconds, prior, every)
-    return mark_repeats(timed, marks, key, "_now", "ord", ttl_seconds).drop("_now")
+    judged = mark_repeats(timed, marks, key, "_now", "ord", ttl_seconds).drop("_now")
+    return alone.withColumn("repeat", F.lit(False)).unionByName(judged)

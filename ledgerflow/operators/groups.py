@@ -2,11 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
 
 
+def split_shared(rows: DataFrame, columns: Sequence[str], also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those that share no value of any of the columns with another row or with ``also``, and the rest.
+
+    Equal values have equal hashes, so a hash that only one row has tells for
+    sure; rows whose hashes meet by chance just go to the rest. Eight bytes a
+    value are shuffled, and the list of shared hashes is written: mostly short,
+    so that ``rows``, which are read three times, stay where they are.
+    """
+    hashes = [F.xxhash64(F.lit(i), F.col(c)) for i, c in enumerate(columns)]
+    parts = [rows] if also is None else [rows, also]
+    listed = reduce(DataFrame.unionByName, [p.select(F.explode(F.array(*hashes)).alias("_h")) for p in parts])
+    shared = durable(listed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"), "shared")
+    told, marks = rows, []
+    for i, value in enumerate(hashes):
+        mine = shared.select(F.col("_h").alias(f"_h{i}"), F.lit(True).alias(f"_shared{i}"))
+        told = told.withColumn(f"_h{i}", value).join(mine, f"_h{i}", "left")
+        marks.append(F.col(f"_shared{i}"))
+    told = told.withColumn("_rest", F.coalesce(*marks, F.lit(False)))
+    return told.where("NOT _rest").select(*rows.columns), told.where("_rest").select(*rows.columns)
+
+
+def picked(rows: DataFrame, verdicts: DataFrame, keep: str, on: str = "event_id") -> DataFrame:
+    """The rows that ``verdicts``, which lists each of them once, holds under the condition ``keep``.
+
+    They are joined to the shorter of the two lists, so that wide rows need not
+    move when nearly all or nearly none of them stay.
+    """
+    kept = F.coalesce(F.expr(keep), F.lit(False))
+    n, every = verdicts.agg(F.count_if(kept), F.count(F.lit(1))).first()
+    if 2 * n > every:
+        return rows.join(durable(verdicts.where(~kept).select(on), "lost"), on, "left_anti")
+    return rows.join(durable(verdicts.where(kept).select(on), "kept"), on, "left_semi")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``(id, component)`` of all ids in the links ``(a, b)``: the least id reachable.
 

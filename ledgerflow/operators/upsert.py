@@ -17,6 +17,7 @@ from .. import schema
 from ..functions import keys as K
 from ..session import durable
 from .claims import first_claims, resolve_claims
+from .groups import split_shared
 from .ranking import SPLIT_EVERY, grouped_rank, surrogate_ids
 
 ORDER = "ord"
@@ -52,12 +53,17 @@ def last_value(columns: Sequence[str], order: str = ORDER) -> Column:
 def last_rows(df: DataFrame, key: str, order: str = ORDER) -> DataFrame:
     """The last row of each key.
 
-    The order value is aggregated first (narrow, combined map-side) and wide rows
-    are joined on ``(key, order)``, so texts are neither aggregated nor gathered
-    per key and a hot key spreads over the order values.
+    The one row of a key is its last, and stays where it is. Of repeated keys the
+    order value is aggregated first (narrow, combined map-side) and wide rows are
+    joined on ``(key, order)``, so texts are neither aggregated nor gathered per
+    key and a hot key spreads over the order values. ``df`` is a table that is
+    cheap to read again.
     """
-    last = df.groupBy(key).agg(F.max(order).alias(order))
-    return df.join(last, [key, order], "left_semi")
+    alone, rest = split_shared(df, [key])
+    last = rest.groupBy(key).agg(F.max(order).alias(order))
+    alone = alone.where(F.col(key).isNotNull() & F.col(order).isNotNull())
+    # An inner join on unique keys: a semi join would be pushed below the filter that made the rest few.
+    return alone.unionByName(rest.join(last, [key, order]).select(*df.columns))
 
 
 def next_sequence(existing_messages: DataFrame, group: str = "conversation_id") -> DataFrame:
@@ -74,9 +80,11 @@ def _staged(df: DataFrame, staged: bool, name: str) -> DataFrame:
 
 def _with_ids(updates: DataFrame, key: str, stored: DataFrame, taken: DataFrame | None, every: int) -> DataFrame:
     """Add ``new_id``, dense in first-arrival order, to updates of keys not stored yet."""
-    fresh = updates.select(key, "first_ord").join(stored.select(key), key, "left_anti")
-    ids = surrogate_ids(fresh, "first_ord", "new_id", stored.select("id") if taken is None else taken, every)
-    return updates.join(ids.select(key, "new_id"), key, "left")
+    updates = durable(updates, "updates")
+    known = stored.select(key)
+    ids = surrogate_ids(updates.join(known, key, "left_anti"), "first_ord", "new_id", stored.select("id") if taken is None else taken, every)
+    old = updates.join(known, key, "left_semi")
+    return ids.unionByName(old.withColumn("new_id", F.lit(None).cast("long")))
 
 
 def _merge(table: schema.Table, existing: DataFrame, updates: DataFrame, sticky: Sequence[str], touched_only: bool) -> DataFrame:
@@ -143,10 +151,12 @@ def assign_sequences(existing: DataFrame, incoming: DataFrame, group: str = "con
     the table are numbered after the largest stored number, in first-arrival
     order; a repeated message burns no number (``seq`` stays NULL for stored ones).
     """
-    bound = incoming.groupBy("message_id").agg(
+    alone, rest = split_shared(incoming, ["message_id"])
+    single = alone.select("message_id", group, F.col(ORDER).alias("first_ord"), F.col("at").alias("first_at"), F.col(ORDER).alias("last_ord"))
+    bound = durable(single.unionByName(rest.groupBy("message_id").agg(
         F.min_by(group, ORDER).alias(group), F.min(ORDER).alias("first_ord"),
         F.min_by("at", ORDER).alias("first_at"), F.max(ORDER).alias("last_ord"),
-    )
+    )), "bound")
     known = existing.select("message_id")
     fresh = bound.join(known, "message_id", "left_anti")
     ranked = grouped_rank(fresh, [group], "first_ord", "_rank", every)
@@ -217,12 +227,24 @@ def document_verdicts(existing: DataFrame | None, incoming: DataFrame, bound: bo
 def _accepted(narrow: DataFrame, verdicts: DataFrame, key: str, first: Sequence[str] = ()) -> DataFrame:
     """Per key: first and last accepted arrival, and ``first`` columns of the first."""
     ok = verdicts.where("accepted").select(key, ORDER).join(narrow.select(key, ORDER, "at", *first), [key, ORDER], "inner")
+    return _arrivals(ok, key, first)
+
+
+def _arrivals(ok: DataFrame, key: str, first: Sequence[str] = ()) -> DataFrame:
+    """Per key: first and last arrival, and ``first`` columns of the first."""
     return ok.groupBy(key).agg(
         F.min(ORDER).alias("first_ord"), F.min_by("at", ORDER).alias("first_at"), F.max(ORDER).alias(ORDER),
         *[F.min_by(c, ORDER).alias(c) for c in first],
     )
 
 
+def _all_arrivals(rows: DataFrame, key: str, first: Sequence[str] = ()) -> DataFrame:
+    """The same for a table of accepted rows; a key's only row is left where it is."""
+    alone, rest = split_shared(rows.select(key, ORDER, "at", *first), [key])
+    single = alone.select(key, F.col(ORDER).alias("first_ord"), F.col("at").alias("first_at"), ORDER, *first)
+    return single.unionByName(_arrivals(rest, key, first))
+
+
 def _rejected(verdicts: DataFrame, key: str, what: str) -> DataFrame:
     refused = verdicts.where(~F.col("accepted")).select(key, ORDER)
     return refused.withColumn("error", F.concat(F.lit(f"Failed to persist {what} "), F.col(key)))
@@ -252,9 +274,11 @@ def upsert_documents(existing: DataFrame | None, incoming: DataFrame, *, bound:
     holders = claimed if claimed is not None else (None if existing is None else stored)
     if settled:
         verdicts = narrow.select(key, ORDER, F.lit(True).alias("accepted"))
+        arrivals = _all_arrivals(durable(narrow.select(key, ORDER, "at"), "arrivals"), key)
     else:
         verdicts = document_verdicts(holders, narrow, bound)
-    plan = _with_ids(_accepted(narrow, verdicts, key), key, stored, taken, every)
+        arrivals = _accepted(narrow, verdicts, key)
+    plan = _with_ids(arrivals, key, stored, taken, every)
     updates = rows.join(plan, [key, ORDER], "inner")
     return Merge(_merge(table, stored, updates, (), touched_only), _rejected(verdicts, key, "document"), verdicts)
 
@@ -278,10 +302,12 @@ def upsert_embeddings(existing: DataFrame | None, incoming: DataFrame, *, bound:
     stored = _stored(existing, incoming.sparkSession, table)
     if bound:
         verdicts = narrow.select(key, ORDER, F.lit(True).alias("accepted"))
+        arrivals = _all_arrivals(narrow, key, ("document_id",))
     else:
         holders = claimed if claimed is not None else (None if existing is None else stored)
         verdicts = resolve_claims(narrow, holders, key, ["idempotency_key"], ORDER)
-    plan = _with_ids(_accepted(narrow, verdicts, key, ("document_id",)), key, stored, taken, every)
+        arrivals = _accepted(narrow, verdicts, key, ("document_id",))
+    plan = _with_ids(arrivals, key, stored, taken, every)
     updates = incoming.drop("document_id").join(plan, [key, ORDER], "inner")
     return Merge(_merge(table, stored, updates, ("document_id",), touched_only), _rejected(verdicts, key, "embedding"), verdicts)
 

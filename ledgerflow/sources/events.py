@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import keys as K
 from ..functions.jsontext import as_variant_map, json_or_default, variant_text, variant_truthy
 from ..functions.text import blank_to_null, decode_keys, decode_text, field_text
+from ..operators.groups import split_shared
 from ..operators.ranking import SPLIT_EVERY, grouped_rank
 from ..schema import EVENT
+from ..session import durable
 
 CHAT = "qa_turn"
 CHUNK = "index_chunk"
@@ -54,16 +56,21 @@ def distinct_events(events: DataFrame, batch_id: int) -> tuple[DataFrame, DataFr
     Of rows with equal ids the first to arrive stays (equal times: by a hash of
     the fields), the others become ``repeated_id``. Rows without an id are
     events of their own, under ids made from the batch, their content and a
-    count. Repeats are counted before the shuffle, so a hot id stays small.
+    count. Only rows with repeated ids are shuffled, counted before, so a hot id
+    stays small. ``events`` is a table that is cheap to read again.
     """
     rows = events.withColumn("_hash", F.xxhash64("arrived_at", F.map_entries("fields")))
+    alone, rows = split_shared(rows.withColumn("_who", F.coalesce("event_id", F.hex("_hash"))), ["_who"])
+    rows = durable(rows, "repeats")
     first = F.min_by(F.struct("arrived_at", "fields"), F.struct("arrived_at", "_hash")).alias("e")
     named = rows.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(first, F.count(F.lit(1)).alias("_n"))
     nameless = rows.where(F.col("event_id").isNull()).groupBy("_hash").agg(first, F.count(F.lit(1)).alias("_n")).select(
         F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k"), "_hash", "e"
     )
     made = F.concat_ws("-", F.lit("none"), F.lit(batch_id), F.hex("_hash"), "_k")
-    kept = named.select("event_id", "e.*").unionByName(nameless.select(made.alias("event_id"), "e.*"))
+    single = alone.withColumn("_k", F.lit(1)).select(F.coalesce("event_id", made).alias("event_id"), "arrived_at", "fields")
+    again = durable(named.select("event_id", "e.*").unionByName(nameless.select(made.alias("event_id"), "e.*")), "firsts")
+    kept = single.unionByName(again)
     repeats = named.where("_n > 1").select(
         "event_id", F.lit(None).cast("string").alias("idempotency_key"), F.lit("repeated_id").alias("disposition"),
         F.explode(F.sequence(F.lit(2), F.col("_n"))).alias("_k"),

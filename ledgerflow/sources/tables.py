@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.upsert import last_rows
+from ..session import durable
 
 _VERSION = "batch_id"
 
@@ -32,6 +33,7 @@ class TableLog:
         empty = spark.createDataFrame([], self.struct)
         empty.write.mode("ignore").parquet(f"{self._batches}/{_VERSION}=-1")
         self._known: list[int] | None = None
+        self._void: dict[int, bool] = {}
         numbers = StructType([StructField("upto", LongType())])
         spark.createDataFrame([], numbers).write.mode("ignore").parquet(f"{self._done}/upto_of=none")
 
@@ -48,11 +50,26 @@ class TableLog:
         return self._known
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
-        rows.select(*self.struct.names).write.mode("overwrite").parquet(f"{self._batches}/{_VERSION}={batch_id}")
+        self._void.clear()
+        rows.select(*self.struct.names).write.mode("overwrite").option("compression", "zstd").parquet(f"{self._batches}/{_VERSION}={batch_id}")
+
+    def written(self, batch_id: int) -> DataFrame:
+        """The rows of one batch, read back."""
+        return self.spark.read.schema(self.struct).parquet(f"{self._batches}/{_VERSION}={batch_id}")
+
+    def is_void(self, before: int) -> bool:
+        """Whether no batch before this one wrote a row."""
+        if before not in self._void:
+            rows = self.spark.read.schema(StructType([*self.struct.fields, StructField(_VERSION, LongType())])).parquet(self._batches)
+            self._void[before] = not any(n < before for n in self.folds()) and rows.where(F.col(_VERSION) < before).isEmpty()
+        return self._void[before]
 
     def versions(self, before: int | None = None) -> DataFrame:
         """Row versions with their ``batch_id``, up to but excluding ``before``; folded ones carry the fold's number."""
         schema = StructType([*self.struct.fields, StructField(_VERSION, LongType())])
+        if before is not None and self.is_void(before):
+            # The optimizer drops joins with a table that holds nothing yet.
+            return self.spark.createDataFrame([], schema).where(F.lit(False))
         rows = self.spark.read.schema(schema).parquet(self._batches)
         if before is not None:
             rows = rows.where(F.col(_VERSION) < before)
@@ -78,19 +95,21 @@ class TableLog:
         rows = self.versions(before)
         if self.key is None:
             return rows.select(*self.struct.names)
+        if before is not None and self.is_void(before):
+            return rows.select(*self.struct.names)
         on = on or self.key
         if only is not None:
             listed = only.select(on).distinct()
             if on != self.key:
                 listed = rows.join(listed, on, "left_semi").select(self.key).distinct()
-            rows = rows.join(listed, self.key, "left_semi")
+            rows = durable(rows.join(listed, self.key, "left_semi"), "listed")
         return last_rows(rows, self.key, _VERSION).select(*self.struct.names)
 
     def compact(self, upto: int) -> None:
         """Fold all versions up to batch ``upto``; refused for the newest batch, which may yet be replayed."""
         if upto >= self.newest():
             raise ValueError(f"{self.name}: batch {upto} is the newest and may be replayed; fold up to an earlier one")
-        self.current(upto + 1).write.mode("overwrite").parquet(f"{self._folds}/fold={upto}")
+        self.current(upto + 1).write.mode("overwrite").option("compression", "zstd").parquet(f"{self._folds}/fold={upto}")
         number = self.spark.createDataFrame([(upto,)], "upto long").coalesce(1)
         number.write.mode("overwrite").parquet(f"{self._done}/upto_of={upto}")
         self._known = sorted({*self.folds(), upto})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from compare import differences
 from ledgerflow.plans import reports
+from ledgerflow.streaming.feeds import ChunkFeed
 
 
 @pytest.fixture
@@ -27,3 +28,29 @@ def test_failing_texts_that_arrive_over_more_days_than_a_counter_lives(spark, fo
     )
     docs.write.parquet(f"{folder}/documents.parquet")
     assert against_sql(spark, folder, "failing_embeddings", "documents") == ""
+
+
+def moved_bytes(spark, step):
+    """Bytes that the stages of a step shuffled and wrote."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def total():
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteBytes() + stages.apply(i).outputBytes() for i in range(stages.size()))
+
+    before = total()
+    step()
+    return total() - before
+
+
+def test_a_chunk_feed_moves_its_texts_a_few_times(spark, folder):
+    text = F.concat(*[F.sha2(F.concat_ws("/", F.col("id"), F.lit(i)), 256) for i in range(200)])
+    events = spark.range(400).select(
+        F.concat("id", F.lit("-0")).alias("event_id"), F.timestamp_seconds(F.col("id")).alias("arrived_at"),
+        F.create_map(F.lit("event_type"), F.lit(b"index_chunk"), F.lit("chunk_text"), text.cast("binary")).alias("fields"),
+    )
+    chunks = ChunkFeed(spark, folder)
+    moved = moved_bytes(spark, lambda: chunks.process(events, 0))
+    assert chunks.documents.current().count() == 400
+    assert moved < 5 * 400 * 200 * 64
