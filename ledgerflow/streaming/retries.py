@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.retry import IDLE_SECONDS, MAX_RETRIES, RETRY_TTL_SECONDS
-from .marks import use_keyed_state
+from .marks import BUCKETS, use_keyed_state
 
 ROUTED = "stream string, event_id string, attempts int, disposition string, at timestamp, payload string"
 
 
 def route_by_timers(failures: DataFrame, max_retries: int = MAX_RETRIES, base: float = 1.0, cap: float = 30.0,
-                    idle_seconds: float = IDLE_SECONDS, ttl_seconds: int = RETRY_TTL_SECONDS, late: str = "1 hour") -> DataFrame:
+                    idle_seconds: float = IDLE_SECONDS, ttl_seconds: int = RETRY_TTL_SECONDS, late: str = "1 hour",
+                    buckets: int = BUCKETS) -> DataFrame:
     """Retries and dead letters of a stream of failures ``(stream, event_id, failed_at, payload)``, each when it is due.
 
     A failure adds one to its event's counter, or starts it anew if the last one
@@ -27,7 +28,8 @@ def route_by_timers(failures: DataFrame, max_retries: int = MAX_RETRIES, base: f
     ``dead_letter`` at once and ends the counter. Failures of one micro-batch are
     handled in order of time, so any cut of an ordered feed into batches gives
     the same rows, also across restarts on one checkpoint. State is one counter
-    and one payload per failing event, cleared by a timer after the TTL. A
+    and one payload per failing event, kept with those of its bucket, a hash of
+    the event, and cleared by a timer after the TTL; a checkpoint keeps its number of buckets. A
     failure with a NULL time is left out, as are those later than the watermark;
     a NULL event id is one event, a NULL payload stays NULL.
     """
@@ -44,58 +46,69 @@ def route_by_timers(failures: DataFrame, max_retries: int = MAX_RETRIES, base: f
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             # ``due`` is NULL once the retry is out.
-            self.counter = handle.getValueState("counter", "attempts int, last long, due long, payload string")
+            self.state = handle.getValueState(
+                "counters", "streams array<string>, events array<string>, attempts array<int>, last array<long>, due array<long>, payloads array<string>"
+            )
+
+        def load(self) -> dict:
+            if not self.state.exists():
+                return {}
+            return {(stream, event): kept for stream, event, *kept in zip(*self.state.get())}
+
+        def store(self, counters: dict, timer: int | None) -> None:
+            """Keep the counters of a bucket; its one timer is the earliest that any of them waits for."""
+            if counters:
+                columns = zip(*[(*who, *kept) for who, kept in counters.items()])
+                self.state.update(tuple(list(c) for c in columns))
+            else:
+                self.state.clear()
+            soonest = self.soonest(counters)
+            if soonest != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                if soonest is not None:
+                    self.handle.registerTimer(soonest)
+
+        @staticmethod
+        def soonest(counters: dict) -> int | None:
+            # A retry that is due only after the TTL keeps its counter until it is out.
+            return min((fires(last + ttl if due is None else due) for _, last, due, _ in counters.values()), default=None)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             batch = pd.concat(list(rows), ignore_index=True).sort_values("now", kind="stable")
-            before = self.counter.get() if self.counter.exists() else None
-            attempts, last, due, payload = before or (0, None, None, None)
-            out = []
-            for now, text in zip(batch["now"].tolist(), batch["payload"].tolist()):
+            counters = self.load()
+            timer, out = self.soonest(counters), []
+            for stream, event, now, text in zip(*[batch[c].tolist() for c in ("stream", "event_id", "now", "payload")]):
+                who = (stream if isinstance(stream, str) else None, event if isinstance(event, str) else None)
+                attempts, last, due, payload = counters.get(who, (0, None, None, None))
                 if due is not None and due <= now:
-                    out.append((attempts, "retry", due, payload))
+                    out.append((*who, attempts, "retry", due, payload))
                 attempts = attempts + 1 if last is not None and last + ttl >= now else 1
-                last, payload = now, text
-                due = now + wait(attempts)
+                payload = text if isinstance(text, str) else None
                 if attempts >= max_retries:
-                    out.append((attempts, "dead_letter", now, payload))
-                    attempts, last, due = 0, None, None
-            if before is not None:
-                self.drop_timers(before)
-            if last is None:
-                self.counter.clear()
-            else:
-                self.counter.update((attempts, last, due, payload))
-                for stamp in {fires(due), fires(last + ttl)}:
-                    self.handle.registerTimer(stamp)
-            yield self.rows(key, out)
-
-        def drop_timers(self, state) -> None:
-            _, last, due, _ = state
-            for stamp in {fires(last + ttl)} | ({fires(due)} if due is not None else set()):
-                self.handle.deleteTimer(stamp)
+                    out.append((*who, attempts, "dead_letter", now, payload))
+                    counters.pop(who, None)
+                else:
+                    counters[who] = (attempts, now, now + wait(attempts), payload)
+            self.store(counters, timer)
+            yield self.rows(out)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            if not self.counter.exists():
-                return
-            attempts, last, due, payload = self.counter.get()
-            now = expiredTimerInfo.getExpiryTimeInMs()
-            out = []
-            if due is not None and fires(due) <= now:
-                out.append((attempts, "retry", due, payload))
-                due = None
-                self.counter.update((attempts, last, due, payload))
-            # A retry that is due only after the TTL keeps its counter until it is out.
-            if due is None and fires(last + ttl) <= now:
-                self.counter.clear()
-            yield self.rows(key, out)
+            passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+            counters, out = {}, []
+            for who, (attempts, last, due, payload) in self.load().items():
+                if due is not None and fires(due) <= passed:
+                    out.append((*who, attempts, "retry", due, payload))
+                    due = None
+                if due is not None or fires(last + ttl) > passed:
+                    counters[who] = (attempts, last, due, payload)
+            self.store(counters, None)
+            yield self.rows(out)
 
         @staticmethod
-        def rows(key, out: list[tuple]) -> pd.DataFrame:
-            made = pd.DataFrame(out, columns=["attempts", "disposition", "at", "payload"])
+        def rows(out: list[tuple]) -> pd.DataFrame:
+            made = pd.DataFrame(out, columns=["stream", "event_id", "attempts", "disposition", "at", "payload"])
             made["at"] = pd.to_datetime(made["at"].astype("int64"), unit="us", utc=True)
-            made.insert(0, "stream", key[0])
-            made.insert(1, "event_id", key[1])
             return made
 
         def close(self) -> None:
@@ -106,10 +119,11 @@ def route_by_timers(failures: DataFrame, max_retries: int = MAX_RETRIES, base: f
         return micros // 1000 + 1
 
     narrow = failures.where(F.col("failed_at").isNotNull()).select(
+        F.pmod(F.xxhash64(F.col("stream").cast("string"), F.col("event_id").cast("string")), F.lit(buckets)).alias("bucket"),
         F.col("stream").cast("string").alias("stream"), F.col("event_id").cast("string").alias("event_id"),
         F.col("failed_at").cast("timestamp").alias("event_time"), F.unix_micros(F.col("failed_at").cast("timestamp")).alias("now"),
         F.col("payload").cast("string").alias("payload"),
     )
-    return narrow.withWatermark("event_time", late).groupBy("stream", "event_id").transformWithStateInPandas(
+    return narrow.withWatermark("event_time", late).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=Counter(), outputStructType=ROUTED, outputMode="append", timeMode="EventTime"
     )

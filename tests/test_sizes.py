@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from compare import differences
 from ledgerflow.plans import reports
 from ledgerflow.streaming.feeds import ChunkFeed
+from ledgerflow.streaming.marks import flag_repeats
 
 
 @pytest.fixture
@@ -54,3 +55,15 @@ def test_a_chunk_feed_moves_its_texts_a_few_times(spark, folder):
     moved = moved_bytes(spark, lambda: chunks.process(events, 0))
     assert chunks.documents.current().count() == 400
     assert moved < 5 * 400 * 200 * 64
+
+
+def test_stream_state_has_an_entry_per_bucket_not_per_key(spark, folder):
+    rows = spark.range(600).select(F.concat(F.lit("k"), F.col("id") % 300).alias("k"), F.timestamp_seconds(F.col("id") + 1_000_000_000).alias("at"), F.col("id").alias("n"))
+    rows.coalesce(1).write.parquet(f"{folder}/in")
+    flagged = flag_repeats(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), "k", "at", "n", buckets=8)
+    query = flagged.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start(f"{folder}/out")
+    query.awaitTermination()
+    held = max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"])
+    assert spark.read.parquet(f"{folder}/out").where("repeat").count() == 300
+    # A value, a timer and the timer's index for each bucket.
+    assert held <= 3 * 8
