@@ -16,6 +16,8 @@ CHAT = "qa_turn"
 CHUNK = "index_chunk"
 DEFAULT_BACKEND = "chroma"
 DEFAULT_COLLECTION = "default"
+# Rows are searched for their place one by one, which is dealt to all cores by files.
+ORDERED_PER_FILE = 100_000
 
 
 def decoded_events(raw: DataFrame) -> DataFrame:
@@ -45,8 +47,10 @@ def numbered_slices(events: DataFrame, cap: int, every: int = SPLIT_EVERY) -> Da
     """
     if cap < 1:
         raise ValueError(f"a slice needs at least one event, not {cap}")
-    order = F.struct(arrival_order(F.col("event_id"), F.col("arrived_at")).alias("ord"), F.xxhash64(F.map_entries("fields")).alias("hash"))
-    ranked = grouped_rank(events.withColumn("_order", order), [], "_order", "_rank", every)
+    order = _order_text(arrival_order(F.col("event_id"), F.col("arrived_at")), F.xxhash64(F.map_entries("fields")))
+    # Written once: the search among the split points would make the order anew at each of its steps.
+    ordered = durable(events.withColumn("_order", order), "ordered", ORDERED_PER_FILE)
+    ranked = grouped_rank(ordered, [], "_order", "_rank", every)
     return ranked.withColumn("slice", F.floor((F.col("_rank") - 1) / cap).cast("long")).drop("_order", "_rank")
 
 
@@ -88,6 +92,17 @@ def arrival_order(event_id: Column, arrived_at: Column) -> Column:
     )
 
 
+def _order_text(order: Column, last: Column) -> Column:
+    """``arrival_order``, then ``last``, as one text that sorts alike: texts compare many times faster than nested structs."""
+
+    def number(value: Column) -> Column:
+        # Hex digits of fixed width with the sign bit turned; NULL is the empty text and comes first.
+        return F.coalesce(F.lpad(F.hex(value.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit(""))
+
+    told = F.when(order["id"].isNull(), "0").otherwise("1")
+    return F.concat(*[F.concat(number(order[n]), F.lit("\x00")) for n in ("at", "ms", "n")], told, F.coalesce(order["id"], F.lit("")), F.lit("\x00"), number(last))
+
+
 def _fields() -> Column:
     return F.coalesce(F.col("fields"), F.create_map().cast("map<string,binary>"))
 

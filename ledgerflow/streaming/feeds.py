@@ -175,7 +175,7 @@ class Feed:
         """The batch, in parts of at most ``max_events``."""
         if self.max_events is None:
             return [batch]
-        events = durable(batch.select(*schema.EVENT.names), "arrived")
+        events = batch.select(*schema.EVENT.names)
         path = scratch_table(self.spark, "slices")
         # Each slice is one file, which only its own step reads.
         E.numbered_slices(events, self.max_events).repartition("slice").write.partitionBy("slice").parquet(path)

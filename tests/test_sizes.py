@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from compare import differences
 from ledgerflow.plans import reports
+from ledgerflow.sources import events as E
 from ledgerflow.streaming.feeds import ChunkFeed
 from ledgerflow.streaming.marks import flag_repeats
 
@@ -67,3 +68,11 @@ def test_stream_state_has_an_entry_per_bucket_not_per_key(spark, folder):
     assert spark.read.parquet(f"{folder}/out").where("repeat").count() == 300
     # A value, a timer and the timer's index for each bucket.
     assert held <= 3 * 8
+
+
+def test_slices_are_numbered_by_a_flat_order(spark):
+    stamps = [None, -5, -1, 0, 3, 1 << 40]
+    rows = spark.createDataFrame([(t, i) for t in stamps for i in (None, "", "a", "9-2", "9-10", "10-0")], "at long, id string")
+    order = E.arrival_order(F.col("id"), F.timestamp_micros("at"))
+    both = rows.select(F.struct(order.alias("o"), F.lit(1)).alias("plain"), E._order_text(order, F.lit(1).cast("long")).alias("flat"))
+    assert [r.flat for r in both.orderBy("plain").collect()] == [r.flat for r in both.orderBy("flat").collect()]
