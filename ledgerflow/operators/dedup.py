@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import durable
 from .groups import split_shared
 from .ranking import points_below, split_points
 
@@ -63,7 +64,10 @@ def kept_stamps(stamps: DataFrame, key: str, ts: str, ttl: int, every: int = STA
     offsets = stamps.select(
         key, F.col(ts).alias("_t"), F.pmod(F.col(ts), F.lit(ttl)).alias("_offset")
     )
-    points = split_points(offsets, [key], "_offset", every)
+    points = durable(split_points(offsets, [key], "_offset", every), "points")
+    if points.isEmpty():
+        whole = stamps.groupBy(key).agg(F.array_sort(F.collect_list(ts)).alias("_ts"))
+        return whole.select(key, F.explode(_fold(F.col("_ts"), F.get("_ts", F.lit(0)), ttl)).alias(ts))
     ranged = offsets.join(points, key, "left").select(
         key, "_t",
         F.when(F.col("_points").isNotNull(), points_below(F.col("_points"), F.col("_offset"))).alias("_range"),
@@ -115,9 +119,9 @@ def first_seen(rows: DataFrame, key: str, now: str, order: str, ttl_seconds: int
     if prior is not None:
         nobody = F.lit(None).cast(rows.schema[order].dataType).alias(order)
         stamped = stamped.unionByName(prior.select(key, "mark", nobody, F.lit(True).alias("_prior")))
-    firsts = stamped.groupBy(key, "mark").agg(
+    firsts = durable(stamped.groupBy(key, "mark").agg(
         F.when(~F.max("_prior"), F.min(order)).alias(order)
-    )
+    ), "firsts")
     kept = kept_stamps(firsts.select(key, "mark"), key, "mark", ttl, every)
     return firsts.join(kept, [key, "mark"], "left_semi")
 
@@ -160,7 +164,7 @@ def settle(rows: DataFrame, ledger: DataFrame | None, ttl_seconds: int = WEEK_SE
     key = "idempotency_key"
     prior = None if ledger is None else ledger.groupBy(key).agg(F.unix_micros(F.max("marked_at")).alias("mark"))
     alone, rest = split_shared(rows, [key], None if prior is None else prior.select(key))
-    timed = rest.withColumn("_now", F.unix_micros("arrived_at"))
+    timed = durable(rest, "rest").withColumn("_now", F.unix_micros("arrived_at"))
     if prior is not None:
         late = prior.select(key, F.col("mark").alias("_prior_mark"))
         timed = (

@@ -22,6 +22,8 @@ def split_shared(rows: DataFrame, columns: Sequence[str], also: DataFrame | None
     parts = [rows] if also is None else [rows, also]
     listed = reduce(DataFrame.unionByName, [p.select(F.explode(F.array(*hashes)).alias("_h")) for p in parts])
     shared = durable(listed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"), "shared")
+    if shared.isEmpty():
+        return rows, rows.where(F.lit(False))
     told, marks = rows, []
     for i, value in enumerate(hashes):
         mine = shared.select(F.col("_h").alias(f"_h{i}"), F.lit(True).alias(f"_shared{i}"))

@@ -10,7 +10,7 @@ from ..functions.jsontext import as_variant_map, is_object, merge_metadata, meta
 from ..operators import upsert as U
 from ..operators.ranking import SPLIT_EVERY
 from ..session import durable
-from ..sources.events import chat_key, chat_screen
+from ..sources.events import CHAT_JSON, chat_json, chat_key, chat_screen
 
 
 class Chat(NamedTuple):
@@ -38,20 +38,56 @@ def prepared_turns(projected: DataFrame) -> DataFrame:
     """
     keyed = projected.withColumn("given_key", F.col("idempotency_key")).withColumn("idempotency_key", chat_key())
     user, assistant = F.col("user_metadata"), F.col("assistant_metadata")
-    common = {"redis_event_id": F.col("event_id"), "trace_id": F.col("trace_id"), "idempotency_key": F.col("idempotency_key")}
     valid = is_object(user) & is_object(assistant)
-    error = F.when(~is_object(user), not_a_mapping(user)).when(~is_object(assistant), not_a_mapping(assistant))
     return keyed.select(
         "event_id", "arrived_at", "ord", "event_type", "session_id", "trace_id", "question", "answer",
         "conversation_title", "user_message_id", "assistant_message_id", "idempotency_key",
-        chat_screen().alias("screen"), valid.alias("valid"), error.alias("error"),
+        chat_screen().alias("screen"), valid.alias("valid"), metadata_error().alias("error"),
         F.to_json(user).alias("user_metadata_raw"), F.to_json(assistant).alias("assistant_metadata_raw"),
-        F.to_json("snapshot").alias("snapshot"),
-        metadata_text(merge_metadata(as_variant_map(user), common)).alias("user_metadata"),
-        metadata_text(merge_metadata(as_variant_map(assistant), {**common, "snapshot": F.col("snapshot")})).alias("assistant_metadata"),
+        F.to_json("snapshot").alias("snapshot"), *[c.alias(n) for n, c in _metadata_texts().items()],
     )
 
 
+def screened_turns(projected: DataFrame, exact_json: bool = True) -> DataFrame:
+    """Turns projected with their JSON fields as text, screened and keyed like ``prepared_turns``.
+
+    Only ``valid`` looks into the metadata; ``enriched_turns`` makes what is
+    stored of them, for the turns that are kept.
+    """
+    user, assistant = (chat_json(n, F.col(n), exact_json) for n in ("user_metadata", "assistant_metadata"))
+    return projected.withColumn("idempotency_key", chat_key()).select(
+        "event_id", "arrived_at", "ord", "event_type", "session_id", "trace_id", "question", "answer",
+        "conversation_title", "user_message_id", "assistant_message_id", "idempotency_key", *CHAT_JSON,
+        chat_screen().alias("screen"), (is_object(user) & is_object(assistant)).alias("valid"),
+    )
+
+
+def parsed_turns(screened: DataFrame, exact_json: bool = True) -> DataFrame:
+    """Screened turns with their JSON fields as VARIANT."""
+    return screened.withColumns({n: chat_json(n, F.col(n), exact_json) for n in CHAT_JSON})
+
+
+def enriched_turns(screened: DataFrame, exact_json: bool = True) -> DataFrame:
+    """Screened turns that are to be stored, with the metadata texts of ``prepared_turns``."""
+    parsed = parsed_turns(screened, exact_json)
+    return parsed.withColumns(_metadata_texts())
+
+
+def metadata_error() -> Column:
+    """Why a parsed turn is not valid."""
+    user, assistant = F.col("user_metadata"), F.col("assistant_metadata")
+    return F.when(~is_object(user), not_a_mapping(user)).when(~is_object(assistant), not_a_mapping(assistant))
+
+
+def _metadata_texts() -> dict[str, Column]:
+    """The metadata to be stored of a parsed and keyed turn."""
+    common = {"redis_event_id": F.col("event_id"), "trace_id": F.col("trace_id"), "idempotency_key": F.col("idempotency_key")}
+    return {
+        "user_metadata": metadata_text(merge_metadata(as_variant_map(F.col("user_metadata")), common)),
+        "assistant_metadata": metadata_text(merge_metadata(as_variant_map(F.col("assistant_metadata")), {**common, "snapshot": F.col("snapshot")})),
+    }
+
+
 def turn_rows(prepared: DataFrame) -> DataFrame:
     """Prepared turns in the shape ``record_turns`` takes."""
     return prepared.select(

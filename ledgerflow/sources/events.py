@@ -16,6 +16,8 @@ CHAT = "qa_turn"
 CHUNK = "index_chunk"
 DEFAULT_BACKEND = "chroma"
 DEFAULT_COLLECTION = "default"
+# JSON fields of a chat turn and what they are when absent.
+CHAT_JSON = {"user_metadata": "{}", "assistant_metadata": "{}", "snapshot": "[]"}
 # Rows are searched for their place one by one, which is dealt to all cores by files.
 ORDERED_PER_FILE = 100_000
 
@@ -63,16 +65,18 @@ def distinct_events(events: DataFrame, batch_id: int) -> tuple[DataFrame, DataFr
     count. Only rows with repeated ids are shuffled, counted before, so a hot id
     stays small. ``events`` is a table that is cheap to read again.
     """
-    rows = events.withColumn("_hash", F.xxhash64("arrived_at", F.map_entries("fields")))
-    alone, rows = split_shared(rows.withColumn("_who", F.coalesce("event_id", F.hex("_hash"))), ["_who"])
-    rows = durable(rows, "repeats")
+    # A row with an id needs no hash unless the id is repeated.
+    content = F.xxhash64("arrived_at", F.map_entries("fields"))
+    alone, rows = split_shared(events.withColumn("_who", F.coalesce("event_id", F.hex(content))), ["_who"])
+    rows = durable(rows.withColumn("_hash", content), "repeats")
     first = F.min_by(F.struct("arrived_at", "fields"), F.struct("arrived_at", "_hash")).alias("e")
     named = rows.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(first, F.count(F.lit(1)).alias("_n"))
     nameless = rows.where(F.col("event_id").isNull()).groupBy("_hash").agg(first, F.count(F.lit(1)).alias("_n")).select(
         F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k"), "_hash", "e"
     )
     made = F.concat_ws("-", F.lit("none"), F.lit(batch_id), F.hex("_hash"), "_k")
-    single = alone.withColumn("_k", F.lit(1)).select(F.coalesce("event_id", made).alias("event_id"), "arrived_at", "fields")
+    lone = F.concat_ws("-", F.lit("none"), F.lit(batch_id), "_who", F.lit(1))
+    single = alone.select(F.coalesce("event_id", lone).alias("event_id"), "arrived_at", "fields")
     again = durable(named.select("event_id", "e.*").unionByName(nameless.select(made.alias("event_id"), "e.*")), "firsts")
     kept = single.unionByName(again)
     repeats = named.where("_n > 1").select(
@@ -112,11 +116,17 @@ def _passed_on(events: DataFrame) -> list[str]:
     return [c for c in events.columns if c not in EVENT.names]
 
 
-def chat_turns(events: DataFrame, exact_json: bool = True) -> DataFrame:
+def chat_json(name: str, text: Column, exact_json: bool = True) -> Column:
+    """A JSON field of a chat turn as VARIANT."""
+    return json_or_default(text, CHAT_JSON[name], exact_json)
+
+
+def chat_turns(events: DataFrame, exact_json: bool = True, parsed: bool = True) -> DataFrame:
     """Typed projection of chat-turn events; a NULL field map gives empty text.
 
-    The three JSON fields are VARIANT; text fields that may be absent are NULL
-    when empty. ``event_id``, ``arrived_at`` and ``ord`` are kept.
+    The three JSON fields are VARIANT, or with ``parsed=False`` the text that
+    ``chat_json`` parses; text fields that may be absent are NULL when empty.
+    ``event_id``, ``arrived_at`` and ``ord`` are kept.
     """
     f = _fields()
     text = {n: field_text(f, n) for n in ("event_type", "session_id", "question", "answer")}
@@ -124,10 +134,7 @@ def chat_turns(events: DataFrame, exact_json: bool = True) -> DataFrame:
         n: blank_to_null(field_text(f, n))
         for n in ("trace_id", "conversation_title", "user_message_id", "assistant_message_id", "idempotency_key")
     }
-    json = {
-        n: json_or_default(field_text(f, n), default, exact_json)
-        for n, default in (("user_metadata", "{}"), ("assistant_metadata", "{}"), ("snapshot", "[]"))
-    }
+    json = {n: chat_json(n, field_text(f, n), exact_json) if parsed else field_text(f, n) for n in CHAT_JSON}
     return events.select(
         *_passed_on(events), "event_id", "arrived_at", arrival_order(F.col("event_id"), F.col("arrived_at")).alias("ord"),
         *[c.alias(n) for n, c in {**text, **optional, **json}.items()],

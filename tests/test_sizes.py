@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from compare import differences
 from ledgerflow.plans import reports
 from ledgerflow.sources import events as E
-from ledgerflow.streaming.feeds import ChunkFeed
+from ledgerflow.streaming.feeds import ChatFeed, ChunkFeed
 from ledgerflow.streaming.marks import flag_repeats
 
 
@@ -58,6 +58,20 @@ def test_a_chunk_feed_moves_its_texts_a_few_times(spark, folder):
     assert moved < 5 * 400 * 200 * 64
 
 
+def test_a_chat_feed_writes_the_metadata_of_repeats_as_they_came(spark, folder):
+    digits = F.concat(*[F.sha2(F.concat_ws("/", F.col("id"), F.lit(i)), 256) for i in range(200)])
+    texts = {"event_type": F.lit("qa_turn"), "session_id": F.lit("s"), "question": F.lit("q"), "user_metadata": F.concat(F.lit('{"k": "'), digits, F.lit('"}'))}
+    events = spark.range(400).select(
+        F.concat("id", F.lit("-0")).alias("event_id"), F.timestamp_seconds(F.col("id")).alias("arrived_at"),
+        F.create_map(*[c for name, col in texts.items() for c in (F.lit(name), col.cast("binary"))]).alias("fields"),
+    )
+    chat = ChatFeed(spark, folder)
+    moved = moved_bytes(spark, lambda: chat.process(events, 0))
+    assert chat.messages.current().count() == 2
+    # Hex digits take half their size: as they arrived and as they are staged, not merged and rendered again.
+    assert moved < 1.25 * 400 * 200 * 64
+
+
 def test_stream_state_has_an_entry_per_bucket_not_per_key(spark, folder):
     rows = spark.range(600).select(F.concat(F.lit("k"), F.col("id") % 300).alias("k"), F.timestamp_seconds(F.col("id") + 1_000_000_000).alias("at"), F.col("id").alias("n"))
     rows.coalesce(1).write.parquet(f"{folder}/in")
