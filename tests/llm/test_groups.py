@@ -198,6 +198,35 @@ def test_repeats_equal_brute_force(spark, length, options):
     assert got == brute_repeats(rows, length)
 
 
+def test_no_task_compares_a_token_of_very_many_contexts(spark):
+    rng = random.Random(11)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefgh é") for _ in range(n))
+
+    # A passage shorter than a repeated string, which all texts hold, and a longer one, which some of them hold.
+    passage = noise(50)
+    rows = [(i, noise(rng.randint(40, 80)) + passage + noise(rng.randint(40, 80))) for i in range(1500)]
+    rows += [(i, noise(60) + rows[9][1][30:180] + noise(5)) for i in range(1500, 1530)]
+    contexts, strings = [], []
+
+    class Watched(RepeatedStrings):
+        def matched(self, rows):
+            contexts.extend(r["count"] for r in rows.groupBy("head").count().collect())
+            return super().matched(rows)
+
+        def strings(self, rows):
+            strings.append(super().strings(rows).count())
+            return super().strings(rows)
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in Watched(80, 40).removed(df).collect())
+    assert got == brute_repeats(rows, 80)
+    assert max(contexts, default=0) <= 1000
+    # Only texts that share more than the passage have their strings compared one by one.
+    assert 0 < strings[0] <= 32 * 41
+
+
 def test_no_repeats(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
