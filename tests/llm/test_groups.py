@@ -227,6 +227,38 @@ def test_no_task_compares_a_token_of_very_many_contexts(spark):
     assert 0 < strings[0] <= 32 * 41
 
 
+def test_near_copies_of_a_crowded_token_bring_their_strings_once(spark):
+    rng = random.Random(12)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefgh é") for _ in range(n))
+
+    # Near copies: each differs from all others in one place, so most of its strings repeat; and rows of one id and text.
+    base = noise(700)
+    rows = [(i, base[:at] + noise(2) + base[at + 2 :]) for i in range(240) for at in [rng.randrange(len(base))]]
+    rows += [(500, base[:300] + "zz" + base[302:])] * 25
+    counts = []
+
+    class Watched(RepeatedStrings):
+        def strings(self, rows):
+            counts.append(super().strings(rows).count())
+            return super().strings(rows)
+
+        def spread(self, rows):
+            counts.extend([rows.count(), sum(r.n for r in rows.select((F.length("bytes") - 79).alias("n")).collect())])
+            found = super().spread(rows)
+            counts.append(found.count())
+            return found
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in Watched(80, 40, hot=5).removed(df).collect())
+    assert got == brute_repeats(rows, 80)
+    contexts, places, strings, ranges = counts
+    # One range for a context, not a row for each string; and strings that repeat in whole blocks are listed once.
+    assert 0 < ranges <= contexts
+    assert 0 < strings <= places / 2
+
+
 def test_no_repeats(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
