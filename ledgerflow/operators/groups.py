@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
 
+# Rows of a list of ids that a join may broadcast.
+LISTED_ROWS = 100_000
+
+
+def listed(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, of which there are ``n``, as one side of a join: never broadcast if they are many.
+
+    The engine's size checks go by the bytes of files. Ids compress so well that
+    a list of them takes a hundred times that in memory, the driver's first.
+    """
+    return rows if n <= LISTED_ROWS else rows.hint("merge")
+
 
 def split_shared(rows: DataFrame, columns: Sequence[str], also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``rows`` in two: those that share no value of any of the columns with another row or with ``also``, and the rest.
@@ -42,8 +54,8 @@ def picked(rows: DataFrame, verdicts: DataFrame, keep: str, on: str = "event_id"
     kept = F.coalesce(F.expr(keep), F.lit(False))
     n, every = verdicts.agg(F.count_if(kept), F.count(F.lit(1))).first()
     if 2 * n > every:
-        return rows.join(durable(verdicts.where(~kept).select(on), "lost"), on, "left_anti")
-    return rows.join(durable(verdicts.where(kept).select(on), "kept"), on, "left_semi")
+        return rows.join(listed(durable(verdicts.where(~kept).select(on), "lost"), every - n), on, "left_anti")
+    return rows.join(listed(durable(verdicts.where(kept).select(on), "kept"), n), on, "left_semi")
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from ..operators import retry as R
 from ..operators import upsert as U
 from ..operators.claims import scan_claims, sort_keys
 from ..operators.dedup import WEEK_SECONDS, settle
-from ..operators.groups import picked, split_shared
+from ..operators.groups import listed, picked, split_shared
 from ..plans import chat
 from ..session import durable, run_folder, scratch_table
 from ..sources import events as E
@@ -92,7 +92,9 @@ class Feed:
         fresh = fresh.withColumn("redelivered", F.lit(False))
         # Counters in force; mostly none, which saves the batch much work.
         self._waiting = durable(self.attempts.current(batch_id).where(F.col("attempts") > 0), "waiting")
-        self._retrying = not self._waiting.isEmpty()
+        waiting = self._waiting.count()
+        self._retrying = waiting > 0
+        self._listed = listed(self._waiting, waiting)
         if now is None:
             return fresh
         if not self._retrying:
@@ -100,7 +102,7 @@ class Feed:
         order = E.arrival_order(F.col("event_id"), F.col("arrived_at"))
         due = durable(R.due_retries(self._waiting, F.lit(now), self.retry_limit, order), "due")
         again = due.select("event_id", F.lit(now).cast("timestamp").alias("arrived_at"), "fields", F.lit(True).alias("redelivered"))
-        return fresh.join(due.select("event_id"), "event_id", "left_anti").unionByName(again)
+        return fresh.join(listed(due.select("event_id"), due.count()), "event_id", "left_anti").unionByName(again)
 
     @staticmethod
     def _ahead(projected: DataFrame) -> DataFrame:
@@ -130,29 +132,30 @@ class Feed:
         failures = outcome.where(F.col("disposition") == "failed").select(
             F.lit(self.stream).alias("stream"), "event_id", F.col("arrived_at").alias("failed_at")
         )
-        stored = self._waiting if self._retrying else None
+        stored = self._listed if self._retrying else None
         routed = durable(R.route_failures(
             R.count_failures(failures, stored), self.max_retries,
             self.backoff_base_seconds, self.backoff_max_seconds, self.idle_seconds,
         ), "routed")
-        final, failing = outcome, not routed.isEmpty()
+        final, failing = outcome, routed.count()
         changes = []
         if failing:
-            route = routed.select("event_id", F.col("disposition").alias("_route"))
+            route = listed(routed.select("event_id", F.col("disposition").alias("_route")), failing)
             final = outcome.join(route, "event_id", "left").withColumn("disposition", F.coalesce("_route", "disposition")).drop("_route")
             raw_events = taken.select("event_id", "arrived_at", "fields")
             # Written apart, as the payloads of a few need not be shuffled.
             again = durable(routed.where(F.col("disposition") == "retry"), "again")
             dead = durable(routed.where(F.col("disposition") == "dead_letter").drop("disposition"), "dead")
-            if not again.isEmpty():
-                changes.append(raw_events.join(again, "event_id", "inner").select(*PENDING.names))
-            if not dead.isEmpty():
-                letters = R.dead_letters(told(failed.join(dead, "event_id", "inner")), payload, raw)
+            retried = again.count()
+            if retried:
+                changes.append(raw_events.join(listed(again, retried), "event_id", "inner").select(*PENDING.names))
+            if retried < failing:
+                letters = R.dead_letters(told(failed.join(listed(dead, failing - retried), "event_id", "inner")), payload, raw)
                 self.letters.append(
                     letters.withColumn("dlq_stream", K.dead_letter_stream(F.col("source_stream"), self.dead_letter_names)), batch_id
                 )
         if self._retrying:
-            settled = final.where(F.col("disposition") != "retry").join(self._waiting.select("event_id"), "event_id", "left_semi")
+            settled = final.where(F.col("disposition") != "retry").join(self._listed.select("event_id"), "event_id", "left_semi")
             changes.append(settled.select(
                 F.lit(self.stream).alias("stream"), "event_id", F.lit(0).alias("attempts"),
                 *[F.lit(None).cast(f.dataType).alias(f.name) for f in PENDING.fields[3:]],

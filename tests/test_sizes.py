@@ -1,10 +1,13 @@
 """Queries on tables that differ from the given ones as larger ones do."""
 
+from datetime import datetime
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from compare import differences
+from ledgerflow.operators.groups import picked
 from ledgerflow.plans import reports
 from ledgerflow.sources import events as E
 from ledgerflow.streaming.feeds import ChatFeed, ChunkFeed
@@ -90,3 +93,33 @@ def test_slices_are_numbered_by_a_flat_order(spark):
     order = E.arrival_order(F.col("id"), F.timestamp_micros("at"))
     both = rows.select(F.struct(order.alias("o"), F.lit(1)).alias("plain"), E._order_text(order, F.lit(1).cast("long")).alias("flat"))
     assert [r.flat for r in both.orderBy("plain").collect()] == [r.flat for r in both.orderBy("flat").collect()]
+
+
+def test_failing_events_are_not_broadcast_when_they_are_many(spark, folder):
+    texts = {"event_type": F.lit("qa_turn"), "session_id": F.lit("s"), "question": F.col("id").cast("string"), "user_metadata": F.lit("[1]")}
+    events = spark.range(120_000).select(
+        F.concat(F.col("id").cast("string"), F.lit("-0")).alias("event_id"), F.timestamp_seconds(F.lit(1_704_067_200)).alias("arrived_at"),
+        F.create_map(*[c for name, col in texts.items() for c in (F.lit(name), col.cast("binary"))]).alias("fields"),
+    )
+    failing = ChatFeed(spark, folder, max_retries=2)
+    plans = []
+    for log in (failing.attempts, failing.letters, failing.dispositions):
+        def append(rows, batch_id, write=log.append):
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+            write(rows, batch_id)
+
+        log.append = append
+    failing.process(events, 0)
+    failing.redeliver(datetime(2024, 1, 1, 1))
+    assert len(plans) == 5 and not any("BroadcastExchange" in plan for plan in plans)
+    letters = failing.letters.current()
+    assert letters.select("original_event_id", "attempts").distinct().count() == letters.where("attempts = '2'").count() == 120_000
+    assert failing.attempts.current().where("attempts > 0").isEmpty()
+
+
+@pytest.mark.parametrize("keep", ["id % 5 < 2", "id % 5 > 1"])
+def test_long_lists_of_picked_rows_are_not_broadcast(spark, keep):
+    rows = spark.range(300_000).select(F.concat("id", F.lit("-0")).alias("event_id"), "id")
+    chosen = picked(rows, rows, keep)
+    assert "BroadcastExchange" not in chosen._jdf.queryExecution().executedPlan().toString()
+    assert chosen.agg(F.count(F.lit(1)), F.count_if(F.expr(keep))).first() == (rows.where(keep).count(),) * 2
