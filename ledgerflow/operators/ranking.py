@@ -7,7 +7,8 @@ same cut, and it follows the data's own distribution, so clumped order values
 are cut as finely as even ones. There are about ``rows / every`` split points in
 the whole input; whether they are broadcast is left to the engine's size checks.
 A global numbering (no keys) gathers all of them in one array, one entry for
-each two million rows.
+each two million rows, and the counts of its buckets in another; both are
+written first, as their length tells how many steps a search takes.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import durable
+
 SPLIT_EVERY = 2_000_000
 
 
@@ -47,11 +50,7 @@ def points_below(points: Column, value: Column) -> Column:
 
 def with_bucket(df: DataFrame, keys: Sequence[str], order: str, every: int = SPLIT_EVERY) -> DataFrame:
     """Add ``_bucket`` and ``_cut``; a group without split points is one bucket, not cut."""
-    points = split_points(df, keys, order, every)
-    if keys:
-        joined = df.join(points, list(keys), "left")
-    else:
-        joined = df.withColumn("_points", points.select("_points").scalar())
+    joined = df.join(split_points(df, keys, order, every), list(keys), "left")
     cut = F.coalesce(F.size(F.col("_points.values")) > 0, F.lit(False))
     number = F.when(cut, points_below(F.col("_points"), F.col(order))).otherwise(0)
     return joined.select(*[F.col(c) for c in df.columns], number.alias("_bucket"), cut.alias("_cut"))
@@ -65,6 +64,8 @@ def grouped_rank(df: DataFrame, keys: Sequence[str], order: str, name: str, ever
     numbering. Key columns must not be NULL.
     """
     part = list(keys)
+    if not part:
+        return _global_rank(df, order, name, every)
     bucketed = with_bucket(df, part, order, every)
     # Only cut groups need offsets: at most one row per split point.
     counts = bucketed.where("_cut").groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -80,6 +81,37 @@ def grouped_rank(df: DataFrame, keys: Sequence[str], order: str, name: str, ever
     return ranked.select(*[F.col(c) for c in df.columns], position.alias(name))
 
 
+def _global_rank(df: DataFrame, order: str, name: str, every: int) -> DataFrame:
+    """``grouped_rank`` without keys.
+
+    The search is that of ``points_below`` with a column for each step: such are
+    compiled, while a fold over the steps is interpreted for every row. Offsets
+    are looked up by the bucket's number; a join on it would have the optimizer
+    go through all steps again and again.
+    """
+    points = durable(split_points(df, [], order, every).select("_points.values"), "points")
+    n = points.select(F.size("values")).first()[0]
+    bucketed = df.withColumns({"_values": points.scalar(), "_bucket": F.lit(0)})
+    for e in reversed(range(n.bit_length())):
+        at = F.col("_bucket")
+        # Beyond the end ``get`` is NULL and the position stays.
+        bucketed = bucketed.withColumn("_bucket", F.when(F.get("_values", at + F.lit((1 << e) - 1)) <= F.col(order), at + F.lit(1 << e)).otherwise(at))
+    # Neither array may go on with the rows, which are shuffled next.
+    bucketed = bucketed.drop("_values")
+    if n:
+        counts = durable(bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")), "counts")
+        earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        buckets = df.sparkSession.range(n + 1).select(F.col("id").cast("int").alias("_bucket")).join(counts, "_bucket", "left")
+        places = buckets.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+        listed = F.sort_array(F.collect_list(F.struct("_bucket", "_offset")))
+        offsets = durable(places.agg(F.transform(listed, lambda p: p["_offset"]).alias("offsets")), "offsets")
+        bucketed = bucketed.withColumn("_offsets", offsets.scalar()).withColumn("_offset", F.get("_offsets", F.col("_bucket"))).drop("_offsets")
+    else:
+        bucketed = bucketed.withColumn("_offset", F.lit(0))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(order)).cast("long")
+    return bucketed.select(*[F.col(c) for c in df.columns], (within + F.col("_offset")).alias(name))
+
+
 def surrogate_ids(df: DataFrame, order: str, name: str = "id", taken: DataFrame | None = None, every: int = SPLIT_EVERY) -> DataFrame:
     """Dense ids in ``order``, above the largest id in ``taken`` (one column)."""
     ranked = grouped_rank(df, [], order, name, every)

@@ -884,13 +884,17 @@ def timed_retries(spark, folder):
     return spark.read.parquet(sink).select("event_id", "attempts", "disposition", F.unix_micros("at").alias("at_us"))
 
 
+# Events in a file of a raw feed at most, so that its readers are dealt to all cores.
+RAW_PER_FILE = 100_000
+
+
 def raw_files(events: DataFrame, path: str) -> None:
     """A feed as its producers write it: ids and field names as bytes, each with a byte that is no text."""
     stray = F.unhex(F.lit("FF"))
     names = F.transform(F.map_entries("fields"), lambda e: F.struct(F.concat(e["key"].cast("binary"), stray).alias("key"), e["value"].alias("value")))
     events.select(
         F.concat(stray, F.col("event_id").cast("binary")).alias("event_id"), "arrived_at", F.map_from_entries(names).alias("fields")
-    ).repartition(4).write.parquet(path)
+    ).write.option("maxRecordsPerFile", RAW_PER_FILE).parquet(path)
 
 
 @report(SQL["chat_feed_messages"])

@@ -1,5 +1,6 @@
 """Queries on tables that differ from the given ones as larger ones do."""
 
+import hashlib
 from datetime import datetime
 
 import duckdb
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from compare import differences
 from ledgerflow.operators.groups import picked
+from ledgerflow.operators.ranking import grouped_rank
 from ledgerflow.plans import reports
 from ledgerflow.sources import events as E
 from ledgerflow.streaming.feeds import ChatFeed, ChunkFeed
@@ -123,3 +125,23 @@ def test_long_lists_of_picked_rows_are_not_broadcast(spark, keep):
     chosen = picked(rows, rows, keep)
     assert "BroadcastExchange" not in chosen._jdf.queryExecution().executedPlan().toString()
     assert chosen.agg(F.count(F.lit(1)), F.count_if(F.expr(keep))).first() == (rows.where(keep).count(),) * 2
+
+
+def test_the_search_for_a_global_place_is_compiled_and_rows_carry_no_points(spark):
+    names = F.when(F.col("id") > 3, F.sha2(F.col("id").cast("string"), 256))
+    df = spark.range(20_000).select("id", names.alias("o"), F.array("id").alias("wide"))
+    ranked = grouped_rank(df.where("o IS NOT NULL").unionByName(df.where("id = 3")), [], "o", "n", every=20)
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and plan.index("Window") < plan.index("scalar-subquery") and "Join" not in plan
+    # The NULL comes first.
+    want = {i: place for place, i in enumerate(sorted(range(3, 20_000), key=lambda i: hashlib.sha256(str(i).encode()).hexdigest() if i > 3 else ""), 1)}
+    assert {r.id: r.n for r in ranked.collect()} == want
+
+
+def test_raw_files_are_cut_by_events(spark, folder):
+    events = spark.range(0, 900_000, numPartitions=1).select(
+        F.col("id").cast("string").alias("event_id"), F.timestamp_seconds("id").alias("arrived_at"), F.create_map(F.lit("a"), F.lit(b"b")).alias("fields")
+    )
+    reports.raw_files(events, f"{folder}/raw")
+    sizes = [r["count"] for r in spark.read.parquet(f"{folder}/raw").groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 900_000 and max(sizes) <= 100_000
